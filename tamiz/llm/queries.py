@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import work_dir
-from . import boilerplate, lines
+from . import boilerplate, lines, near_dup, neighbours
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -29,6 +29,21 @@ def p3_cleaned(spark: SparkSession, folder: str) -> DataFrame:
     return lines.drop_lines(docs, p3_found(spark, folder))
 
 
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Every pair of rows whose similarity is at least 0.6."""
+    return near_dup.pairs_of_rows(_table(spark, folder, "search_documents"))
+
+
+def p4_groups(spark: SparkSession, folder: str) -> DataFrame:
+    """Every row's group of versions and its number of links to different texts."""
+    return near_dup.groups_of_rows(_table(spark, folder, "search_documents"))
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Every pair of which one is among the ten most similar of the other."""
+    return neighbours.neighbour_pairs(_table(spark, folder, "vector_store"))
+
+
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     """Every non-blank line that is not part of the article."""
     return boilerplate.outside_main(_table(spark, folder, "search_documents"), _table(spark, folder, "sites"))
@@ -42,6 +57,9 @@ def p7_main(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_found": p3_found,
     "p3_cleaned": p3_cleaned,
+    "p4_found": p4_found,
+    "p4_groups": p4_groups,
+    "p5_found": p5_found,
     "p7_found": p7_found,
     "p7_main": p7_main,
 }
