@@ -8,13 +8,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import work_dir
-from . import boilerplate, lines, near_dup, neighbours
+from . import boilerplate, encoding, lines, mixing, names, near_dup, neighbours, packing, splitting
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Every pair of different author strings that name the same journalist or agency."""
+    return names.variant_pairs(_table(spark, folder, "search_documents").select(F.explode("authors").alias("name")))
+
+
+def p2_entities(spark: SparkSession, folder: str) -> DataFrame:
+    """Every distinct author string and the entity it names."""
+    return names.entities(_table(spark, folder, "search_documents").select(F.explode("authors").alias("name")))
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     """Every line whose wording stands in at least 8 urls of its source."""
     docs = _table(spark, folder, "search_documents")
@@ -44,6 +54,21 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return neighbours.neighbour_pairs(_table(spark, folder, "vector_store"))
 
 
+def _limit(spark: SparkSession, folder: str, name: str) -> tuple[int, int]:
+    row = _table(spark, folder, "token_limits").where(F.col("limit_name") == name).first()
+    return row["max_tokens"], row["overlap_tokens"]
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Every chunk id whose content is over the chunk limit."""
+    return splitting.oversized(_table(spark, folder, "chunks"), *_limit(spark, folder, "chunk"))
+
+
+def p6_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    """The pieces of every oversized chunk."""
+    return splitting.split_items(_table(spark, folder, "chunks"), *_limit(spark, folder, "chunk"))
+
+
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     """Every non-blank line that is not part of the article."""
     return boilerplate.outside_main(_table(spark, folder, "search_documents"), _table(spark, folder, "sites"))
@@ -54,14 +79,56 @@ def p7_main(spark: SparkSession, folder: str) -> DataFrame:
     return lines.drop_lines(_table(spark, folder, "search_documents"), p7_found(spark, folder))
 
 
+def p8_containers(spark: SparkSession, folder: str) -> DataFrame:
+    """Every text's container; a text over the capacity in as few parts as possible."""
+    capacity, _ = _limit(spark, folder, "container")
+    return packing.pack(packing.measured_pieces(_table(spark, folder, "documents"), capacity), capacity)
+
+
+def p8_report(spark: SparkSession, folder: str) -> DataFrame:
+    """Containers used, containers that any packing needs, and the share of space unused."""
+    capacity, _ = _limit(spark, folder, "container")
+    return packing.packing_report(p8_containers(spark, folder), capacity)
+
+
+def p9_mix(spark: SparkSession, folder: str) -> DataFrame:
+    """The mix: every use of a text, and its slot."""
+    return mixing.mix(_table(spark, folder, "documents"), _table(spark, folder, "mix_targets"))
+
+
+def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """Target and actual share of each source in the mix."""
+    return mixing.share_report(p9_mix(spark, folder), _table(spark, folder, "mix_targets"))
+
+
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with a stretch read in a wrong encoding."""
+    return encoding.garbled(_table(spark, folder, "documents"))
+
+
+def p10_restored(spark: SparkSession, folder: str) -> DataFrame:
+    """Every such document's likeliest chain and restored text."""
+    return encoding.restored(_table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p2_found": p2_found,
+    "p2_entities": p2_entities,
     "p3_found": p3_found,
     "p3_cleaned": p3_cleaned,
     "p4_found": p4_found,
     "p4_groups": p4_groups,
     "p5_found": p5_found,
+    "p6_found": p6_found,
+    "p6_pieces": p6_pieces,
     "p7_found": p7_found,
     "p7_main": p7_main,
+    "p8_containers": p8_containers,
+    "p8_report": p8_report,
+    "p9_mix": p9_mix,
+    "p9_shares": p9_shares,
+    "p10_found": p10_found,
+    "p10_restored": p10_restored,
 }
 
 ORACLES: dict[str, str] = {}
