@@ -75,6 +75,10 @@ def _pairs(table: str) -> dict[str, tuple[str, ...]]:
 
 NAMES = _pairs(GIVEN)
 ORG_WORDS = _pairs(ORGANISATION)
+_ORG_FULL = frozenset(w for full in ORG_WORDS.values() for w in full if len(w) > 5)
+
+# Given names that are written with an accent on their first letter, and that letter.
+ACCENTED = {"angel": "á", "angela": "á", "angeles": "á", "alvaro": "á", "oscar": "ó", "ursula": "ú", "edgar": "é", "erika": "é"}
 
 
 def fold(text: str) -> str:
@@ -195,6 +199,8 @@ def close_words(vocabulary: DataFrame, radius: int = RADIUS) -> DataFrame:
     return met.select("word", "other").distinct().where(within("word", "other"))
 
 
+_ACCENT = re.compile(r"(?<!\w)[ÁÉÍÓÚáéíóú](?!\w)")
+
 PARSED = "name STRING, kind STRING, given STRING, s1 STRING, s2 STRING, words ARRAY<STRING>"
 
 
@@ -227,7 +233,7 @@ def read_name(name: str) -> tuple[str, str, str, str, list[str]]:
     if not words:
         return "none", "", "", "", []
     bare = [w for w in words if w not in _SMALL]
-    if any(w in ORG_WORDS and w not in NAMES for w in bare) or (len(words) == 1 and name.strip().isupper() and 2 <= len(words[0]) <= 5) or re.fullmatch(r"(?:[a-z]\. ?){2,5}", text):
+    if any(w not in NAMES and (w in ORG_WORDS or len(w) > 5 and not _ORG_FULL.isdisjoint(_one_edit(w))) for w in bare) or (len(words) == 1 and name.strip().isupper() and 2 <= len(words[0]) <= 5) or re.fullmatch(r"(?:[a-z]\. ?){2,5}", text):
         if re.fullmatch(r"(?:[a-z]\. ?){2,5}", text):
             bare = ["".join(words)]
         return "org", "", "", "", bare or words
@@ -255,6 +261,10 @@ def read_name(name: str) -> tuple[str, str, str, str, list[str]]:
     first = given[0] if given else ""
     if len(first) == 2 and first not in NAMES and len(given) == 1:
         first = first[0]  # two initials written together
+    if len(first) == 1:
+        accent = _ACCENT.search(unicodedata.normalize("NFC", name))
+        if accent and fold(accent[0]) == first:
+            first = accent[0].lower()
     small = [w for w in family if w not in ("de", "del", "la", "los", "las")] or family
     return "person", first, small[0], small[1] if len(small) > 1 else "", []
 
@@ -363,13 +373,16 @@ def _settle(keys: DataFrame) -> DataFrame:
     short = short.select("g", "s1", "s2", F.concat_ws("|", "g", "s1", F.coalesce(to, alone)).alias("entity"))
     settled = cut(full.withColumn("entity", name).unionByName(short), "settled")
     # initials: entities of the surname whose given name starts so
-    have = settled.select("s1", F.substring("g", 1, 1).alias("i"), "entity").distinct()
+    accents = F.create_map(*[F.lit(x) for pair in ACCENTED.items() for x in pair])
+    have = settled.select("s1", F.substring("g", 1, 1).alias("i"), F.try_element_at(accents, F.col("g")).alias("i_accent"), "entity").distinct()
     have = have.withColumn("e_s2", F.element_at(F.split("entity", r"\|"), 3))
     initial = keys.where(F.length("g") <= 1)
-    fit = initial.join(have, "s1").where(((F.col("g") == "") | (F.col("g") == F.col("i"))) & _fits(F.col("s2"), F.col("e_s2")))
+    fit = initial.join(have, "s1").where(((F.col("g") == "") | (F.col("g") == F.col("i")) | (F.col("g") == F.col("i_accent"))) & _fits(F.col("s2"), F.col("e_s2")))
     exact = F.when((F.length("s2") > 1) & (F.col("s2") == F.col("e_s2")), F.col("entity"))
-    fit = fit.groupBy("g", "s1", "s2").agg(F.count("*").alias("n"), F.min("entity").alias("only"), F.count(exact).alias("n_x"), F.min(exact).alias("only_x"))
-    pick = F.when(F.col("n") == 1, F.col("only")).when(F.col("n_x") == 1, F.col("only_x"))
+    # of several, an initial without an accent is first of all that of a name without one
+    plain = F.when(F.col("i_accent").isNull(), F.col("entity"))
+    fit = fit.groupBy("g", "s1", "s2").agg(F.count("*").alias("n"), F.min("entity").alias("only"), F.count(exact).alias("n_x"), F.min(exact).alias("only_x"), F.count(plain).alias("n_p"), F.min(plain).alias("only_p"))
+    pick = F.when(F.col("n") == 1, F.col("only")).when(F.col("n_x") == 1, F.col("only_x")).when((F.col("g") != "") & (F.col("n_p") == 1), F.col("only_p"))
     rest = initial.join(fit, ["g", "s1", "s2"], "left").select("g", "s1", "s2", F.when(F.col("s1") != "", pick).alias("entity"))
     linked = rest.where(F.col("entity").isNotNull())
     # initials without a full name: the longest of one (initial, surname) gathers those it fits
@@ -415,6 +428,25 @@ def _organisations(parsed: DataFrame, near: DataFrame) -> DataFrame:
     return out.select("name", F.coalesce("full", "entity").alias("entity"))
 
 
+def _run_together(lone: DataFrame, parsed: DataFrame, organisations: DataFrame) -> DataFrame:
+    """(name, entity) of single words (name, s1) that are one organisation's words without the blanks: the
+    first two or more of them, the leading ones perhaps as initials."""
+
+    def forms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = set()
+            for words, entity in zip(batch["words"], batch["entity"], strict=True):
+                words = [ORG_WORDS.get(w, (w,))[0] for w in words]
+                for m in range(2, len(words) + 1):
+                    for k in range(m):
+                        rows.add(("".join(w[0] for w in words[:k]) + "".join(words[k:m]), entity))
+            yield pd.DataFrame(sorted(rows), columns=["form", "entity"])
+
+    known = parsed.where(F.col("kind") == "org").select("name", "words").join(organisations, "name").select("words", "entity").distinct()
+    made = known.mapInPandas(forms, "form STRING, entity STRING").groupBy("form").agg(F.countDistinct("entity").alias("n"), F.min("entity").alias("entity"))
+    return lone.join(made.where((F.col("n") == 1) & (F.length("form") > 5)), F.col("s1") == F.col("form")).select("name", "entity")
+
+
 def entities(names: DataFrame) -> DataFrame:
     """(name, entity) of every distinct non-blank string of ``names`` (name), exactly as stored.
 
@@ -436,7 +468,10 @@ def entities(names: DataFrame) -> DataFrame:
     people = cut(_resolve_given(people.select("name", F.col("g").alias("given"), "s1", "s2"), near, lexicon), "people")
     settled = cut(_settle(people.select("g", "s1", "s2").distinct()), "entities")
     linked = people.join(settled, ["g", "s1", "s2"]).select("name", "entity")
-    return linked.unionByName(_organisations(parsed, near))
+    organisations = cut(_organisations(parsed, near), "organisations")
+    lone = people.where((F.col("g") == "") & (F.col("s2") == "")).select("name", "s1")
+    joined = cut(_run_together(lone, parsed, organisations), "joined")
+    return linked.join(joined.select("name"), "name", "left_anti").unionByName(joined).unionByName(organisations)
 
 
 def variant_pairs(names: DataFrame) -> DataFrame:
