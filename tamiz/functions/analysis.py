@@ -40,21 +40,25 @@ def stem(word: Column) -> Column:
     return F.when(F.length(word) < 5, word).otherwise(short.otherwise(w))
 
 
-def analyze(text: Column, mode: str = "spanish", stop_words: list[str] | None = None) -> Column:
-    """Index terms of a text. ``simple``: words alone; ``spanish``: without stop words, stemmed;
-    ``spanish_uax29``: the same over words with inner marks."""
+def kept_words(text: Column, mode: str = "spanish", stop_words: list[str] | None = None) -> Column:
+    """The words of a text that ``mode`` keeps, before stemming."""
+    if mode not in ("simple", "spanish", "spanish_uax29"):
+        raise ValueError(f"no analysis named {mode!r}")
     found = words_uax29(text) if mode == "spanish_uax29" else words(text)
     if mode == "simple":
         return found
-    if mode not in ("spanish", "spanish_uax29"):
-        raise ValueError(f"no analysis named {mode!r}")
-    stop = F.array(*[F.lit(w) for w in (STOP_WORDS if stop_words is None else stop_words)])
-    return F.transform(F.filter(found, lambda w: ~F.array_contains(stop, w)), stem)
+    return F.filter(found, lambda w: ~w.isin(STOP_WORDS if stop_words is None else stop_words))
+
+
+def analyze(text: Column, mode: str = "spanish", stop_words: list[str] | None = None) -> Column:
+    """Index terms of a text. ``simple``: words alone; ``spanish``: without stop words, stemmed;
+    ``spanish_uax29``: the same over words with inner marks."""
+    kept = kept_words(text, mode, stop_words)
+    return kept if mode == "simple" else F.transform(kept, stem)
 
 
 def analyze_again(terms: Column, mode: str = "spanish", stop_words: list[str] | None = None) -> Column:
     """Analysis of terms that were analysed before, as a match query does; stems may shorten once more."""
     if mode == "simple":
         return terms
-    stop = F.array(*[F.lit(w) for w in (STOP_WORDS if stop_words is None else stop_words)])
-    return F.transform(F.filter(terms, lambda w: ~F.array_contains(stop, w)), stem)
+    return F.transform(F.filter(terms, lambda w: ~w.isin(STOP_WORDS if stop_words is None else stop_words)), stem)

@@ -8,6 +8,7 @@ from urllib.parse import urljoin as _urljoin
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Words left out of a query's key terms.
 KEY_TERM_STOP = "el la los las un una unos unas de del en y o que con por para sobre como al se su sus es son".split()
@@ -23,7 +24,7 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, _EDGE, "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(text: pd.Series) -> pd.Series:
     """Compatibility-composed form; Spark has no built-in for it."""
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
@@ -136,7 +137,7 @@ def quote_plus(text: Column) -> Column:
     return F.replace(F.replace(F.url_encode(text), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def urljoin(base: pd.Series, href: pd.Series) -> pd.Series:
     """Absolute form of a link; NULL where either side is NULL or the link is malformed."""
 

@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from ..functions.scoring import dense_score
 from ..functions.text import snippet_always
@@ -128,7 +129,7 @@ def dense_results(near: DataFrame, payload: DataFrame) -> DataFrame:
     return joined.select("query_id", "rank", "id", F.col("doc_id").alias("url"), "title", "source", dense_score(F.col("distance")).alias("score"), snippet_always(F.col("content")).alias("snippet"))
 
 
-@F.pandas_udf("array<float>")
+@F.pandas_udf(ArrayType(FloatType()))
 def hashing_embedding(text: pd.Series) -> pd.Series:
     """A deterministic stand-in for an embedding model: signed hashed word counts in 64 dimensions, unit length.
     NULL gives NULL; a text without words the zero vector."""

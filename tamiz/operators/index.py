@@ -56,13 +56,16 @@ class InvertedIndex:
     NAMES = ("docs", "postings", "doc_stats", "term_stats", "corpus_stats")
 
     def save(self, path: str) -> InvertedIndex:
-        """Write the snapshot, postings in ranges of terms so that a query's terms prune row groups, and read it back."""
+        """Write the snapshot and read it back. Postings are grouped and sorted by term, so a query's terms prune row
+        groups; the statistics are taken from the written postings, so texts are analysed once."""
         spark = self.docs.sparkSession
-        for name in self.NAMES:
-            table = getattr(self, name)
-            if name == "postings":
-                table = table.repartitionByRange("term").sortWithinPartitions("term", "doc_id")
-            table.write.mode("overwrite").parquet(f"{path}/{name}")
+        self.docs.write.mode("overwrite").parquet(f"{path}/docs")
+        self.doc_stats.write.mode("overwrite").parquet(f"{path}/doc_stats")
+        self.postings.repartition("term").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
+        read = lambda name: spark.read.parquet(f"{path}/{name}")
+        fresh = _with_statistics(read("docs"), read("postings"), read("doc_stats"))
+        fresh.term_stats.write.mode("overwrite").parquet(f"{path}/term_stats")
+        fresh.corpus_stats.write.mode("overwrite").parquet(f"{path}/corpus_stats")
         return InvertedIndex.load(spark, path)
 
     @staticmethod
@@ -70,20 +73,22 @@ class InvertedIndex:
         return InvertedIndex(*[spark.read.parquet(f"{path}/{name}") for name in InvertedIndex.NAMES])
 
 
-def doc_terms(docs: DataFrame, mode: str) -> DataFrame:
-    """(doc_id, terms): the analysed content of each document; '' and NULL give no terms."""
-    return docs.select("doc_id", analysis.analyze(F.col("content"), mode).alias("terms"))
-
-
 def build_index(docs: DataFrame, settings: Settings = Settings()) -> InvertedIndex:
     """Index ``docs`` (doc_id, url, title, content, source, ...), one row a doc_id.
 
     The exploded terms are counted in the task that reads the document before anything is shuffled.
+    A '' or NULL content gives a document of length 0.
     """
-    terms = doc_terms(docs, settings.analyzer)
-    exploded = terms.select("doc_id", F.size("terms").cast("long").alias("dl"), F.explode("terms").alias("term"))
-    postings = exploded.groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl")).select("term", "doc_id", "tf", "dl")
-    doc_stats = terms.select("doc_id", F.size("terms").cast("long").alias("dl"))
+    words = docs.select("doc_id", analysis.kept_words(F.col("content"), settings.analyzer).alias("words"))
+    doc_stats = words.select("doc_id", F.size("words").cast("long").alias("dl"))
+    rows = words.select("doc_id", F.size("words").cast("long").alias("dl"), F.explode("words").alias("word"))
+    term = F.col("word") if settings.analyzer == "simple" else analysis.stem(F.col("word"))
+    rows = rows.select("doc_id", "dl", term.alias("term"))
+    postings = rows.groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl")).select("term", "doc_id", "tf", "dl")
+    return _with_statistics(docs, postings, doc_stats)
+
+
+def _with_statistics(docs: DataFrame, postings: DataFrame, doc_stats: DataFrame) -> InvertedIndex:
     totals = doc_stats.agg(F.count("*").alias("n_docs"), F.coalesce(F.sum("dl"), F.lit(0)).cast("long").alias("total_tokens"))
     by_term = postings.groupBy("term").agg(F.sum("tf").alias("cf"), F.count("*").alias("df"))
     term_stats = by_term.crossJoin(F.broadcast(totals)).select("term", "cf", "df", (F.col("cf") / F.col("total_tokens")).alias("p_wc"))

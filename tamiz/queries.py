@@ -4,11 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import oracles
+from .config import Settings
+from .functions import analysis, dates, scoring
+from .functions import text as T
+from .operators import chunker, crawl, dense, fallback, hybrid, index, sparse
 from .operators.timestamps import InstantDictionary, site_zones
-from .session import work_dir
+from .session import cut, work_dir
+from .sources.pages import scraper_of
+
+SETTINGS = Settings()
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -34,9 +42,320 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return dictionary.resolve(found[0].unionByName(found[1])).select("tbl", "rec_key", "instant_us")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "p1_found": p1_found,
-}
+# The indexed collection: the latest fetch of each url of search_documents, under its url.
+
+
+def _latest(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "search_documents").where(F.col("url").isNotNull())
+    return index.latest(rows, "url", F.desc("fetched_at"), F.desc("row_id"))
+
+
+def _docs(spark: SparkSession, folder: str) -> DataFrame:
+    return index.index_document(_latest(spark, folder)).withColumn("doc_id", F.col("url"))
+
+
+def _index(spark: SparkSession, folder: str) -> index.InvertedIndex:
+    docs = _docs(spark, folder).select("doc_id", "url", "title", "content", "source")
+    return index.build_index(docs, SETTINGS).save(work_dir(spark, "index"))
+
+
+def _asked(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "search_queries")
+
+
+def _r(column, places: int = 6):
+    return F.round(column, places)
+
+
+def token_counts(spark, folder):
+    return _index(spark, folder).postings.select("doc_id", "term", "tf")
+
+
+def doc_lengths(spark, folder):
+    return _index(spark, folder).doc_stats
+
+
+def term_collection_stats(spark, folder):
+    return _index(spark, folder).term_stats.select("term", "cf", "df", _r("p_wc", 12).alias("p_wc"))
+
+
+def model_stats(spark, folder):
+    got = index.model_stats(_index(spark, folder), SETTINGS.mu)
+    return got.select("n_docs", "n_terms", "total_tokens", _r("avg_dl").alias("avg_dl"), "mu")
+
+
+def term_stats(spark, folder):
+    asked = sparse.query_terms(_asked(spark, folder)).select("term").distinct()
+    return index.term_statistics(_index(spark, folder), asked).withColumn("p_wc", _r("p_wc", 12))
+
+
+def term_frequency_lookup(spark, folder):
+    found = _index(spark, folder)
+    return index.term_frequency(found, found.doc_stats, "acuerdo")
+
+
+def simple_tokens(spark, folder):
+    """Words of every text of documents, without analysis, counted."""
+    docs = table(spark, folder, "documents")
+    return docs.select("doc_id", F.explode(analysis.words(F.col("text"))).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+
+
+def stemmed_terms(spark, folder):
+    docs = table(spark, folder, "documents")
+    words = docs.select(F.explode(analysis.words(F.col("text"))).alias("word")).distinct()
+    return words.select("word", analysis.stem(F.col("word")).alias("stem"))
+
+
+def stop_filtered_tokens(spark, folder):
+    docs = table(spark, folder, "documents")
+    return docs.select("doc_id", F.size(analysis.words(F.col("text"))).cast("long").alias("n_words"), F.size(analysis.analyze(F.col("text"))).cast("long").alias("n_terms"))
+
+
+def candidates_or(spark, folder):
+    return sparse.matches(_index(spark, folder), _asked(spark, folder), SETTINGS).select("query_id", "doc_id")
+
+
+def bm25_top200(spark, folder):
+    got = sparse.candidates(_index(spark, folder), _asked(spark, folder), SETTINGS)
+    return got.select("query_id", "doc_id", _r("bm25").alias("bm25"), F.col("cand_rank").cast("long").alias("cand_rank"))
+
+
+def lmir_topk(spark, folder):
+    """Sparse search of all queries: their best k with scores and snippets."""
+    got = sparse.search(_index(spark, folder), _asked(spark, folder), SETTINGS)
+    return got.select("query_id", F.col("rank").cast("long").alias("rank"), "id", "title", "source", _r("score", 4).alias("score"), "snippet")
+
+
+def lmir_scores(spark, folder):
+    got = sparse.ranked(_index(spark, folder), _asked(spark, folder), SETTINGS)
+    return got.select("query_id", "doc_id", _r("log_score").alias("log_score"), _r("score", 4).alias("score"))
+
+
+def lmir_explain(spark, folder):
+    got = sparse.explain(_index(spark, folder), _asked(spark, folder), SETTINGS)
+    parts = got.select("query_id", "doc_id", "dl", "mu", F.explode("terms").alias("t"))
+    return parts.select("query_id", "doc_id", "dl", "mu", "t.term", "t.tf", _r("t.p_w_c", 12).alias("p_w_c"), _r("t.p_w_d", 9).alias("p_w_d"))
+
+
+def _one_query(spark, q, k=10):
+    return spark.createDataFrame([(1, q, k)], "query_id BIGINT, q STRING, k INT")
+
+
+def lmir_oov_query(spark, folder):
+    """A word that the collection lacks sinks every candidate to 0."""
+    got = sparse.ranked(_index(spark, folder), _one_query(spark, "acuerdo xqzzyw"), SETTINGS)
+    return got.select("doc_id", _r("log_score").alias("log_score"), _r("score").alias("score"))
+
+
+def lmir_duplicate_terms(spark, folder):
+    """A word said twice counts twice."""
+    got = sparse.ranked(_index(spark, folder), _one_query(spark, "acuerdo acuerdo energía"), SETTINGS)
+    return got.select("doc_id", _r("log_score").alias("log_score"))
+
+
+def _vectors(spark, folder):
+    return table(spark, folder, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label")
+
+
+def _vector_queries(vectors):
+    return vectors.where(F.col("id") % 50 == 0).select(F.col("id").alias("query_id"), "embedding")
+
+
+def _near(got):
+    return got.select("query_id", F.col("rank").cast("long").alias("rank"), "id", _r("distance").alias("distance"))
+
+
+def knn_l2(spark, folder):
+    vectors = _vectors(spark, folder)
+    return _near(dense.knn(vectors, _vector_queries(vectors), 10, "l2"))
+
+
+def knn_cosine(spark, folder):
+    vectors = _vectors(spark, folder)
+    return _near(dense.knn(vectors, _vector_queries(vectors), 10, "cosine"))
+
+
+def knn_filtered(spark, folder):
+    vectors = _vectors(spark, folder)
+    where = dense.where_filter({"$or": [{"label": {"$lt": 3}}, {"label": {"$in": [7, 8]}}]})
+    return _near(dense.knn(vectors, _vector_queries(vectors), 10, "l2", where))
+
+
+def knn_store(spark, folder):
+    """Nearest by cosine over the vector store, dirty vectors and all (no SQL twin: ties of equal vectors)."""
+    store = table(spark, folder, "vector_store").select(F.col("vec_id").alias("id"), "embedding")
+    return _near(dense.knn(store, _vector_queries(store).where(F.size("embedding") == 64), 10, "cosine"))
+
+
+def dense_results(spark, folder):
+    vectors = _vectors(spark, folder)
+    near = dense.knn(vectors, _vector_queries(vectors), 10, "l2")
+    return near.select("query_id", "id", _r(scoring.dense_score(F.col("distance"))).alias("score"))
+
+
+def _legs(spark, folder):
+    """Two rankings of documents for each query: by the model, and by title length, for want of a model's vectors."""
+    left = cut(sparse.ranked(_index(spark, folder), _asked(spark, folder), SETTINGS).select("query_id", F.col("doc_id").alias("id"), "rank"), "leg")
+    docs = _docs(spark, folder).select("doc_id", F.length("title").alias("n"))
+    order = Window.partitionBy("query_id").orderBy(F.desc("n"), "doc_id")
+    pool = left.select("query_id", F.col("id").alias("doc_id")).join(docs, "doc_id")
+    right = pool.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= 100)
+    return left, right.select("query_id", F.concat("doc_id", F.lit("_0")).alias("id"), "rank", "doc_id")
+
+
+def rrf_fusion(spark, folder):
+    got = hybrid.fuse(*_legs(spark, folder), k=10)
+    return got.select("query_id", F.col("rank").cast("long").alias("rank"), "id", _r("rrf_score", 9).alias("rrf_score"))
+
+
+def rrf_fuse_doc(spark, folder):
+    got = hybrid.fuse(*_legs(spark, folder), k=10, fuse_on="doc")
+    return got.select("query_id", F.col("rank").cast("long").alias("rank"), "id", _r("rrf_score", 9).alias("rrf_score"))
+
+
+def insufficiency_score(spark, folder):
+    asked = _asked(spark, folder)
+    local = sparse.search(_index(spark, folder), asked, SETTINGS)
+    got = fallback.insufficiency_scores(asked, local, SETTINGS)
+    return got.select("query_id", "n_results", _r("avg_score", 4).alias("avg_score"), _r("insufficiency_score").alias("insufficiency_score"), "triggered")
+
+
+def fallback_combine(spark, folder):
+    """Local results, and the newest feed items for queries without enough of them."""
+    asked = _asked(spark, folder)
+    local = sparse.search(_index(spark, folder), asked, SETTINGS)
+    order = Window.orderBy(F.desc_nulls_last("published"), "link", "title")
+    items = table(spark, folder, "feed_items").orderBy(F.desc_nulls_last("published"), "link", "title").limit(SETTINGS.web_results_limit)
+    feed = asked.select("query_id").crossJoin(F.broadcast(items.withColumn("position", F.row_number().over(order))))
+    got = fallback.search_with_fallback(asked, local, feed, SETTINGS)
+    return got.select("query_id", F.col("position").cast("long").alias("position"), "origin", "url", _r("score", 4).alias("score"))
+
+
+def web_short_ids(spark, folder):
+    return fallback.feed_documents(table(spark, folder, "feed_items")).select("doc_id", "url", "title", "source")
+
+
+def feed_results(spark, folder):
+    return fallback.feed_results(table(spark, folder, "feed_items")).select("url", "title", "source", "score", "snippet")
+
+
+def key_terms(spark, folder):
+    return _asked(spark, folder).select("query_id", F.array_join(T.key_terms(F.col("q")), "|").alias("terms"))
+
+
+def query_variants(spark, folder):
+    return _asked(spark, folder).select("query_id", F.posexplode(T.query_variants(F.col("q"))).alias("pos", "variant")).select("query_id", F.col("pos").cast("long").alias("pos"), "variant")
+
+
+def upsert_latest(spark, folder):
+    return _docs(spark, folder).select("url", "row_id", "title", F.length("content").cast("long").alias("n"), F.size("authors").cast("long").alias("n_authors"))
+
+
+def delete_by_id(spark, folder):
+    """The collection without the urls that the feed has."""
+    links = table(spark, folder, "feed_items").select(F.col("link").alias("url"))
+    return index.delete_by_key(_docs(spark, folder), links).select("url", "row_id")
+
+
+def prefix_limit(spark, folder):
+    """The first 10 documents by url, as a loader's limit takes them."""
+    return _docs(spark, folder).orderBy("url").limit(10).select("url", "title")
+
+
+def keyset_page(spark, folder):
+    """The full scan in key order."""
+    return _docs(spark, folder).select("doc_id", "title", "content", "source").orderBy("doc_id")
+
+
+def snippets(spark, folder):
+    return _docs(spark, folder).select("url", T.snippet(F.col("content")).alias("snippet"), T.snippet_always(F.col("content")).alias("snippet_always"))
+
+
+def clean_text(spark, folder):
+    return table(spark, folder, "documents").select("doc_id", T.clean_text(F.col("text")).alias("text"))
+
+
+def clean_text_rules(spark, folder):
+    """The cleaning rules without composition, which the SQL twin lacks."""
+    return table(spark, folder, "documents").select("doc_id", T.clean_normalized(F.col("text")).alias("text"))
+
+
+def feed_links(spark, folder):
+    """Distinct absolute links of the feed's HTML summaries."""
+    pages = table(spark, folder, "feed_items").select(F.col("link").alias("url"), F.col("summary").alias("html"))
+    return crawl.page_links(pages)
+
+
+def source_names(spark, folder):
+    return _docs(spark, folder).select("url", T.source_name(F.col("url")).alias("name"))
+
+
+def url_filter(spark, folder):
+    sites = ["malvenda.example", "torrubel.example", "corval.example"]
+    return table(spark, folder, "feed_items").select("link").distinct().select("link", crawl.is_valid_url(F.col("link"), sites).alias("valid"))
+
+
+def scraper_dispatch(spark, folder):
+    known = {"www.malvenda.example": "rt", "www.torrubel.example": "bbc"}
+    return _docs(spark, folder).groupBy(scraper_of(F.col("url"), known).alias("site")).agg(F.count("*").alias("n"))
+
+
+def article_min_length(spark, folder):
+    return _docs(spark, folder).where(F.length(T.strip(F.col("content"))) >= SETTINGS.min_article_chars).select("url")
+
+
+def link_dedupe(spark, folder):
+    """Feed items whose link the collection lacks, once a link."""
+    items = table(spark, folder, "feed_items")
+    fresh = items.join(_docs(spark, folder).select(F.col("url").alias("have")), F.col("link") == F.col("have"), "left_anti")
+    return fresh.groupBy("link").agg(F.count("*").alias("n"))
+
+
+def frontier_step(spark, folder):
+    """One step of the frontier over the graph of documents and the documents their feed summaries lead to."""
+    edges = table(spark, folder, "feed_items").select(F.col("source").alias("src"), F.col("link").alias("dst")).distinct()
+    frontier = edges.select(F.col("src").alias("url")).distinct().withColumn("depth", F.lit(0))
+    visited = _docs(spark, folder).select("url")
+    return crawl.expand_frontier(frontier, visited, edges).select("url", F.col("depth").cast("long").alias("depth"))
+
+
+def sentence_units(spark, folder):
+    """Sentences of every content, by the pattern alone."""
+    docs = _docs(spark, folder)
+    parts = F.filter(F.transform(F.split("content", r"(?<=[.!?…])[ \t\n\r\f]+"), lambda s: F.regexp_replace(s, r"^[ \t\n\r\f]+|[ \t\n\r\f]+$", "")), lambda s: s != "")
+    return docs.select("url", F.size(parts).cast("long").alias("n_sentences"))
+
+
+def chunks(spark, folder):
+    docs = _docs(spark, folder)
+    got = chunker.chunk(docs, SETTINGS)
+    return got.select("id", "content", F.col("metadata.chunk_number").alias("chunk_number"), F.col("metadata.estimated_tokens").alias("estimated_tokens"))
+
+
+def api_standardized(spark, folder):
+    """Items of the answer: the id, else the url; texts as they are."""
+    rows = table(spark, folder, "feed_items")
+    some_id = F.when(F.length("title") % 2 == 0, F.col("title")).otherwise(F.lit(""))
+    return rows.select(F.coalesce(F.nullif(some_id, F.lit("")), "link").alias("id"), "title", F.col("link").alias("url"), "source", F.lit(0.0).alias("score"))
+
+
+def iso_dates(spark, folder):
+    """Dates of the JSON-lines records that are ISO texts."""
+    rows = table(spark, folder, "search_documents")
+    iso = F.col("date").rlike(r"^\d{4}-(0[1-9]|1[0-2])-(0[1-9]|1\d|2[0-8])T([01]\d|2[0-3]):[0-5]\d:[0-5]\d(Z|[+-]\d\d:\d\d)?$")
+    return rows.where(iso).select("row_id", F.unix_micros(dates.parse_iso(F.col("date"))).alias("us"))
+
+
+_NAMES = [
+    token_counts, doc_lengths, term_collection_stats, model_stats, term_stats, term_frequency_lookup, simple_tokens, stemmed_terms, stop_filtered_tokens,
+    candidates_or, bm25_top200, lmir_topk, lmir_scores, lmir_explain, lmir_oov_query, lmir_duplicate_terms, knn_l2, knn_cosine, knn_filtered, knn_store,
+    dense_results, rrf_fusion, rrf_fuse_doc, insufficiency_score, fallback_combine, web_short_ids, feed_results, key_terms, query_variants, upsert_latest,
+    delete_by_id, prefix_limit, keyset_page, snippets, clean_text, clean_text_rules, feed_links, source_names, url_filter, scraper_dispatch,
+    article_min_length, link_dedupe, frontier_step, sentence_units, chunks, api_standardized, iso_dates,
+]
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found} | {f.__name__: f for f in _NAMES}
+
+ORACLES: dict[str, str] = oracles.ORACLES
 
-ORACLES: dict[str, str] = {}
-FLAGSHIP = "p1_found"
+FLAGSHIP = "lmir_topk"

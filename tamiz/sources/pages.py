@@ -9,6 +9,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructType
 
 from ..config import Settings
 from ..functions import text as T
@@ -165,7 +166,7 @@ def _article_nodes(texts) -> list[dict]:
     return nodes
 
 
-@F.pandas_udf("struct<date: string, authors: array<string>>")
+@F.pandas_udf(StructType().add("date", StringType()).add("authors", ArrayType(StringType())))
 def jsonld_article(texts: pd.Series) -> pd.DataFrame:
     """First datePublished and all authors' names of the JSON-LD texts, authors in order without repetitions.
     Malformed texts are skipped."""
