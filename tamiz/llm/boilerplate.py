@@ -64,6 +64,7 @@ def line_nodes(docs: DataFrame, sites: DataFrame) -> DataFrame:
     ``kind``: L list item, Q spoken line, O numbered or linked, B furniture by its form or opening words,
     P closes like a sentence or is long, H anything else (a head).
     """
+    docs = docs.where(F.col("row_id").isNotNull()).select("row_id", "url", "source", "content")
     names = sites.groupBy(F.col("source").alias("s_source")).agg(F.min("site_name").alias("site_name"))
     docs = docs.join(names, F.col("source") == F.col("s_source"), "left").drop("s_source")
     host, name = F.coalesce("source", F.lit("")), F.coalesce("site_name", F.lit(""))
@@ -150,7 +151,7 @@ def _pages(rows: pd.DataFrame) -> list[int]:
 def outside_main(docs: DataFrame, sites: DataFrame) -> DataFrame:
     """(row_id, line_no) of every non-blank line of ``content`` that is not main content.
 
-    NULL, empty and blank contents give no rows; a page without any running text comes out whole.
+    NULL, empty and blank contents and rows without a row_id give no rows; a page without any running text comes out whole.
     Path statistics are aggregated on the map side; a page is put together again from its line
     numbers and scores, not its text.
     """

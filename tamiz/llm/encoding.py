@@ -14,6 +14,7 @@ from __future__ import annotations
 import functools
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,8 +32,8 @@ WRITTEN_IN = "cp1252 mac_roman cp437 cp850".split()
 CLEAN = 0.9  # share of records taken for clean before the first step
 SMOOTHING = 20.0  # records' worth of the overall weights that each source starts with
 STEPS = 4
-RARE = 3e-4  # a word with a bigram less likely than this is suspicious
-MOST = 30.0  # a word's log-likelihood ratio counts for no more
+RARE = 3e-3  # only a word with a bigram less likely than this may be in another alphabet's bytes
+MOST = 60.0  # a word's log-likelihood ratio counts for no more
 INNER_CAPITAL = np.log(0.002)  # a capital after a small letter
 LOST = "�"
 
@@ -55,6 +56,13 @@ def _table(codec: str) -> tuple[list[str], dict[str, int]]:
     return chars, back
 
 
+@functools.cache
+def _leads(codec: str) -> frozenset[str]:
+    """Characters that a first byte of a UTF-8 sequence looks like in ``codec``."""
+    _, back = _table(codec)
+    return frozenset(c for c, b in back.items() if 0xC2 <= b <= 0xF4)
+
+
 def _length(lead: int) -> int:
     return 2 if 0xC2 <= lead <= 0xDF else 3 if 0xE0 <= lead <= 0xEF else 4 if 0xF0 <= lead <= 0xF4 else 0
 
@@ -190,22 +198,22 @@ class Model:
             return cache[word]
         if len(cache) > 200_000:
             cache.clear()
-        out = None
         total, least = self.score(word)
-        if LOST in word or least < np.log(RARE) or "\xa0" in word:
-            out = np.zeros(len(chains()), np.float32)
-            for i, (_, steps) in enumerate(chains()):
-                if not steps:
-                    if re.search(rf"\w{LOST}|{LOST}\w", word):
-                        out[i] = MOST
-                    continue
-                if steps[0][0] == "single" and not _LETTER.search(word):
-                    continue  # a mark that stands alone is no evidence for another alphabet
-                fixed = undo(word, steps)
-                if fixed != word:
-                    out[i] = min(MOST, self.score(fixed)[0] - total)
-            if out.max() <= 0:
-                out = None
+        # a mark that stands alone is no evidence for another alphabet
+        single = (least < np.log(RARE) or "\xa0" in word) and bool(_LETTER.search(word))
+        out = np.zeros(len(chains()), np.float32)
+        for i, (_, steps) in enumerate(chains()):
+            if not steps:
+                if re.search(rf"\w{LOST}|{LOST}\w", word):
+                    out[i] = MOST
+                continue
+            if not single if steps[0][0] == "single" else _leads(steps[0][1]).isdisjoint(word):
+                continue
+            fixed = undo(word, steps)
+            if fixed != word:
+                out[i] = min(MOST, self.score(fixed)[0] - total)
+        if out.max() <= 0:
+            out = None
         cache[word] = out
         return out
 
@@ -298,7 +306,7 @@ def chain_weights(found: DataFrame, steps: int = STEPS) -> DataFrame:
 
 def posteriors(docs: DataFrame, rounds: int = 2) -> tuple[DataFrame, Model]:
     """(doc_id, clean, log_posterior) of the records with evidence, and the bigram model of the last round."""
-    texts = docs.select("doc_id", "source", "text").where(F.col("text").isNotNull() & (F.col("text") != ""))
+    texts = docs.select("doc_id", "source", "text").where(F.col("doc_id").isNotNull() & F.col("text").isNotNull() & (F.col("text") != ""))
     training = texts
     for turn in range(rounds):
         model = Model(bigram_counts(training))
@@ -321,7 +329,8 @@ def posteriors(docs: DataFrame, rounds: int = 2) -> tuple[DataFrame, Model]:
 def garbled(docs: DataFrame) -> DataFrame:
     """(doc_id) of every record of ``docs`` (doc_id, source, text) with a stretch read in a wrong encoding.
 
-    NULL and empty texts and texts in ASCII alone never count; a NULL source is a source of its own.
+    NULL and empty texts, texts in ASCII alone and rows without a doc_id never count; a NULL source is a source
+    of its own. Copies are judged alike.
     """
     judged, _ = posteriors(docs)
     return judged.where(F.col("clean") < 0.5).select("doc_id")
@@ -342,17 +351,26 @@ def restored(docs: DataFrame) -> DataFrame:
             rows = []
             for doc_id, text, weight in zip(batch["doc_id"], batch["text"], batch["log_posterior"], strict=True):
                 weight = np.maximum(np.asarray(weight, float), -6.0)
+                used: Counter = Counter()
 
-                def fix(match: re.Match, weight=weight) -> str:
+                def fix(match: re.Match, weight=weight, used=used) -> str:
                     word = match[0]
-                    v = own.verdict(word) if _HIGH.search(word) else None
-                    if v is None or v.max() <= 0:
-                        return word
-                    best = int(np.argmax(np.where(v > 0, v + weight, -np.inf)))
-                    return undo(word, known[best][1])
+                    for _ in range(3):  # what one chain leaves garbled, another may undo
+                        v = own.verdict(word) if _HIGH.search(word) else None
+                        if v is None:
+                            break
+                        gain = np.where(v > 0, v + weight, -np.inf)
+                        better = undo(word, known[int(gain.argmax())][1])
+                        if gain.max() <= -3 or better == word:
+                            break
+                        # of chains that give the same, the first in the list is the simplest
+                        used[next(name for name, steps in known if undo(word, steps) == better)] += 1
+                        word = better
+                    return word
 
                 fixed = re.sub(r"[^ \t\r\n\f\v]+", fix, text)
-                rows.append((doc_id, known[int(np.argmax(weight))][0], fixed, LOST not in fixed))
+                chain = used.most_common(1)[0][0] if used else known[int(np.argmax(weight))][0]
+                rows.append((doc_id, chain, fixed, LOST not in fixed))
             yield pd.DataFrame(rows, columns=["doc_id", "chain", "text", "complete"])
 
     return joined.select("doc_id", "text", "log_posterior").mapInPandas(run, "doc_id BIGINT, chain STRING, text STRING, complete BOOLEAN")

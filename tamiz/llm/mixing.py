@@ -17,7 +17,7 @@ from .prefix import running_sum
 from .tokens import DEFAULT_VOCABULARY, token_size
 
 BLOCK_TOKENS = 4096
-BUCKETS = 256
+BUCKET_ROWS = 50_000  # uses in one window of a running sum, on average
 SLOTS_A_BUCKET = 16384
 PHI = 0.6180339887498949  # the golden ratio less one
 
@@ -26,7 +26,7 @@ def sized_texts(docs: DataFrame, targets: DataFrame, vocabulary: str = DEFAULT_V
     """(doc_id, source, n_tokens) of the texts of the target sources; a text that several rows repeat counts
     once (the smallest doc_id), NULL and empty texts not at all."""
     wanted = targets.select(F.col("source").alias("t_source")).distinct()
-    rows = docs.where(F.col("text").isNotNull() & (F.col("text") != ""))
+    rows = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull() & (F.col("text") != "")).select("doc_id", "source", "text")
     rows = rows.join(wanted, F.col("source") == F.col("t_source"), "left_semi")
     first = rows.groupBy(F.xxhash64("text").alias("k1"), F.xxhash64(F.lit("b"), "text").alias("k2")).agg(F.min("doc_id").alias("first"))
     first = cut(first.select("first"), "texts")
@@ -70,11 +70,17 @@ def schedule(spark: SparkSession, shares: list[tuple[str, float]], slots: int) -
 
 
 def blocks(spark: SparkSession, sized: DataFrame, sources: list[tuple], block_tokens: int) -> DataFrame:
-    """(source, block, pass, doc_id, n_tokens): every use of every text that the caps allow, in its block."""
+    """(source, block, pass, doc_id, n_tokens): every use of every text that the caps allow, in its block.
+
+    A pass is shuffled by a hash; its top bits, more of them for a larger source, are the buckets of the
+    running sum.
+    """
+    most = sized.groupBy("source").count().agg(F.max("count")).first()[0] or 1
+    bits = max(4, min(24, (most // BUCKET_ROWS).bit_length()))
     caps = spark.createDataFrame([(s[0], s[2]) for s in sources], "c_source STRING, cap INT")
     uses = sized.join(F.broadcast(caps), F.col("source") == F.col("c_source")).select("doc_id", "source", "n_tokens", F.explode(F.sequence(F.lit(0), F.col("cap") - 1)).alias("pass"))
     uses = uses.withColumn("at", F.xxhash64("doc_id", "pass"))
-    uses = uses.withColumn("bucket", F.col("pass").cast("long") * BUCKETS + F.shiftrightunsigned("at", 56))
+    uses = uses.withColumn("bucket", F.col("pass").cast("long") * (1 << bits) + F.shiftrightunsigned("at", 64 - bits))
     laid = running_sum(uses, "source", "bucket", ["at", "doc_id"], "n_tokens", "start")
     middle = F.col("start") + F.col("n_tokens") / 2
     return laid.select("source", F.floor(middle / block_tokens).alias("block"), "pass", "doc_id", "n_tokens")

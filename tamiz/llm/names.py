@@ -27,6 +27,7 @@ from ..session import cut
 PIVOTS = 24
 PIVOT_SAMPLE = 2000  # words, at most, among which the pivots are chosen
 RADIUS = 1
+LONGEST_WORD = 64  # characters; a longer word is no name's, and is linked as it stands only
 RARE_STRINGS = 2  # a surname that no more strings have may be a misspelling of a neighbour
 
 # Spanish given names, each followed by its familiar forms.
@@ -160,7 +161,8 @@ def choose_pivots(words: list[str], count: int = PIVOTS) -> list[str]:
 
 
 def close_words(vocabulary: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(word, other): all ordered pairs of different words of ``vocabulary`` (word) within edit distance 1.
+    """(word, other): all ordered pairs of different words of ``vocabulary`` (word) within edit distance 1, of words
+    of up to LONGEST_WORD characters.
 
     A word x lives in the cell of its nearest pivot p. If d(x, y) <= r then d(y, p) <= d(x, p) + r
     <= d(y, q) + 2r for y's own pivot q, so y need only look on in cells with d(y, p) <= d(y, q) + 2r,
@@ -168,7 +170,7 @@ def close_words(vocabulary: DataFrame, radius: int = RADIUS) -> DataFrame:
     """
     if radius != 1:
         raise ValueError("the deletion forms cover a radius of 1")
-    words = vocabulary.where(F.length("word") > 0).select("word").distinct()
+    words = vocabulary.where(F.length("word").between(1, LONGEST_WORD)).select("word").distinct()
     sample = [r["word"] for r in words.orderBy(F.xxhash64("word")).limit(PIVOT_SAMPLE).collect()]
     pivots = choose_pivots(sample)
 

@@ -96,7 +96,7 @@ def _full_text() -> Column:
 
 def classes(docs: DataFrame) -> DataFrame:
     """(row_id, rep): each row with non-empty content, and the smallest row_id of the same title and content."""
-    rows = docs.where(F.col("content").isNotNull() & (F.col("content") != ""))
+    rows = docs.where(F.col("row_id").isNotNull() & F.col("content").isNotNull() & (F.col("content") != ""))
     rows = rows.select("row_id", F.xxhash64(_full_text()).alias("k1"), F.xxhash64(F.lit("b"), _full_text()).alias("k2"))
     least = rows.groupBy("k1", "k2").agg(F.min("row_id").alias("rep"))
     return rows.join(least, ["k1", "k2"]).select("row_id", "rep")
@@ -162,17 +162,13 @@ def similar_classes(docs: DataFrame, members: DataFrame, threshold: float = THRE
 
 def pairs_of_rows(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(row_a, row_b), the smaller first, of all rows with non-empty content whose similarity reaches
-    ``threshold``; rows of fewer than three words have no triples and no pair. Extra columns are ignored."""
+    ``threshold``; rows of fewer than three words have no triples and no pair, rows without a row_id take
+    no part. Extra columns are ignored."""
     members = cut(classes(docs), "members")
     links = similar_classes(docs, members, threshold).select("rep_a", "rep_b")
     alone = members.groupBy("rep").agg(F.count("*").alias("n")).where(F.col("n") > 1)
     full = docs.select("row_id", _full_text().alias("text")).join(alone, F.col("row_id") == F.col("rep"), "left_semi")
-
-    @F.pandas_udf("boolean")
-    def has_triple(text: pd.Series) -> pd.Series:
-        return text.map(lambda t: len(_WORD.findall(t or "")) >= WORDS)
-
-    copies = full.where(has_triple("text")).select(F.col("row_id").alias("rep_a"), F.col("row_id").alias("rep_b"))
+    copies = full.where(F.regexp_count("text", F.lit(r"[\p{L}\p{N}]+")) >= WORDS).select(F.col("row_id").alias("rep_a"), F.col("row_id").alias("rep_b"))
     links = links.unionByName(copies)
     a = members.select(F.col("rep").alias("rep_a"), F.col("row_id").alias("x"))
     b = members.select(F.col("rep").alias("rep_b"), F.col("row_id").alias("y"))

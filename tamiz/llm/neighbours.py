@@ -232,7 +232,7 @@ def neighbour_lists(store: DataFrame, top: int = TOP) -> DataFrame:
     itself first, then each neighbour with its copies; only the smallest ``top`` + 1 ids of a class can
     matter and only they are kept. Rows with a vector that cannot be used have no list and are in none.
     """
-    rows = store.where(usable(F.col("embedding"))).select("vec_id", "embedding")
+    rows = store.where(F.col("vec_id").isNotNull() & usable(F.col("embedding"))).select("vec_id", "embedding")
     keyed = rows.select("vec_id", F.xxhash64("embedding").alias("h1"), F.xxhash64(F.lit(1), "embedding").alias("h2"))
     counts = keyed.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("vec_id").alias("rep")).where(F.col("n") > 1)
     crowds = cut(counts.select("h1", "h2", "rep"), "crowds")

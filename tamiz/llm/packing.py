@@ -19,7 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
-from .tokens import DEFAULT_VOCABULARY, encoder
+from .tokens import DEFAULT_VOCABULARY
+from .tokens import count as tokens_of
 
 PARTITION_ITEMS = 8192  # of one packing task, on average
 ROUNDS = 3
@@ -79,19 +80,18 @@ def best_fit_decreasing(sizes: np.ndarray, capacity: int) -> np.ndarray:
 
 def measured_pieces(docs: DataFrame, capacity: int, vocabulary: str = DEFAULT_VOCABULARY) -> DataFrame:
     """(doc_id, piece_no, n_pieces, n_tokens): one item a text, or as few as possible of one that exceeds
-    ``capacity`` alone. NULL and empty texts are one item of 0 tokens."""
+    ``capacity`` alone. NULL and empty texts are one item of 0 tokens; rows without a doc_id are left out."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = encoder(vocabulary)
         for batch in batches:
             out = []
             for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-                n = len(own.encode_ordinary(text)) if text else 0
+                n = tokens_of(text, vocabulary)
                 pieces = max(1, -(-n // capacity))
                 out += [(doc_id, p, pieces, min(capacity, n - p * capacity)) for p in range(pieces)]
             yield pd.DataFrame(out, columns=["doc_id", "piece_no", "n_pieces", "n_tokens"])
 
-    return docs.select("doc_id", "text").mapInPandas(run, ITEM)
+    return docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text").mapInPandas(run, ITEM)
 
 
 def _packer(capacity: int):

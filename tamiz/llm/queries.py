@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import work_dir
-from . import boilerplate, encoding, lines, mixing, names, near_dup, neighbours, packing, splitting
+from . import boilerplate, encoding, lines, mixing, names, near_dup, neighbours, oracles, packing, splitting
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -131,4 +131,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p10_restored": p10_restored,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = oracles.ORACLES
