@@ -55,8 +55,9 @@ class Engine:
         """Chunk and embed ``docs``, add the chunks whose id is new; the number of chunks made."""
         chunks = chunker.chunk(docs, self.settings)
         rows = chunks.select("id", "content", F.col("metadata.doc_id").alias("doc_id"), F.col("metadata.title").alias("title"), F.col("metadata.source").alias("source"), self.embed("content").alias("embedding"))
-        rows.write.mode("overwrite").parquet(f"{path}/delta")
-        fresh = self.spark.read.parquet(f"{path}/delta")
+        self._delta = getattr(self, "_delta", 0) + 1
+        rows.write.mode("overwrite").parquet(f"{path}/delta{self._delta}")
+        fresh = self.spark.read.parquet(f"{path}/delta{self._delta}")
         self.vectors = fresh.dropDuplicates(["id"]) if self.vectors is None else dense.add_vectors(self.vectors, fresh)
         return fresh.count()
 
