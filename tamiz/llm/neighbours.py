@@ -28,7 +28,7 @@ DIMS, DEPTH = 8, 5  # directions of a curve, bits of each
 CURVES = 4
 WINDOW = 384
 BLOCK = 4096
-SAMPLE = 100_000  # vectors, at most, whose keys set the ranges
+SAMPLE = 20_000  # vectors, at most, whose keys set the ranges
 SPREAD = 2.5  # standard deviations that a curve's grid covers on either side
 MERGE_GROUPS = 64
 
