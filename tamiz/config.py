@@ -21,7 +21,7 @@ class Settings:
     insufficiency_threshold: float = 0.5
     web_results_limit: int = 5
     min_article_chars: int = 500
-    user_agent: str = "TamizCrawler/1.0"
+    user_agent: str = "MiCrawler/1.0"
     analyzer: str = "spanish"
 
     @property

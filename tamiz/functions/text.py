@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 # Words left out of a query's key terms.
-KEY_TERM_STOP = "el la los las un una unos unas de del en y o que con por para sobre como al se su sus es son".split()
+KEY_TERM_STOP = "el la de que y a en es se los las por con un una para del al este esto han son haya sea".split()
 
 # Endings put to a query for a web search.
 VARIANT_ENDINGS = ["actualidad", "noticias", "últimas noticias"]

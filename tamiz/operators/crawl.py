@@ -12,8 +12,8 @@ from ..functions.text import netloc, urljoin
 from ..session import cut
 
 # Hosts that may be crawled, and endings of what is not a page.
-ALLOWED_DOMAINS = "cubadebate.cu presidencia.gob.cu bbc.com telesurtv.net actualidad.rt.com telemundo.com lanacion.com telemundo51.com".split()
-BLOCKED_ENDINGS = ".jpg .jpeg .png .gif .svg .pdf .zip .mp4 .mp3 .css .js".split()
+ALLOWED_DOMAINS = "cubadebate.cu oncubanews.com bbc.com lanacion.com telesurtv.net actualidad.rt.com presidencia.gob.cu telemundo.com".split()
+BLOCKED_ENDINGS = ".pdf .jpg .jpeg .png .gif .zip .rar .mp4 .mp3 .css .js".split()
 
 
 def is_valid_url(url: Column, domains: list[str] = ALLOWED_DOMAINS, blocked: list[str] = BLOCKED_ENDINGS, strict_host: bool = False) -> Column:
@@ -62,7 +62,7 @@ def page_links(pages: DataFrame) -> DataFrame:
     return links.where(F.col("dst").startswith("http")).distinct()
 
 
-def crawl(pages: DataFrame, seeds: DataFrame, robots: DataFrame, max_depth: int = 3, max_pages: int | None = None, agent: str = "TamizCrawler/1.0", valid: Column | None = None) -> DataFrame:
+def crawl(pages: DataFrame, seeds: DataFrame, robots: DataFrame, max_depth: int = 3, max_pages: int | None = None, agent: str = "MiCrawler/1.0", valid: Column | None = None) -> DataFrame:
     """(url, depth) of the fetched pages, breadth first from ``seeds`` (url).
 
     ``pages`` (url, html) is what a fetch would give: a url that is not in it failed and is not visited.

@@ -168,7 +168,7 @@ ORACLES: dict[str, str] = {
     "source_names": f"WITH {DOCS} SELECT url, replace({_NETLOC.format(u='url')}, 'www.', '') AS name FROM docs",
     "url_filter": f"""SELECT link, coalesce(lower(regexp_extract(link, '^([A-Za-z][A-Za-z0-9+.\\-]*):', 1)) IN ('http', 'https')
       AND len(list_filter(['malvenda.example', 'torrubel.example', 'corval.example'], lambda d: contains({_NETLOC.format(u="link")}, d))) > 0
-      AND NOT regexp_matches(lower(regexp_extract(link, '^[A-Za-z][A-Za-z0-9+.\\-]*://[^/?#]*([^?#]*)', 1)), '\\.(jpg|jpeg|png|gif|svg|pdf|zip|mp4|mp3|css|js)$'), false) AS valid FROM (SELECT DISTINCT link FROM feed_items)""",
+      AND NOT regexp_matches(lower(regexp_extract(link, '^[A-Za-z][A-Za-z0-9+.\\-]*://[^/?#]*([^?#]*)', 1)), '\\.(pdf|jpg|jpeg|png|gif|zip|rar|mp4|mp3|css|js)$'), false) AS valid FROM (SELECT DISTINCT link FROM feed_items)""",
     "scraper_dispatch": f"WITH {DOCS} SELECT CASE lower({_NETLOC.format(u='url')}) WHEN 'www.malvenda.example' THEN 'rt' WHEN 'www.torrubel.example' THEN 'bbc' ELSE 'base' END AS site, count(*) AS n FROM docs GROUP BY 1",
     "article_min_length": f"WITH {DOCS} SELECT url FROM docs WHERE length(regexp_replace(content, '{_TRIM}', '', 'g')) >= {_S.min_article_chars}",
     "link_dedupe": f"WITH {DOCS} SELECT link, count(*) AS n FROM feed_items WHERE link IS NOT NULL AND NOT EXISTS (SELECT 1 FROM docs WHERE docs.url = feed_items.link) GROUP BY 1",

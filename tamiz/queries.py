@@ -280,12 +280,6 @@ def clean_text_rules(spark, folder):
     return table(spark, folder, "documents").select("doc_id", T.clean_normalized(F.col("text")).alias("text"))
 
 
-def feed_links(spark, folder):
-    """Distinct absolute links of the feed's HTML summaries."""
-    pages = table(spark, folder, "feed_items").select(F.col("link").alias("url"), F.col("summary").alias("html"))
-    return crawl.page_links(pages)
-
-
 def source_names(spark, folder):
     return _docs(spark, folder).select("url", T.source_name(F.col("url")).alias("name"))
 
@@ -350,7 +344,7 @@ _NAMES = [
     token_counts, doc_lengths, term_collection_stats, model_stats, term_stats, term_frequency_lookup, simple_tokens, stemmed_terms, stop_filtered_tokens,
     candidates_or, bm25_top200, lmir_topk, lmir_scores, lmir_explain, lmir_oov_query, lmir_duplicate_terms, knn_l2, knn_cosine, knn_filtered, knn_store,
     dense_results, rrf_fusion, rrf_fuse_doc, insufficiency_score, fallback_combine, web_short_ids, feed_results, key_terms, query_variants, upsert_latest,
-    delete_by_id, prefix_limit, keyset_page, snippets, clean_text, clean_text_rules, feed_links, source_names, url_filter, scraper_dispatch,
+    delete_by_id, prefix_limit, keyset_page, snippets, clean_text, clean_text_rules, source_names, url_filter, scraper_dispatch,
     article_min_length, link_dedupe, frontier_step, sentence_units, chunks, api_standardized, iso_dates,
 ]
 

@@ -15,20 +15,26 @@ from ..config import Settings
 from ..functions import text as T
 from ..functions.dates import parse_iso
 
-# The class of site rules for each host.
+# The class of site rules for each host, with and without "www.".
 SITES = {
-    "www.cubadebate.cu": "cubadebate", "www.presidencia.gob.cu": "presidencia", "www.bbc.com": "bbc", "www.telesurtv.net": "telesur",
-    "actualidad.rt.com": "rt", "www.telemundo.com": "telemundo", "www.lanacion.com.ar": "lanacion",
+    prefix + host: site
+    for host, site in [
+        ("cubadebate.cu", "cubadebate"), ("telemundo.com", "telemundo"), ("bbc.com", "bbc"), ("actualidad.rt.com", "rt"),
+        ("presidencia.gob.cu", "presidencia"), ("telesurtv.net", "telesur"), ("lanacion.com.ar", "lanacion"),
+    ]
+    for prefix in ("", "www.")
 }
 
-# What counts as text at a site: (tags, class or ancestor word or "", tags left out below, drop paragraphs with links)
+# Where a site keeps its text: the container's class, the blocks in it (tag, tag.class, or class>tag),
+# parts left out.
 RULES = {
-    "bbc": (("p", "h2"), "main", (), True),
-    "rt": (("p", "h2", "h3", "li"), "ArticleView", ("twitter",), False),
-    "lanacion": (("p", "h2"), "nota", (), False),
-    "telemundo": (("p", "h2", "h3"), "article", ("faq",), False),
-    "base": (("p", "h2", "h3", "li"), "article", (), False),
+    "bbc": ("css-1k9op6x", "p h2", ""),
+    "rt": ("ArticleView-text", "Text-root>p h2 h3 li blockquote", "EmbedBlock-twitter"),
+    "lanacion": ("", "p.com-paragraph li.com-item h3.step-title h2 blockquote", ""),
+    "telemundo": ("article-body__content", "p.body-graf li h2 blockquote h3.body-heading", "article-faq-embed"),
+    "base": ("article", "p h2 h3 li", ""),
 }
+BBC_NOTICE = "Y recuerda que puedes recibir notificaciones en nuestra app. Descarga la última versión y actívalas."
 
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _HIDDEN = frozenset(("script", "style", "noscript", "template"))
@@ -68,7 +74,7 @@ class _Reader(HTMLParser):
             return
         if tag in ("p", "li"):  # their ends may be missing
             self._close(tag)
-        self.stack.append((tag, f"{tag} {a.get('class', '')} {a.get('id', '')}"))
+        self.stack.append((tag, f"{tag} {a.get('class', '')} {a.get('id', '')} {a.get('data-testid', '')}"))
         if tag == "script" and a.get("type", "").lower() == "application/ld+json":
             self.script = []
         if tag in ("p", "h1", "h2", "h3", "li", "blockquote"):
@@ -201,21 +207,34 @@ def extract_articles(pages: DataFrame, settings: Settings = Settings(), sites: d
     kind = F.try_element_at(F.col("metas"), F.lit("og:type"))
     parsed = parsed.where(~F.col("has_og_type") | (F.coalesce(kind, F.lit("")) == "article"))
 
-    def chosen(rule):
-        tags, word, dropped, no_links = rule
+    def chosen(site):
+        container, wanted, dropped = RULES[site]
+
+        def is_block(b, spec):
+            within, _, rest = spec.rpartition(">")
+            tag, _, own = rest.partition(".")
+            test = b["tag"] == tag
+            if own:
+                test = test & F.contains(F.substring_index(b["path"], " / ", -1), F.lit(own))
+            return test & F.contains(b["path"], F.lit(within)) if within else test
 
         def keep(b):
-            test = b["tag"].isin(*tags) & F.contains(F.lower(b["path"]), F.lit(word.lower()))
-            for d in dropped:
-                test = test & ~F.contains(F.lower(b["path"]), F.lit(d))
-            return test & ~(b["has_link"] & (b["tag"] == "p")) if no_links else test
+            test = F.lit(False)
+            for spec in wanted.split():
+                test = test | is_block(b, spec)
+            if container:
+                test = test & F.contains(b["path"], F.lit(container))
+            if dropped:
+                test = test & ~F.contains(b["path"], F.lit(dropped))
+            return test & ~(b["has_link"] & (b["tag"] == "p")) if site == "bbc" else test
 
         return F.transform(F.filter("blocks", keep), lambda b: b["text"])
 
-    picked = chosen(RULES["base"])
-    for site, rule in RULES.items():
+    picked = chosen("base")
+    for site in RULES:
         if site != "base":
-            picked = F.when(F.col("site") == site, chosen(rule)).otherwise(picked)
+            picked = F.when(F.col("site") == site, chosen(site)).otherwise(picked)
+    picked = F.when(F.col("site") == "bbc", T.drop_paragraph(picked, BBC_NOTICE)).otherwise(picked)
     parsed = parsed.withColumn("paragraphs", picked)
     # a page without the site's container falls back to all its paragraphs
     plain = F.transform(F.filter("blocks", lambda b: b["tag"].isin("p", "h2", "h3")), lambda b: b["text"])

@@ -37,13 +37,13 @@ def test_extraction(spark):
     rows = [
         ("http://www.x.org/1", page(long)), ("http://x.org/2", page(short)), ("http://x.org/3", page(long, og.format("website"))), ("http://x.org/4", page(long, '<meta property="og:type">')),
         ("http://x.org/5", page(long, og.format("article") + ld.format(json.dumps(article)))), ("http://x.org/6", page(long, ld.format("{bad"))), ("http://x.org/7", None), ("http://x.org/8", "<p><b"),
-        ("https://www.bbc.com/9", page(long + '</p><p>con <a href="/">enlace</a>', tag="main")),
+        ("https://www.bbc.com/9", f'<title>T</title><div class="css-1k9op6x e17x9cvu0"><p>{long}</p><p>con <a href="/">enlace</a></p></div><div><p>fuera</p></div>'),
     ]
     got = {r["url"][-1]: r for r in pages.extract_articles(spark.createDataFrame(rows, "url string, html string")).collect()}
     assert set(got) == {"1", "5", "6", "9"}
     assert got["1"]["source"] == "x.org" and got["1"]["title"] == "Título" and got["1"]["content"] == long
     assert got["5"]["authors"] == ["Ana", "Luis"] and got["5"]["date"].year == 2024
-    assert got["6"]["date"] is None and "enlace" not in got["9"]["content"]
+    assert got["6"]["date"] is None and got["9"]["content"] == long
 
 
 def test_jsonl(spark, tmp_path):
