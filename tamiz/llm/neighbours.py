@@ -7,6 +7,11 @@ as an onlooker to the next one, so each vector meets at least WINDOW neighbours
 on either side in key order. Inside a range the windows are scored by cosine as
 matrix products; the lists of all curves are merged per vector.
 
+A window is a share of the collection that shrinks as it grows, and what the
+curves find shrinks with it. So the lists are then joined up: each vector's
+neighbours are compared with each other and with it, for as many rounds as more
+than REST of the entries change. This follows what the curves missed, not a size.
+
 Vectors and lists cross the network packed, many to a record, the vectors as
 16-bit fixed point (an error of about 1e-5 in a cosine).
 """
@@ -20,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, release
 
 SIZE = 64
 TOP = 10
@@ -31,6 +36,7 @@ BLOCK = 4096
 SAMPLE = 20_000  # vectors, at most, whose keys set the ranges
 SPREAD = 2.5  # standard deviations that a curve's grid covers on either side
 MERGE_GROUPS = 64
+REST = 0.1  # of the entries: a round that changes fewer is the last; the next changed a tenth as many where measured
 
 _TIE_BITS = 23
 _SEED = 7041776
@@ -224,7 +230,100 @@ def nearest(vectors: DataFrame, curves: int = CURVES, window: int = WINDOW, bloc
     return scored.groupBy("bucket").applyInPandas(merge, "vec_id BIGINT, ids ARRAY<BIGINT>, scores ARRAY<FLOAT>")
 
 
-def neighbour_lists(store: DataFrame, top: int = TOP) -> DataFrame:
+def _flat(ids: np.ndarray, others: np.ndarray, scores: np.ndarray, new: bool, groups: int) -> pd.DataFrame:
+    """Single entries of lists, packed by bucket."""
+    bucket = ids % groups
+    at = [np.flatnonzero(bucket == g) for g in np.unique(bucket)]
+    out = [(int(bucket[i[0]]), _planes(ids[i]), _planes(others[i]), scores[i].astype("<f4").tobytes(), new) for i in at]
+    return pd.DataFrame(out, columns=["bucket", "own", "ids", "scores", "new"])
+
+
+def _padded(lists: pd.Series, top: int) -> np.ndarray:
+    sizes = np.array([len(x) for x in lists], np.int64)
+    table = np.full((len(sizes), top), -1, np.int64)
+    if sizes.sum():
+        table[np.arange(top) < sizes[:, None]] = np.concatenate(lists.to_list())
+    return table
+
+
+def local_pairs(unit: np.ndarray, ids: np.ndarray, table: np.ndarray, worst: np.ndarray, own: np.ndarray, step: int = 2048):
+    """(row, other row, cosine) of the pairs among each of the rows ``own`` and its list that belong on the first's list.
+
+    ``ids`` rise; ``table`` has each row's list (-1 where it ends), ``worst`` the cosine to reach.
+    """
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32))]
+    for i in range(0, len(own), step):
+        rows = own[i : i + step]
+        near = np.column_stack([ids[rows], table[rows]])
+        at = np.minimum(np.searchsorted(ids, near), len(ids) - 1)
+        there = ids[at] == near
+        sims = unit[at] @ unit[at].transpose(0, 2, 1)
+        fits = (sims >= worst[at][:, :, None]) & there[:, :, None] & there[:, None, :] & (at[:, :, None] != at[:, None, :])
+        r, j, k = np.nonzero(fits)
+        a, b, score = at[r, j], at[r, k], sims[r, j, k]
+        fresh = ~(table[a] == ids[b][:, None]).any(1)
+        found.append((a[fresh], b[fresh], score[fresh]))
+    a, b, score = (np.concatenate(x) for x in zip(*found, strict=True))
+    _, once = np.unique(a * len(ids) + b, return_index=True)
+    return a[once], b[once], score[once].astype(np.float32)
+
+
+def joined_up(vectors: DataFrame, lists: DataFrame, top: int = TOP, block: int = BLOCK) -> DataFrame:
+    """``lists`` (vec_id, ids, scores) of ``vectors`` after one round: neighbours of a common vector are compared.
+
+    Adds ``fresh``, the number of entries that are new. Lists with a common leader, the id of the least hash, meet
+    in one group, to which each vector goes once.
+    """
+    total = lists.count()
+    parts, groups = max(1, total // block), max(MERGE_GROUPS, total // 200_000)
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            unit = np.round(_units(batch["embedding"]) * 32767).astype("<i2") if len(batch) else []
+            yield pd.DataFrame({"vec_id": batch["vec_id"], "unit": [u.tobytes() for u in unit]})
+
+    def meet(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("vec_id", ignore_index=True)
+        ids = frame["vec_id"].to_numpy()
+        unit = np.frombuffer(b"".join(frame["unit"]), "<i2").reshape(len(ids), -1).astype(np.float32)
+        unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+        own = np.flatnonzero((frame["home"] == frame["g"]).to_numpy())
+        a, b, score = local_pairs(unit, ids, _padded(frame["ids"], top), frame["worst"].to_numpy(), own)
+        return _flat(ids[a], ids[b], score, True, groups)
+
+    def known(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            sizes = [len(x) for x in batch["ids"]]
+            if sum(sizes):
+                yield _flat(batch["vec_id"].to_numpy().repeat(sizes), np.concatenate(batch["ids"].to_list()), np.concatenate(batch["scores"].to_list()), False, groups)
+
+    def merge(frame: pd.DataFrame) -> pd.DataFrame:
+        own, ids = (np.concatenate([_unplanes(x) for x in frame[c]]) for c in ("own", "ids"))
+        scores = np.frombuffer(b"".join(frame["scores"]), "<f4")
+        new = np.repeat(frame["new"].to_numpy(bool), [len(x) // 4 for x in frame["scores"]])
+        order = np.lexsort((-scores, ids, own))
+        order = order[np.r_[True, (own[order][1:] != own[order][:-1]) | (ids[order][1:] != ids[order][:-1])]]  # each pair once
+        order = order[np.lexsort((ids[order], -scores[order], own[order]))]
+        own, ids, scores, new = own[order], ids[order], scores[order], new[order]
+        first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+        turn = np.arange(len(own)) - np.repeat(first, np.diff(np.r_[first, len(own)]))
+        keep = turn < top
+        own, ids, scores, new = own[keep], ids[keep], scores[keep], new[keep]
+        first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+        return pd.DataFrame({"vec_id": own[first], "ids": np.split(ids, first[1:]), "scores": np.split(scores, first[1:]), "fresh": np.add.reduceat(new.astype(np.int64), first)})
+
+    leader = F.array_min(F.transform(F.concat(F.array("vec_id"), "ids"), lambda x: F.xxhash64(x)))
+    homes = lists.select("vec_id", "ids", "scores", F.pmod(F.xxhash64(leader), F.lit(parts)).alias("home"))
+    wanted = homes.select(F.col("home").alias("g"), F.explode(F.concat(F.array("vec_id"), "ids")).alias("vec_id")).distinct()
+    worst = F.when(F.size("scores") < top, F.lit(-2.0)).otherwise(F.array_min("scores")).cast("float").alias("worst")
+    rows = homes.select("vec_id", "ids", worst, "home").join(vectors.mapInPandas(pack, "vec_id BIGINT, unit BINARY"), "vec_id")
+    flat = "bucket BIGINT, own BINARY, ids BINARY, scores BINARY, new BOOLEAN"
+    met = wanted.join(rows, "vec_id").groupBy("g").applyInPandas(meet, flat)
+    entries = met.unionByName(lists.select("vec_id", "ids", "scores").mapInPandas(known, flat))
+    return entries.groupBy("bucket").applyInPandas(merge, "vec_id BIGINT, ids ARRAY<BIGINT>, scores ARRAY<FLOAT>, fresh BIGINT")
+
+
+def neighbour_lists(store: DataFrame, top: int = TOP, window: int = WINDOW, block: int = BLOCK) -> DataFrame:
     """(vec_id, other BIGINT, score, rank) of every usable row of ``store`` (vec_id, embedding): its ``top`` most
     similar other rows by cosine, ties to the smaller vec_id.
 
@@ -243,7 +342,13 @@ def neighbour_lists(store: DataFrame, top: int = TOP) -> DataFrame:
         least = least.withColumn("r", F.row_number().over(Window.partitionBy(*by).orderBy("vec_id"))).where(F.col("r") <= top + 1)
     few = cut(least.groupBy("rep").agg(F.sort_array(F.collect_list("vec_id")).alias("members")), "members")
     distinct = rows.join(copies.where(F.col("rep") != F.col("vec_id")).select("vec_id"), "vec_id", "left_anti")
-    lists = cut(nearest(distinct, top=top), "lists")
+    lists = cut(nearest(distinct, window=window, block=block, top=top), "lists")
+    while True:
+        release(store.sparkSession)  # the shuffles behind the lists have served
+        lists = cut(joined_up(distinct, lists, top, block), "lists")
+        changed, entries = lists.agg(F.sum("fresh"), F.sum(F.size("ids"))).first()
+        if (changed or 0) <= REST * (entries or 0):
+            break
     out = lists.select("vec_id", F.posexplode(F.arrays_zip("ids", "scores")).alias("place", "n"))
     out = out.select("vec_id", F.col("n.ids").alias("other"), F.col("n.scores").alias("score"))
     grown = out.join(few.select(F.col("rep").alias("other"), "members"), "other", "left")

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import tempfile
+import time
 import uuid
 import zipfile
 from pathlib import Path
@@ -78,6 +80,14 @@ def cut(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let the shuffle files of frames that nothing refers to any more be dropped now, not when the driver next collects garbage."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)  # Spark drops the files in the background
+
+
 def _drop_work() -> None:
     for spark, path in _made:
         try:

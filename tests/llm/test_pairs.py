@@ -99,6 +99,21 @@ def test_neighbours_recall_over_many_ranges(spark):
     assert sum(len(got[i] & set(want[i])) for i in want) >= 0.9 * 10 * len(want)
 
 
+def test_neighbours_that_the_windows_miss(spark):
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(60, 64))
+    rows = [(i, (centres[i % 60] + 0.5 * rng.normal(size=64)).tolist()) for i in range(3000)]
+    want = best(rows)
+    vectors = store(spark, rows)
+    few = {r["vec_id"]: set(r["ids"]) for r in neighbours.nearest(vectors.select("vec_id", "embedding"), window=2, block=32).collect()}
+    assert sum(len(few[i] & set(want[i])) for i in want) < 0.8 * 10 * len(want)
+    got: dict[int, set] = {i: set() for i in want}
+    for r in neighbours.neighbour_lists(vectors, window=2, block=32).collect():
+        got[r["vec_id"]].add(r["other"])
+    assert all(len(x) == 10 for x in got.values())
+    assert sum(len(got[i] & set(want[i])) for i in want) >= 0.9 * 10 * len(want)
+
+
 def test_hilbert_keys_are_a_continuous_walk():
     for dims, depth in ((2, 3), (3, 2)):
         side = 1 << depth
