@@ -6,7 +6,9 @@ the root to the leaf, built from what the text still shows: the kind of node
 opening words, whether it closes like a sentence, and its wording with site
 names, hosts and digits masked. Over the whole collection the text length and
 the punctuation are added up for each path; the two ratios (per node) are fused,
-smoothed along each page, and cut at a threshold. A path whose one wording
+smoothed along each page, and cut at a threshold. On few pages a ratio says
+little, so the kind of a line counts as EVIDENCE pages more, running text as
+article, anything else as a head. A path whose one wording
 stands on many pages is a template and has no ratio to speak of.
 """
 
@@ -27,6 +29,8 @@ TEMPLATE_URLS = 8  # a wording on so many pages is a template
 LABEL_URLS = 8  # a label on so many pages is a node kind of its own
 THRESHOLD = 0.4  # of the ratio of plain sentences, after smoothing
 WEIGHTS = (0.25, 0.5, 0.25)
+EVIDENCE = 32  # pages' worth of what the kind of a line says, beside the ratio of its path
+HEAD = 0.3  # at most, of a head's own ratio before the pages of its path count
 LONG_LINE = 140  # a line of so many characters is running text even without its full stop
 
 # Opening words of page furniture on Spanish-language news pages.
@@ -164,7 +168,8 @@ def outside_main(docs: DataFrame, sites: DataFrame) -> DataFrame:
     label = F.col("path").contains("/label:") & (F.col("pages") >= LABEL_URLS) & (F.col("relative") < 0.75)
     closing = F.col("path").contains("/open:") & (F.col("pages") >= LABEL_URLS) & (F.col("last_share") >= 0.9)
     furniture = F.coalesce(F.col("template"), F.lit(False)) | ((label | closing) & ~F.col("kind").isin("L", "Q")) | (F.col("kind") == "B")
-    score = F.when(F.col("kind") == "P", F.greatest("relative", F.lit(0.85))).otherwise(F.least(F.col("relative"), F.lit(0.3)))
+    prior = F.when(F.col("kind") == "P", F.lit(1.0)).otherwise(F.least("relative", F.lit(HEAD)))
+    score = (EVIDENCE * prior + F.col("pages") * F.col("relative")) / (EVIDENCE + F.col("pages"))
     node = F.struct(
         "line_no",
         F.when(furniture, "B").otherwise(F.col("kind")).alias("kind"),

@@ -72,3 +72,14 @@ def test_main_content(spark):
     assert not {g[0] for g in got} & {90, 91, 92}
     empty = spark.createDataFrame([], DOC)
     assert boilerplate.outside_main(empty, sites).count() == 0
+
+
+def test_the_ratio_rejects_sentences_of_furniture(spark):
+    rows = []
+    for i in range(300):
+        word = "".join("abcdefghij"[int(d)] for d in f"{i:03d}")
+        body = [f"El {x}{word} sigue. " + PARAGRAPH for x in "mnpqrs"]
+        rows.append((i, "d.example", f"u{i}", "\n".join([*body, f"Pulse aquí y descubra {word}.", "© Diario. Todos los derechos reservados."])))
+    sites = spark.createDataFrame([("d.example", "Diario", "a")], "source string, site_name string, row_id string")
+    got = {tuple(r) for r in boilerplate.outside_main(table(spark, rows), sites).collect()}
+    assert got == {(i, n) for i in range(300) for n in (7, 8)}
