@@ -340,12 +340,18 @@ def iso_dates(spark, folder):
     return rows.where(iso).select("row_id", F.unix_micros(dates.parse_iso(F.col("date"))).alias("us"))
 
 
+def iso_dates_all(spark, folder):
+    """Every record's date that parse_iso can read (no SQL twin: DuckDB casts other forms than ISO 8601 has)."""
+    rows = table(spark, folder, "search_documents").select("row_id", F.unix_micros(dates.parse_iso(F.col("date"))).alias("us"))
+    return rows.where(F.col("us").isNotNull())
+
+
 _NAMES = [
     token_counts, doc_lengths, term_collection_stats, model_stats, term_stats, term_frequency_lookup, simple_tokens, stemmed_terms, stop_filtered_tokens,
     candidates_or, bm25_top200, lmir_topk, lmir_scores, lmir_explain, lmir_oov_query, lmir_duplicate_terms, knn_l2, knn_cosine, knn_filtered, knn_store,
     dense_results, rrf_fusion, rrf_fuse_doc, insufficiency_score, fallback_combine, web_short_ids, feed_results, key_terms, query_variants, upsert_latest,
     delete_by_id, prefix_limit, keyset_page, snippets, clean_text, clean_text_rules, source_names, url_filter, scraper_dispatch,
-    article_min_length, link_dedupe, frontier_step, sentence_units, chunks, api_standardized, iso_dates,
+    article_min_length, link_dedupe, frontier_step, sentence_units, chunks, api_standardized, iso_dates, iso_dates_all,
 ]
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found} | {f.__name__: f for f in _NAMES}

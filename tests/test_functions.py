@@ -70,6 +70,26 @@ def test_dates(spark):
     assert one(spark, "mañana", micros) == 5
 
 
+def test_iso_dates_against_brute_force(spark):
+    from datetime import UTC, datetime, timedelta
+
+    def brute(text):
+        try:
+            at = datetime.fromisoformat(text)
+        except (TypeError, ValueError):
+            return None
+        return (at.replace(tzinfo=at.tzinfo or UTC) - datetime(1970, 1, 1, tzinfo=UTC)) // timedelta(microseconds=1)
+
+    days = ["2024-02-29", "2023-02-29", "2024-01-31", "2024-04-31", "2024-13-01", "20240131", "20230230", "2024-0131", "0000-01-01", "2024-12", "2024"]
+    times = ["", "T10", "T23:59", "T24:00", "T10:11:12", "t10:11:12", " 10:11:60", "T101112", "T10:1112", "T10:11:12.5", "T10:11:12,123456789", "T101112.25", "x"]
+    texts = [d + t + z for d in days for t in times for z in ("", "Z", "+0530", "-04:00", "+02", "+05:3", " GMT") if t or not z]
+    texts += [None, "", " ", " 2024-01-31 ", "2024-01-31\n", "mañana", "31/01/2024 10:11", "1672884838", "2024-01-31T10:11:12-03:00[America/Santiago]"]
+    df = spark.createDataFrame([(t,) for t in texts], "v string").select("v", F.unix_micros(dates.parse_iso(F.col("v"))).alias("us"))
+    got = {r["v"]: r["us"] for r in df.collect()}
+    assert {t: u for t, u in got.items() if u != brute(t)} == {}
+    assert one(spark, "2024-01-31T10:11:12.Z", dates.parse_iso) is None  # Python takes a point without digits
+
+
 @pytest.mark.parametrize("n, avg, want", [(0, None, 1.0), (1, 50.0, 0.4), (2, 50.0, 0.2), (3, 50.0, 0.0), (1, -60.0, 0.44), (2, -60.0, 0.24), (1, -150.0, 0.8), (15, -20.0, 0.0)])
 def test_insufficiency(spark, n, avg, want):
     df = spark.createDataFrame([(n, avg)], "n bigint, a double")
