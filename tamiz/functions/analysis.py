@@ -35,8 +35,8 @@ def stem(word: Column) -> Column:
     w = F.translate(word, _ACCENTED, _PLAIN)
     n = F.length(w)
     keep = lambda less: F.substring(w, 1, n - less)
-    ends = lambda *tails: w.rlike(f"(?:{'|'.join(tails)})$")
-    short = F.when(ends("o", "a", "e"), keep(1)).when(ends("eses"), keep(2)).when(ends("ces"), F.concat(keep(3), F.lit("z"))).when(ends("os", "as", "es"), keep(2))
+    last = lambda k: F.substring(w, -k, k)
+    short = F.when(last(1).isin("o", "a", "e"), keep(1)).when(last(4) == "eses", keep(2)).when(last(3) == "ces", F.concat(keep(3), F.lit("z"))).when(last(2).isin("os", "as", "es"), keep(2))
     return F.when(F.length(word) < 5, word).otherwise(short.otherwise(w))
 
 

@@ -51,8 +51,15 @@ def collapse_blanks(text: Column) -> Column:
 
 
 def drop_minute_by_minute(text: Column) -> Column:
-    """Without a trailing live-ticker pointer, whatever its case."""
-    return F.regexp_replace(text, r"(?is)[,;:.\-]?\s*MINUTO A MINUTO.*", "")
+    """A block without its live-ticker pointer, whatever its case."""
+    return F.regexp_replace(text, r"(?i)[,;:.\-]?\s*MINUTO A MINUTO.*", "")
+
+
+def drop_last_pointer(blocks: Column) -> Column:
+    """``drop_minute_by_minute`` in the last of ``blocks`` only; a block that has nothing else goes."""
+    last = strip(drop_minute_by_minute(F.try_element_at(blocks, F.lit(-1))))
+    before = F.slice(blocks, 1, F.greatest(F.size(blocks) - 1, F.lit(0)))
+    return F.when(F.size(blocks) == 0, blocks).when(last == "", before).otherwise(F.concat(before, F.array(last)))
 
 
 def drop_photo_credits(text: Column) -> Column:

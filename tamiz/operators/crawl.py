@@ -56,39 +56,51 @@ def robots_allowed(urls: DataFrame, robots: DataFrame, agent: str) -> DataFrame:
 
 def page_links(pages: DataFrame) -> DataFrame:
     """(src, dst): the distinct absolute http links of each page's anchors."""
+    return placed_links(pages).select("src", "dst")
+
+
+def placed_links(pages: DataFrame) -> DataFrame:
+    """(src, dst, pos): ``page_links`` with the place of each link's first anchor in its page."""
     hrefs = F.regexp_extract_all("html", F.lit(r"""(?is)<a\s[^>]*?href\s*=\s*["']([^"']*)["']"""), F.lit(1))
-    links = pages.where(F.col("html").isNotNull()).select(F.col("url").alias("src"), F.explode(F.array_distinct(hrefs)).alias("href"))
-    links = links.select("src", urljoin("src", "href").alias("dst"))
-    return links.where(F.col("dst").startswith("http")).distinct()
+    links = pages.where(F.col("html").isNotNull()).select(F.col("url").alias("src"), F.posexplode(F.array_distinct(hrefs)).alias("pos", "href"))
+    links = links.select("src", "pos", urljoin("src", "href").alias("dst"))
+    return links.where(F.col("dst").startswith("http")).groupBy("src", "dst").agg(F.min("pos").alias("pos"))
 
 
 def crawl(pages: DataFrame, seeds: DataFrame, robots: DataFrame, max_depth: int = 3, max_pages: int | None = None, agent: str = "MiCrawler/1.0", valid: Column | None = None) -> DataFrame:
-    """(url, depth) of the fetched pages, breadth first from ``seeds`` (url).
+    """(url, depth, place) of the fetched pages, first in, first out, from ``seeds`` (url, and perhaps seq, their order).
 
-    ``pages`` (url, html) is what a fetch would give: a url that is not in it failed and is not visited.
-    A forbidden url is visited but not fetched. One job a level, each ending in a written table; links
-    are expanded below ``max_depth``. ``max_pages`` counts fetched pages, by depth, then url.
+    ``pages`` (url, html) is what a fetch would give: a url that is not in it (or has no html) failed and is not
+    visited. A forbidden url is visited but not fetched. ``place`` is the queue's order: inside a level the page by
+    which a url was first found, then the anchor's place in it. One job a level, each ending in a written table; links
+    are expanded below ``max_depth``. Fetching stops at ``max_pages``: a level takes what is left of it, and no later
+    level is touched.
     """
     check = is_valid_url(F.col("url")) if valid is None else valid
-    pages = pages.dropDuplicates(["url"])
-    frontier = seeds.select("url").distinct().withColumn("depth", F.lit(0))
-    visited, found = None, None
+    pages = pages.where(F.col("html").isNotNull() & (F.col("html") != "")).dropDuplicates(["url"])
+    seq = F.col("seq").cast("long") if "seq" in seeds.columns else F.monotonically_increasing_id()
+    frontier = seeds.select("url", F.array(seq).alias("place")).where(F.col("url").isNotNull()).groupBy("url").agg(F.min("place").alias("place"))
+    visited, found, taken = None, None, 0
     for depth in range(max_depth + 1):
-        judged = cut(robots_allowed(frontier, robots, agent), "frontier")
-        got = judged.where("allowed").join(pages.select(F.col("url").alias("p_url")), F.col("url") == F.col("p_url"), "left_semi").select("url", "depth")
+        judged = cut(robots_allowed(frontier.withColumn("depth", F.lit(depth)), robots, agent), "frontier")
+        got = judged.where("allowed").join(pages.select(F.col("url").alias("p_url")), F.col("url") == F.col("p_url"), "left_semi").select("url", "depth", "place")
+        if max_pages is not None:
+            got = got.orderBy("place", "url").limit(max_pages - taken)
+        got = cut(got, "fetched")
+        taken += got.count()
         seen = judged.where(~F.col("allowed")).select("url").unionByName(got.select("url"))
-        visited = cut(seen if visited is None else visited.unionByName(seen), "visited")
+        visited = seen if visited is None else visited.unionByName(seen)
         found = got if found is None else found.unionByName(got)
-        if depth == max_depth:
+        if depth == max_depth or (max_pages is not None and taken >= max_pages):
             break
-        here = pages.join(got.select(F.col("url").alias("g_url")), F.col("url") == F.col("g_url"), "left_semi")
-        links = page_links(here).select(F.col("dst").alias("url")).distinct().where(check)
-        frontier = cut(links.join(visited.withColumnRenamed("url", "v_url"), F.col("url") == F.col("v_url"), "left_anti").withColumn("depth", F.lit(depth + 1)), "next")
+        here = pages.join(got.select(F.col("url").alias("g_url"), "place"), F.col("url") == F.col("g_url"))
+        links = placed_links(here.select("url", "html")).join(got.select(F.col("url").alias("src"), "place"), "src")
+        links = links.select(F.col("dst").alias("url"), F.concat("place", F.array(F.col("pos").cast("long"))).alias("place")).where(check)
+        links = links.groupBy("url").agg(F.min("place").alias("place"))
+        frontier = cut(links.join(visited.withColumnRenamed("url", "v_url"), F.col("url") == F.col("v_url"), "left_anti"), "next")
         if not frontier.limit(1).count():
             break
-    # places over the whole crawl: level by level, and inside one by url
-    ranked = found.orderBy("depth", "url")
-    return ranked.limit(max_pages) if max_pages is not None else ranked
+    return found.orderBy("depth", "place", "url")
 
 
 def expand_frontier(frontier: DataFrame, visited: DataFrame, links: DataFrame) -> DataFrame:
@@ -96,4 +108,3 @@ def expand_frontier(frontier: DataFrame, visited: DataFrame, links: DataFrame) -
     step = frontier.join(links, F.col("url") == F.col("src")).groupBy("dst").agg((F.min("depth") + 1).alias("depth"))
     known = frontier.select(F.col("url").alias("k")).unionByName(visited.select(F.col("url").alias("k"))).distinct()
     return step.join(known, F.col("dst") == F.col("k"), "left_anti").select(F.col("dst").alias("url"), "depth")
-

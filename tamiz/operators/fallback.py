@@ -50,6 +50,14 @@ def combine(local: DataFrame, web: DataFrame) -> DataFrame:
     return both.withColumn("position", F.row_number().over(place))
 
 
+def used_feed(queries: DataFrame, local: DataFrame, feed: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """Rows of ``feed`` that answer: the first ones of each query whose local results do not suffice."""
+    judged = insufficiency_scores(queries, local, settings).where("triggered").select(F.col("query_id").alias("j_query"))
+    order = Window.partitionBy("query_id").orderBy("position")
+    first = feed.withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= settings.web_results_limit).drop("__r")
+    return first.join(judged, F.col("query_id") == F.col("j_query"), "left_semi")
+
+
 def search_with_fallback(queries: DataFrame, local: DataFrame, feed: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """Local results, and for each query whose results do not suffice the feed's first rows.
 
@@ -58,9 +66,6 @@ def search_with_fallback(queries: DataFrame, local: DataFrame, feed: DataFrame,
     ``insufficiency_score`` to every row; a query without any row at all is in none.
     """
     judged = insufficiency_scores(queries, local, settings).select(F.col("query_id").alias("j_query"), "insufficiency_score", "triggered")
-    order = Window.partitionBy("query_id").orderBy("position")
-    first = feed.withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= settings.web_results_limit).drop("__r")
-    first = first.join(judged.where("triggered"), F.col("query_id") == F.col("j_query"), "left_semi")
-    web = first.select("query_id", "position", F.col("link").alias("url"), "title", "source", F.lit(0.0).alias("score"), F.substring("summary", 1, 200).alias("snippet"))
+    web = used_feed(queries, local, feed, settings).select("query_id", "position", F.col("link").alias("url"), "title", "source", F.lit(0.0).alias("score"), F.substring("summary", 1, 200).alias("snippet"))
     mine = local.select("query_id", F.col("rank").alias("position"), "url", "title", "source", "score", "snippet")
     return combine(mine, web).join(judged, F.col("query_id") == F.col("j_query")).drop("j_query")

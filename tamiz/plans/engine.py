@@ -5,7 +5,7 @@ Every search takes a table of queries (query_id, q, k) or one text, and returns
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Settings
@@ -14,6 +14,8 @@ from ..operators import chunker, dense, fallback, hybrid, index, sparse
 from ..sources.files import read_jsonl, write_jsonl
 from ..sources.pages import extract_articles
 from ..operators.crawl import crawl
+from . import answers
+from ..session import cut
 
 
 class Engine:
@@ -34,32 +36,61 @@ class Engine:
         write_jsonl(articles, path)
         return read_jsonl(self.spark, path)
 
-    def index_documents(self, docs: DataFrame, path: str) -> index.InvertedIndex:
-        """Upsert ``docs`` by url into the snapshot under ``path`` and publish a new one."""
-        ready = index.index_document(docs)
-        if "doc_id" not in ready.columns:
-            ready = ready.withColumn("doc_id", F.col("url"))
-        if self.index is not None:
-            ready = index.upsert(self.index.docs, ready, "doc_id")
-        self._version = getattr(self, "_version", 0) + 1
-        self.index = index.build_index(ready, self.settings).save(f"{path}/v{self._version}")
+    def index_documents(self, docs: DataFrame, path: str | None = None, order: str | list[str] | None = None) -> index.InvertedIndex:
+        """Upsert ``docs`` into the index under ``path``, by ``doc_id`` where they have one, else by url; of rows with one
+        key the last by ``order`` wins, without one the last read."""
+        store = self._store(path)
+        store.upsert(index.index_document(docs), "doc_id" if "doc_id" in docs.columns else "url", order)
+        return self.refresh()
+
+    def delete(self, keys: DataFrame, path: str | None = None) -> index.InvertedIndex:
+        """Delete the documents of ``keys`` (doc_id)."""
+        self._store(path).delete(keys)
+        return self.refresh()
+
+    def refresh(self) -> index.InvertedIndex:
+        """Make the last commit of the index visible, whoever wrote it."""
+        self.index = self._documents.index()
         return self.index
 
-    def delete(self, keys: DataFrame, path: str) -> index.InvertedIndex:
-        left = index.delete_by_key(self.index.docs, keys, "doc_id")
-        self._version += 1
-        self.index = index.build_index(left, self.settings).save(f"{path}/v{self._version}")
-        return self.index
-
-    def index_vectors(self, docs: DataFrame, path: str) -> int:
+    def _store(self, path: str | None) -> index.IndexStore:
+        if path is not None and path != getattr(self, "_index_path", None):
+            self._index_path, self._documents = path, index.IndexStore(self.spark, path, self.settings)
+        if getattr(self, "_documents", None) is None:
+            raise ValueError("no index folder has been named yet")
+        return self._documents
+
+    def open(self, index_path: str | None = None, vector_path: str | None = None) -> Engine:
+        """Go on with an index and a vector collection that are there already."""
+        if index_path:
+            self._store(index_path)
+            self.refresh()
+        if vector_path:
+            self._vector_store(vector_path)
+        return self
+
+    def _vector_store(self, path: str | None) -> dense.VectorStore:
+        if path is not None:
+            self._vectors = dense.VectorStore(self.spark, path)
+        self.vectors = self._vectors.rows()
+        return self._vectors
+
+    def index_vectors(self, docs: DataFrame, path: str | None = None) -> int:
         """Chunk and embed ``docs``, add the chunks whose id is new; the number of chunks made."""
-        chunks = chunker.chunk(docs, self.settings)
-        rows = chunks.select("id", "content", F.col("metadata.doc_id").alias("doc_id"), F.col("metadata.title").alias("title"), F.col("metadata.source").alias("source"), self.embed("content").alias("embedding"))
-        self._delta = getattr(self, "_delta", 0) + 1
-        rows.write.mode("overwrite").parquet(f"{path}/delta{self._delta}")
-        fresh = self.spark.read.parquet(f"{path}/delta{self._delta}")
-        self.vectors = fresh.dropDuplicates(["id"]) if self.vectors is None else dense.add_vectors(self.vectors, fresh)
-        return fresh.count()
+        made = Observation("chunks")
+        self.add_chunks(chunker.chunk(docs, self.settings).observe(made, F.count("*").alias("n")), path)
+        return made.get["n"]
+
+    def add_chunks(self, chunks: DataFrame, path: str | None = None) -> None:
+        """Embed chunks (id, content, metadata) and add those whose id is new."""
+        meta = {c: F.col(f"metadata.{c}") for c in ("doc_id", "title", "source")}
+        rows = chunks.select("id", "content", *[v.alias(k) for k, v in meta.items()], F.col("metadata.publication_date").alias("date"), self.embed("content").alias("embedding"))
+        self._vector_store(path).add(rows)
+        self._vector_store(None)
+
+    def delete_vectors(self, ids: DataFrame, path: str | None = None) -> None:
+        self._vector_store(path).delete(ids)
+        self._vector_store(None)
 
     def sparse(self, q: str | DataFrame, k: int | None = None) -> DataFrame:
         return sparse.search(self.index, self.queries(q, k), self.settings)
@@ -86,9 +117,22 @@ class Engine:
         fused = fused.join(asked.select(F.col("query_id").alias("a_query"), "k"), F.col("query_id") == F.col("a_query")).where(F.col("rank") <= F.col("k")).drop("a_query", "k")
         return hybrid.hybrid_results(fused, left, right)
 
-    def search_with_fallback(self, q: str | DataFrame, feed: DataFrame, k: int | None = None) -> DataFrame:
+    def search_with_fallback(self, q: str | DataFrame, feed: DataFrame, k: int | None = None, store: bool = False) -> DataFrame:
+        """Local results, and the feed's for queries without enough of them. With ``store`` the feed rows that were used
+        are indexed under their short ids once the answer is written."""
         asked = self.queries(q, k)
-        return fallback.search_with_fallback(asked, self.sparse(asked), feed, self.settings)
+        local = self.sparse(asked)
+        if store:
+            local = cut(local, "local")
+        found = fallback.search_with_fallback(asked, local, feed, self.settings)
+        if store:
+            found = cut(found, "answer")
+            self.index_documents(fallback.feed_documents(fallback.used_feed(asked, local, feed, self.settings)), order=["date", "title"])
+        return found
+
+    def answer(self, way: str, q: str, k: int | None = None) -> dict:
+        """{"query", "results"} of one search, ``way`` being sparse, dense or hybrid."""
+        return answers.answer(self, way, q, self.settings.top_k if k is None else k)
 
     def suggestions(self, q: str | DataFrame) -> DataFrame:
         return self.queries(q).select("query_id", F.col("q").alias("original_query"), query_variants(F.col("q")).alias("variants"), key_terms(F.col("q")).alias("key_terms"))

@@ -60,7 +60,9 @@ def read_feed(spark: SparkSession, path: str, source: str = "RSS", limit: int |
     rows = spark.read.format("xml").option("rowTag", "item").schema("title STRING, link STRING, pubDate STRING, description STRING").load(path)
     when = parse_feed_date(F.col("pubDate"), None if as_of is None else F.lit(as_of).cast("timestamp"))
     rows = rows.select("title", "link", when.alias("published"), F.coalesce("description", F.lit("")).alias("summary"), F.lit(source).alias("source"))
-    return rows if limit is None else rows.limit(limit)
+    if limit is None:
+        return rows
+    return rows.withColumn("__at", F.monotonically_increasing_id()).orderBy("__at").limit(limit).drop("__at")
 
 
 def feed_url(query, language: str = "es-419", country: str = "US"):

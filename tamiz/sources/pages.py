@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType, StructType
 
 from ..config import Settings
 from ..functions import text as T
@@ -25,23 +25,29 @@ SITES = {
     for prefix in ("", "www.")
 }
 
-# Where a site keeps its text: the container's class, the blocks in it (tag, tag.class, or class>tag),
-# parts left out.
+# Where a site keeps its text: the container (words of its class), the blocks in it (tag, tag.class, or
+# class>tag for the children of such an element), the class of parts left out.
 RULES = {
-    "bbc": ("css-1k9op6x", "p h2", ""),
+    "bbc": ("", "css-1k9op6x+e17x9cvu0>p css-1k9op6x+e17x9cvu0>h2", ""),
     "rt": ("ArticleView-text", "Text-root>p h2 h3 li blockquote", "EmbedBlock-twitter"),
     "lanacion": ("", "p.com-paragraph li.com-item h3.step-title h2 blockquote", ""),
     "telemundo": ("article-body__content", "p.body-graf li h2 blockquote h3.body-heading", "article-faq-embed"),
     "base": ("article", "p h2 h3 li", ""),
 }
 BBC_NOTICE = "Y recuerda que puedes recibir notificaciones en nuestra app. Descarga la última versión y actívalas."
+ARTICLE_TYPES = ("Article", "NewsArticle")
+NEWS_SCHEMA = "Schema_NewsArticle"
+AUTHOR_CLASS = "content-area__text__full__fuente__detalle"
+
+# sites that have no text where their own blocks are missing; the others fall back to the page's paragraphs
+OWN_BLOCKS_ONLY = ("bbc", "lanacion")
 
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _HIDDEN = frozenset(("script", "style", "noscript", "template"))
 
 PARSED = (
-    "url STRING, has_og_type BOOLEAN, metas MAP<STRING, STRING>, jsonld ARRAY<STRING>, page_title STRING, heading STRING, "
-    "blocks ARRAY<STRUCT<tag: STRING, path: STRING, has_link: BOOLEAN, text: STRING>>, bylines ARRAY<STRING>"
+    "url STRING, has_og_type BOOLEAN, metas MAP<STRING, STRING>, own_date STRING, own_authors ARRAY<STRING>, any_date STRING, any_authors ARRAY<STRING>, "
+    "page_title STRING, heading STRING, blocks ARRAY<STRUCT<tag: STRING, path: STRING, has_link: BOOLEAN, text: STRING>>, bylines ARRAY<STRING>"
 )
 
 
@@ -50,12 +56,13 @@ class _Reader(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.metas: dict[str, str] = {}
         self.has_og_type = False
-        self.jsonld: list[str] = []
+        self.jsonld: list[tuple[str, str]] = []  # id and text
         self.stack: list[tuple[str, str]] = []
         self.blocks: list[dict] = []
         self.open: list[dict] = []
         self.title: list[str] = []
         self.script: list[str] | None = None
+        self.script_id = ""
         self.strong: list[str] | None = None
         self.after_por = False
         self.bylines: list[str] = []
@@ -76,7 +83,7 @@ class _Reader(HTMLParser):
             self._close(tag)
         self.stack.append((tag, f"{tag} {a.get('class', '')} {a.get('id', '')} {a.get('data-testid', '')}"))
         if tag == "script" and a.get("type", "").lower() == "application/ld+json":
-            self.script = []
+            self.script, self.script_id = [], a.get("id", "")
         if tag in ("p", "h1", "h2", "h3", "li", "blockquote"):
             block = {"tag": tag, "path": " / ".join(x for _, x in self.stack).strip(), "has_link": False, "parts": []}
             self.blocks.append(block)
@@ -102,7 +109,7 @@ class _Reader(HTMLParser):
 
     def handle_endtag(self, tag):
         if tag == "script" and self.script is not None:
-            self.jsonld.append("".join(self.script))
+            self.jsonld.append((self.script_id, "".join(self.script)))
             self.script = None
         if tag == "a" and self.anchor is not None:
             if self.after_por and not self.by_done:
@@ -132,8 +139,60 @@ class _Reader(HTMLParser):
             block["parts"].append(data)
 
 
-def parse_pages(pages: DataFrame) -> DataFrame:
-    """One row a page of ``pages`` (url, html): its metas, JSON-LD texts, title and text blocks in document order.
+def _names(author) -> list[str]:
+    """Names of a JSON-LD author, which is one object or a list of them."""
+    found = author if isinstance(author, list) else [author]
+    return [a["name"] for a in found if isinstance(a, dict) and isinstance(a.get("name"), str) and a["name"]]
+
+
+def _unique(names: list[str]) -> list[str]:
+    return list(dict.fromkeys(n.strip() for n in names if n.strip()))
+
+
+def site_metadata(site: str, scripts: list[tuple[str, str]]) -> tuple[str | None, list[str] | None]:
+    """(date text, authors) that the site's own rule takes from its JSON-LD scripts (id, text); None where it has none.
+
+    "bbc": the first script's first node; "rt": scripts of an article's type; "lanacion": the script with the news
+    schema's id; "telesur": the authors of every script; "telemundo": the first date. Malformed scripts are skipped.
+    """
+    read = []
+    for name, text in scripts:
+        try:
+            read.append((name, json.loads(text)))
+        except ValueError:
+            read.append((name, None))
+    dates = [d["datePublished"] for _, d in read if isinstance(d, dict) and isinstance(d.get("datePublished"), str)]
+    if site == "bbc":
+        graph = read[0][1].get("@graph") if read and isinstance(read[0][1], dict) else None
+        node = graph[0] if isinstance(graph, list) and graph and isinstance(graph[0], dict) else {}
+        date = node.get("datePublished")
+        return date if isinstance(date, str) else None, _names(node.get("author"))
+    if site == "rt":
+        nodes = [d for _, d in read if isinstance(d, dict) and d.get("@type") in ARTICLE_TYPES]
+        date = next((n["datePublished"] for n in nodes if isinstance(n.get("datePublished"), str) and n["datePublished"]), None)
+        return date, next((_names(n["author"]) for n in nodes if isinstance(n.get("author"), (dict, list))), None)
+    if site == "lanacion":
+        node = next((d for name, d in read if name == NEWS_SCHEMA), None)
+        node = node if isinstance(node, dict) else {}
+        date = node.get("datePublished")
+        return date if isinstance(date, str) and date else None, _unique(_names(node.get("author"))) or None
+    if site == "telesur":
+        entries = [e for _, d in read for e in (d if isinstance(d, list) else [d]) if isinstance(e, dict)]
+        return None, _unique([n for e in entries for n in _names(e.get("author"))]) or None
+    if site == "telemundo":
+        return next(iter(dates), None), None
+    return None, None
+
+
+def any_metadata(scripts: list[tuple[str, str]]) -> tuple[str | None, list[str]]:
+    """First date and all authors of any JSON-LD node: a stand-in for a general article reader."""
+    nodes = _article_nodes([text for _, text in scripts])
+    date = next((n["datePublished"] for n in nodes if isinstance(n.get("datePublished"), str)), None)
+    return date, _unique([n for node in nodes for n in ([node["author"]] if isinstance(node.get("author"), str) else _names(node.get("author")))])
+
+
+def parse_pages(pages: DataFrame, sites: dict[str, str] = SITES) -> DataFrame:
+    """One row a page of ``pages`` (url, html): its metas, what its JSON-LD says, title and text blocks in document order.
     A page that cannot be read, or NULL, gives a row without content."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -146,17 +205,20 @@ def parse_pages(pages: DataFrame) -> DataFrame:
                     reader.close()
                 except Exception:
                     reader = _Reader()
-                blocks = [{"tag": b["tag"], "path": b["path"], "has_link": b["has_link"], "text": " ".join("".join(b["parts"]).split())} for b in reader.blocks]
+                text = lambda parts: " ".join(" ".join(parts).split())
+                blocks = [{"tag": b["tag"], "path": b["path"], "has_link": b["has_link"], "text": text(b["parts"])} for b in reader.blocks]
                 heading = next((b["text"] for b in blocks if b["tag"] == "h1"), None)
-                rows.append((url, reader.has_og_type, reader.metas, reader.jsonld, "".join(reader.title).strip() or None, heading, [b for b in blocks if b["text"]], reader.bylines))
-            yield pd.DataFrame(rows, columns=["url", "has_og_type", "metas", "jsonld", "page_title", "heading", "blocks", "bylines"])
+                host = re.match(r"[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)", url or "")
+                own = site_metadata(sites.get(host[1].lower() if host else "", "base"), reader.jsonld)
+                rows.append((url, reader.has_og_type, reader.metas, *own, *any_metadata(reader.jsonld), "".join(reader.title).strip() or None, heading, [b for b in blocks if b["text"]], reader.bylines))
+            yield pd.DataFrame(rows, columns=["url", "has_og_type", "metas", "own_date", "own_authors", "any_date", "any_authors", "page_title", "heading", "blocks", "bylines"])
 
     return pages.select("url", "html").mapInPandas(run, PARSED)
 
 
 def _article_nodes(texts) -> list[dict]:
     nodes = []
-    for t in texts if texts is not None else []:
+    for t in texts:
         try:
             found = json.loads(t)
         except ValueError:
@@ -172,87 +234,92 @@ def _article_nodes(texts) -> list[dict]:
     return nodes
 
 
-@F.pandas_udf(StructType().add("date", StringType()).add("authors", ArrayType(StringType())))
-def jsonld_article(texts: pd.Series) -> pd.DataFrame:
-    """First datePublished and all authors' names of the JSON-LD texts, authors in order without repetitions.
-    Malformed texts are skipped."""
-    dates, authors = [], []
-    for one in texts:
-        nodes = _article_nodes(one)
-        dates.append(next((n["datePublished"] for n in nodes if isinstance(n.get("datePublished"), str)), None))
-        names: list[str] = []
-        for n in nodes:
-            who = n.get("author")
-            for a in who if isinstance(who, list) else [who]:
-                name = a.get("name") if isinstance(a, dict) else a if isinstance(a, str) else None
-                if isinstance(name, str) and name.strip() and name.strip() not in names:
-                    names.append(name.strip())
-        authors.append(names)
-    return pd.DataFrame({"date": dates, "authors": authors})
-
-
 def scraper_of(url, sites: dict[str, str] = SITES):
     """The class of site rules of a url's host, "base" for any other."""
     pairs = [F.lit(x) for pair in sites.items() for x in pair]
     return F.coalesce(F.try_element_at(F.create_map(*pairs), F.lower(T.netloc(url))), F.lit("base"))
 
 
+def _blocks_of(site: str):
+    """The texts of ``blocks`` that the site's rule takes."""
+    container, wanted, dropped = RULES[site]
+
+    def is_block(b, spec):
+        parent, _, rest = spec.rpartition(">")
+        tag, _, own = rest.partition(".")
+        test = b["tag"] == tag
+        if own:
+            test = test & F.contains(F.substring_index(b["path"], " / ", -1), F.lit(own))
+        for name in parent.split("+") if parent else ():
+            above = F.when(F.contains(b["path"], F.lit(" / ")), F.substring_index(F.substring_index(b["path"], " / ", -2), " / ", 1)).otherwise("")
+            test = test & F.contains(above, F.lit(name))
+        return test
+
+    def keep(b):
+        test = F.lit(False)
+        for spec in wanted.split():
+            test = test | is_block(b, spec)
+        if container:
+            test = test & F.contains(b["path"], F.lit(container))
+        if dropped:
+            test = test & ~F.contains(b["path"], F.lit(dropped))
+        return test & ~(b["has_link"] & (b["tag"] == "p")) if site == "bbc" else test
+
+    return F.transform(F.filter("blocks", keep), lambda b: b["text"])
+
+
+def long_enough(content, least: int):
+    """An article has so many characters between its outer blanks; NULL has none."""
+    return F.coalesce(F.length(T.strip(content)) >= least, F.lit(False))
+
+
 def extract_articles(pages: DataFrame, settings: Settings = Settings(), sites: dict[str, str] = SITES) -> DataFrame:
     """Articles (source, url, title, content, authors, date) of ``pages`` (url, html).
 
     Left out: pages whose og:type is there and is not "article" (also one without a value), and pages of
     fewer than ``min_article_chars`` characters of text. A bad date is NULL and loses no page.
     """
-    parsed = parse_pages(pages).withColumn("site", scraper_of(F.col("url"), sites))
+    parsed = parse_pages(pages, sites).withColumn("site", scraper_of(F.col("url"), sites))
     kind = F.try_element_at(F.col("metas"), F.lit("og:type"))
     parsed = parsed.where(~F.col("has_og_type") | (F.coalesce(kind, F.lit("")) == "article"))
+    site, meta = F.col("site"), lambda name: F.nullif(F.try_element_at(F.col("metas"), F.lit(name)), F.lit(""))
+
+    def by_site(rules: dict, other):
+        found = None
+        for name, value in rules.items():
+            found = F.when(site == name, value) if found is None else found.when(site == name, value)
+        return found.otherwise(other)
 
-    def chosen(site):
-        container, wanted, dropped = RULES[site]
-
-        def is_block(b, spec):
-            within, _, rest = spec.rpartition(">")
-            tag, _, own = rest.partition(".")
-            test = b["tag"] == tag
-            if own:
-                test = test & F.contains(F.substring_index(b["path"], " / ", -1), F.lit(own))
-            return test & F.contains(b["path"], F.lit(within)) if within else test
-
-        def keep(b):
-            test = F.lit(False)
-            for spec in wanted.split():
-                test = test | is_block(b, spec)
-            if container:
-                test = test & F.contains(b["path"], F.lit(container))
-            if dropped:
-                test = test & ~F.contains(b["path"], F.lit(dropped))
-            return test & ~(b["has_link"] & (b["tag"] == "p")) if site == "bbc" else test
-
-        return F.transform(F.filter("blocks", keep), lambda b: b["text"])
-
-    picked = chosen("base")
-    for site in RULES:
-        if site != "base":
-            picked = F.when(F.col("site") == site, chosen(site)).otherwise(picked)
-    picked = F.when(F.col("site") == "bbc", T.drop_paragraph(picked, BBC_NOTICE)).otherwise(picked)
-    parsed = parsed.withColumn("paragraphs", picked)
-    # a page without the site's container falls back to all its paragraphs
+    picked = by_site({name: _blocks_of(name) for name in RULES if name != "base"}, _blocks_of("base"))
     plain = F.transform(F.filter("blocks", lambda b: b["tag"].isin("p", "h2", "h3")), lambda b: b["text"])
-    parsed = parsed.withColumn("paragraphs", F.when(F.size("paragraphs") > 0, F.col("paragraphs")).otherwise(plain))
-    body = T.join_paragraphs(F.col("paragraphs"))
-    body = (
-        F.when(F.col("site") == "rt", T.drop_minute_by_minute(body))
-        .when(F.col("site") == "presidencia", T.drop_photo_credits(body))
-        .when(F.col("site") == "telesur", T.cut_author_tail(body))
-        .when(F.col("site") == "telemundo", T.drop_bracketed(T.drop_leading_byline(body)))
-        .otherwise(body)
-    )
-    meta = lambda name: F.try_element_at(F.col("metas"), F.lit(name))
-    parsed = parsed.withColumn("ld", jsonld_article("jsonld")).withColumn("content", T.clean_text(body))
-    by_meta = F.when(meta("article:author").isNotNull(), T.slash_authors(meta("article:author"))).otherwise(F.array().cast("array<string>"))
-    by_text = T.byline_authors(F.array_join("paragraphs", "\n"), by_meta)
-    authors = F.when(F.size("ld.authors") > 0, F.col("ld.authors")).when(F.size("bylines") > 0, F.col("bylines")).otherwise(by_text)
-    date = F.coalesce(parse_iso(F.col("ld.date")), parse_iso(meta("article:published_time")), parse_iso(meta("publish-date")), parse_iso(meta("og:updated_time")))
-    rows = parsed.where(F.length(T.strip(F.col("content"))) >= settings.min_article_chars)
+    parsed = parsed.withColumn("plain", plain).withColumn("picked", F.when(site == "bbc", T.drop_paragraph(picked, BBC_NOTICE)).otherwise(picked))
+    parsed = parsed.withColumn("paragraphs", F.when((F.size("picked") > 0) | site.isin(*OWN_BLOCKS_ONLY), F.col("picked")).otherwise(F.col("plain")))
+    paragraphs = F.col("paragraphs")
+    body = T.join_paragraphs(F.when(site == "rt", T.drop_last_pointer(paragraphs)).otherwise(paragraphs))
+    body = by_site({"presidencia": T.drop_photo_credits(body), "telesur": T.cut_author_tail(body), "telemundo": T.drop_bracketed(T.drop_leading_byline(body))}, body)
+    parsed = parsed.withColumn("content", T.clean_text(body))
+    none = F.array().cast("array<string>")
+    listed = lambda c: F.when(F.size(c) > 0, c)
+    one_meta = F.when(meta("article:author").isNotNull(), F.array(meta("article:author"))).otherwise(none)
+    general = F.coalesce(listed(F.col("any_authors")), F.when(meta("author").isNotNull(), F.array(meta("author"))), none)
+    own = F.col("own_authors")
+    named = F.filter("blocks", lambda b: (b["tag"] == "p") & F.contains(F.substring_index(b["path"], " / ", -1), F.lit(AUTHOR_CLASS)) & b["text"].startswith("Autor:"))
+    authors = by_site(
+        {
+            "bbc": own, "rt": F.coalesce(own, one_meta), "lanacion": F.coalesce(listed(own), general), "telesur": F.coalesce(listed(own), T.autor_paragraph(F.try_element_at(named, F.lit(1))["text"]), none),
+            "telemundo": T.byline_authors(T.join_paragraphs(F.col("plain")), general), "presidencia": F.when(meta("article:author").isNotNull(), T.slash_authors(meta("article:author"))).otherwise(none),
+            "cubadebate": F.coalesce(listed(general), listed(F.col("bylines")), none),
+        },
+        F.coalesce(listed(general), listed(F.col("bylines")), listed(T.byline_authors(F.array_join("paragraphs", "\n"), none)), one_meta),
+    )
+    usual = F.coalesce(parse_iso(meta("article:published_time")), parse_iso(F.col("any_date")))
+    date = by_site(
+        {
+            "bbc": parse_iso(F.col("own_date")), "rt": F.coalesce(parse_iso(F.col("own_date")), parse_iso(meta("publish-date"))), "lanacion": F.coalesce(parse_iso(F.col("own_date")), usual),
+            "telesur": F.coalesce(usual, parse_iso(meta("og:updated_time"))), "telemundo": F.coalesce(parse_iso(meta("article:published_time")), parse_iso(F.col("own_date"))),
+        },
+        usual,
+    )
+    rows = parsed.where(long_enough(F.col("content"), settings.min_article_chars))
     title = F.coalesce(meta("og:title"), F.col("heading"), F.col("page_title"), F.lit(""))
-    return rows.select(T.source_name(F.col("url")).alias("source"), "url", T.clean_text(title).alias("title"), "content", F.array_distinct(authors).alias("authors"), date.alias("date"))
+    return rows.select(T.source_name(F.col("url")).alias("source"), "url", T.clean_text(title).alias("title"), "content", F.array_distinct(F.coalesce(authors, none)).alias("authors"), date.alias("date"))
