@@ -5,6 +5,7 @@ from __future__ import annotations
 from .config import Settings
 from .functions.analysis import STOP_WORDS
 from .functions.text import KEY_TERM_STOP, VARIANT_ENDINGS
+from .operators.chunker import ABBREVIATIONS, SPECIAL_TOKENS
 
 _S = Settings()
 
@@ -98,18 +99,85 @@ def _knn(distance: str, where: str = "true", out: str = "") -> str:
     return f"SELECT {cols} FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 12), id) AS rank FROM ({ranked})) WHERE rank <= 10"
 
 
-_RIGHT = f"""{_SEARCH}, pool AS (
-  SELECT r.query_id, r.doc_id, row_number() OVER (PARTITION BY r.query_id ORDER BY length(d.title) DESC, r.doc_id) AS rank FROM ranked r JOIN docs d USING (doc_id)
+_HEX = " + ".join(f"{16 ** (3 - i)} * (instr('0123456789abcdef', substr(md5(w), {i + 1}, 1)) - 1)" for i in range(4))
+
+
+def _embedded(rows: str, key: str, text: str) -> str:
+    """(key, v): signed hashed word counts of ``rows``, of unit length, as the engine's stand-in for a model makes them."""
+    return f"""SELECT {key}, list_transform(counts, lambda x: (CASE WHEN norm > 0 THEN x / norm ELSE x END)::FLOAT)::DOUBLE[] AS v FROM (
+      SELECT {key}, counts, sqrt(list_sum(list_transform(counts, lambda x: x * x))) AS norm FROM (
+        SELECT {key}, list_transform(range(64), lambda i: coalesce(list_sum(list_transform(list_filter(hs, lambda h: h % 64 = i), lambda h: CASE WHEN h // 64 % 2 = 1 THEN 1.0 ELSE -1.0 END)), 0.0)) AS counts FROM (
+          SELECT {key}, list_transform(regexp_extract_all(lower({text}), '[\\p{{L}}\\p{{N}}]+'), lambda w: {_HEX}) AS hs FROM ({rows}) WHERE {text} IS NOT NULL)))"""
+
+
+_NEAR = f"""stored AS (SELECT DISTINCT id, content, metadata.doc_id AS doc_id, metadata.title AS title, metadata.source AS source, metadata.publication_date AS date FROM chunks
+), chunk_vectors AS ({_embedded("SELECT id, content FROM stored", "id", "content")}
+), query_vectors AS ({_embedded("SELECT query_id, q FROM search_queries", "query_id", "q")}
+), distances AS (
+  SELECT query_id, id, list_sum(list_transform(list_zip(a.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS distance FROM query_vectors a CROSS JOIN chunk_vectors b
+), near AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 12), id) AS rank FROM distances) WHERE rank <= {_S.top_candidates}
 )"""
 
 
-def _fused(right_id: str) -> str:
-    return f"""{_RIGHT}, legs AS (
-  SELECT query_id, doc_id AS id, rank, 0 AS leg FROM ranked UNION ALL SELECT query_id, {right_id} AS id, rank, 1 AS leg FROM pool WHERE rank <= 100
+def _fused(by_doc: bool) -> str:
+    right = "SELECT query_id, id, rank FROM near"
+    if by_doc:
+        right = "SELECT query_id, doc_id AS id, row_number() OVER (PARTITION BY query_id ORDER BY min(rank), doc_id) AS rank FROM near JOIN stored USING (id) GROUP BY query_id, doc_id"
+    return f"""{_SEARCH}, {_NEAR}, right_leg AS ({right}), legs AS (
+  SELECT query_id, doc_id AS id, rank, 0 AS leg FROM ranked UNION ALL SELECT query_id, id, rank, 1 AS leg FROM right_leg
 ), fused AS (
   SELECT query_id, id, sum(1.0 / ({_S.rrf_k} + rank)) AS rrf, min(leg) AS leg, arg_min(rank, leg) AS first FROM legs GROUP BY 1, 2
-) SELECT query_id, rank, id, round(rrf, 9) AS rrf_score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(rrf, 12) DESC, leg, first, id) AS rank FROM fused) WHERE rank <= 10"""
+), fused_ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(rrf, 12) DESC, leg, first, id) AS rank FROM fused)"""
+
+
+_RRF = "SELECT query_id, rank, id, round(rrf, 9) AS rrf_score FROM fused_ranked WHERE rank <= 10"
+_SNIP = "CASE WHEN length({c}) > 200 THEN left({c}, 200) || '...' ELSE {c} END"
+
+_DELTAS = f"""arrived AS (
+  SELECT url AS doc_id, coalesce(content, '') AS content, 1 AS gen FROM search_documents WHERE row_id % 2 = 0 AND url IS NOT NULL QUALIFY row_number() OVER (PARTITION BY url ORDER BY fetched_at DESC NULLS LAST, row_id DESC) = 1
+  UNION ALL
+  SELECT doc_id, content, 2 FROM (SELECT CASE WHEN row_id % 3 = 0 THEN url ELSE 'd' || (row_id % 100) END AS doc_id, coalesce(content, '') AS content, row_id FROM search_documents WHERE row_id % 2 = 1) WHERE doc_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY row_id DESC) = 1
+), left_docs AS (
+  SELECT doc_id, arg_max(content, gen) AS content FROM arrived WHERE doc_id NOT IN (SELECT link FROM feed_items WHERE link IS NOT NULL) GROUP BY 1
+), left_words AS (SELECT doc_id, unnest({_words("content")}) AS w FROM left_docs
+), left_terms AS (SELECT doc_id, {_stem("w")} AS term FROM left_words WHERE w NOT IN ({_in(STOP_WORDS)}))"""
 
+# sentences of a text, an abbreviation's full stop ending none
+_B = r"[\s\x{b}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{1c}-\x{1f}]"
+
+
+def _sentences(text: str) -> str:
+    marked = rf"regexp_replace({text}, '([.!?…]){_B}+', '\1' || chr(1), 'g')"
+    return rf"""parts AS (
+      SELECT url, i, regexp_replace(p, '^{_B}+|{_B}+$', '', 'g') AS p FROM (SELECT url, unnest(string_split({marked}, chr(1))) AS p, unnest(range(1, len(string_split({marked}, chr(1))) + 1)) AS i FROM docs)
+    ), kept AS (SELECT url, i, p, lag(p) OVER (PARTITION BY url ORDER BY i) AS before FROM parts WHERE p <> ''
+    ), numbered AS (SELECT url, i, p, sum(CASE WHEN before IS NOT NULL AND lower(regexp_extract(before, '[^\s]+$')) IN ({_in(sorted(ABBREVIATIONS))}) THEN 0 ELSE 1 END) OVER (PARTITION BY url ORDER BY i) AS s FROM kept
+    ), sentences AS (SELECT url, s, string_agg(p, ' ' ORDER BY i) AS sentence FROM numbered GROUP BY 1, 2)"""
+
+
+_TOKENS = rf"len(regexp_extract_all(sentence, '[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_{_B[1:-1]}]'))"
+_CHUNKS = rf"""WITH RECURSIVE {DOCS}, {_sentences("title || chr(10) || chr(10) || content")}, counted AS (
+  SELECT url, s, {_TOKENS} AS n FROM sentences
+), pieces AS (
+  SELECT url, s, 0 AS w, n + {SPECIAL_TOKENS} AS n FROM counted WHERE n + {SPECIAL_TOKENS} <= {_S.max_tokens}
+  UNION ALL SELECT url, s, w, least({_S.max_tokens - SPECIAL_TOKENS}, n - w * {_S.max_tokens - SPECIAL_TOKENS}) + {SPECIAL_TOKENS} FROM (SELECT url, s, n, unnest(range(0, (n + {_S.max_tokens - SPECIAL_TOKENS - 1}) // {_S.max_tokens - SPECIAL_TOKENS})) AS w FROM counted WHERE n + {SPECIAL_TOKENS} > {_S.max_tokens})
+), units AS (
+  SELECT url, row_number() OVER (PARTITION BY url ORDER BY s, w) - 1 AS i, n, sum(n) OVER (PARTITION BY url ORDER BY s, w) AS upto FROM pieces
+), backs AS (
+  SELECT a.url, a.i, a.n, a.upto - a.n AS before, coalesce(min(b.i), a.i) AS back FROM units a LEFT JOIN units b ON b.url = a.url AND b.i < a.i AND a.upto - a.n - (b.upto - b.n) <= {_S.overlap_tokens} GROUP BY 1, 2, 3, 4
+), starts AS (SELECT url, i, upto - n AS at FROM units
+), packing AS (
+  SELECT url, 0::BIGINT AS i, 0::BIGINT AS start, 0::HUGEINT AS total, NULL::HUGEINT AS done FROM units WHERE i = 0
+  UNION ALL
+  SELECT p.url, p.i + 1, CASE WHEN p.i > p.start AND p.total + u.n > {_S.max_tokens} THEN greatest(p.start, u.back) ELSE p.start END,
+    (CASE WHEN p.i > p.start AND p.total + u.n > {_S.max_tokens} THEN u.before - st.at ELSE p.total END + u.n)::HUGEINT,
+    CASE WHEN p.i > p.start AND p.total + u.n > {_S.max_tokens} THEN p.total END
+  FROM packing p JOIN backs u ON u.url = p.url AND u.i = p.i JOIN starts st ON st.url = p.url AND st.i = greatest(p.start, u.back)
+), closed AS (
+  SELECT url, i, done AS tokens FROM packing WHERE done IS NOT NULL
+  UNION ALL SELECT url, i + 1, total FROM packing QUALIFY row_number() OVER (PARTITION BY url ORDER BY i DESC) = 1
+), chunked AS (SELECT url, row_number() OVER (PARTITION BY url ORDER BY i) - 1 AS chunk_number, tokens::BIGINT AS estimated_tokens FROM closed)"""
 
 _INSUFFICIENT = f"""{_FIND}, judged AS (
   SELECT q.query_id, count(f.id) AS n, avg(f.score) AS a FROM queries q LEFT JOIN found f USING (query_id) GROUP BY 1
@@ -118,9 +186,24 @@ _INSUFFICIENT = f"""{_FIND}, judged AS (
     + 0.4 * CASE WHEN a < {_S.min_score} THEN least(1.0, ({_S.min_score} - a) / 100) ELSE 0.0 END)) END AS s FROM judged
 )"""
 
-_NETLOC = "regexp_extract({u}, '^[A-Za-z][A-Za-z0-9+.\\-]*://([^/?#]*)', 1)"
+NETLOC = "regexp_extract({u}, '^[A-Za-z][A-Za-z0-9+.\\-]*://([^/?#]*)', 1)"
 _BLANK = r"[\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{b}\x{1c}-\x{1f}]"
-_TRIM = rf"^{_BLANK}+|{_BLANK}+$"
+TRIM = rf"^{_BLANK}+|{_BLANK}+$"
+
+_BY_DATE = "published DESC NULLS LAST, link NULLS LAST, title NULLS LAST, summary NULLS LAST, source NULLS LAST"
+_WEB = f"""item_words AS (
+  SELECT title, link, published, summary, source, unnest(list_distinct({_words("title")})) AS w FROM (SELECT DISTINCT * FROM feed_items)
+), asked_words AS (
+  SELECT DISTINCT query_id, w FROM query_words WHERE length(w) > 3
+), feed AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY n DESC, {_BY_DATE}) AS pos FROM (
+    SELECT query_id, title, link, published, summary, source, max(n) AS n FROM (
+      SELECT query_id, title, link, published, summary, source, count(*) AS n FROM item_words JOIN asked_words USING (w) GROUP BY ALL
+      UNION ALL SELECT query_id, title, link, published, summary, source, 0 FROM (SELECT DISTINCT query_id FROM queries), (SELECT DISTINCT * FROM feed_items ORDER BY {_BY_DATE} LIMIT {2 * _S.web_results_limit})
+    ) GROUP BY 1, 2, 3, 4, 5, 6)
+), web AS (
+  SELECT query_id, link AS url, min(pos) AS pos FROM feed JOIN scored USING (query_id) WHERE pos <= {_S.web_results_limit} AND s > {_S.insufficiency_threshold} AND link IS NOT NULL AND link <> '' GROUP BY 1, 2
+)"""
 
 ORACLES: dict[str, str] = {
     "token_counts": f"WITH {INDEX} SELECT doc_id, term, tf FROM postings",
@@ -142,21 +225,29 @@ ORACLES: dict[str, str] = {
     "knn_l2": _knn("l2"),
     "knn_cosine": _knn("cosine"),
     "knn_filtered": _knn("l2", "(v.label < 3 OR v.label IN (7, 8))"),
-    "dense_results": _knn("l2", out="query_id, id, round(1 - distance / 2, 6) AS score"),
-    "rrf_fusion": _fused("doc_id || '_0'"),
-    "rrf_fuse_doc": _fused("doc_id"),
+    "dense_results": _knn("l2", out="query_id, rank, id, 'u' || id AS url, 'Título ' || id AS title, (SELECT label::VARCHAR FROM embeddings e WHERE e.vec_id = id) AS source, round(1 - distance / 2, 6) AS score, left(repeat('texto ' || id, 30), 200) || '...' AS snippet"),
+    "vector_lifecycle": "SELECT vec_id::VARCHAR AS id, CASE WHEN vec_id % 2 = 0 THEN 'first' ELSE 'again' END AS title, len(embedding) AS n FROM embeddings WHERE vec_id % 7 <> 0",
+    "vector_dimensions": "SELECT len(embedding) AS dimensions, count(*) AS n FROM vector_store WHERE embedding IS NOT NULL GROUP BY 1",
+    "dense_search": f"WITH {_NEAR} SELECT query_id, rank, id, doc_id AS url, title, source, date, round(1 - distance / 2, 6) AS score, left(content, 200) || '...' AS snippet FROM near JOIN stored USING (id) JOIN search_queries USING (query_id) WHERE rank <= k",
+    "hybrid_search": f"""{_fused(False)} SELECT f.query_id, f.rank, f.id, coalesce(d.url, f.id) AS url, coalesce(d.title, c.title) AS title, coalesce(d.source, c.source) AS source, round(r.score, 4) AS score, round(f.rrf, 9) AS rrf_score,
+      CASE WHEN d.doc_id IS NOT NULL THEN {_SNIP.format(c="d.content")} ELSE left(c.content, 200) || '...' END AS snippet
+      FROM fused_ranked f JOIN queries q USING (query_id) LEFT JOIN ranked r ON r.query_id = f.query_id AND r.doc_id = f.id LEFT JOIN docs d ON d.doc_id = r.doc_id LEFT JOIN stored c ON c.id = f.id WHERE f.rank <= q.k""",
+    "api_answers": f"""{_FIND} SELECT q.query_id, q.q AS query, f.rank - 1 AS pos, f.id, f.title, f.url, f.source, CASE WHEN f.id IS NOT NULL THEN '' END AS date, round(f.score, 4) AS score, {_SNIP.format(c="f.content")} AS snippet FROM queries q LEFT JOIN found f USING (query_id)""",
+    "index_deltas": f"WITH {_DELTAS} SELECT term, count(*) AS cf, count(DISTINCT doc_id) AS df, round(count(*) / (SELECT count(*) FROM left_terms), 12) AS p_wc FROM left_terms GROUP BY 1",
+    "index_compacted": f"WITH {_DELTAS} SELECT term, doc_id, count(*) AS tf, any_value(dl) AS dl FROM left_terms JOIN (SELECT doc_id, count(*) AS dl FROM left_terms GROUP BY 1) USING (doc_id) GROUP BY 1, 2",
+    "chunk_sizes": f"{_CHUNKS} SELECT url || '_' || chunk_number AS id, url AS doc_id, chunk_number, estimated_tokens FROM chunked",
+    "chunk_count": f"{_CHUNKS} SELECT count(*) AS n_rows, count(*) AS n_made FROM chunked",
+    "rrf_fusion": f"{_fused(False)} {_RRF}",
+    "rrf_fuse_doc": f"{_fused(True)} {_RRF}",
     "insufficiency_score": f"{_INSUFFICIENT} SELECT query_id, n AS n_results, round(a, 4) AS avg_score, round(s, 6) AS insufficiency_score, s > {_S.insufficiency_threshold} AS triggered FROM scored",
-    "fallback_combine": f"""{_INSUFFICIENT}, items AS (
-      SELECT link AS url, row_number() OVER (ORDER BY published DESC NULLS LAST, link, title) AS pos FROM feed_items QUALIFY pos <= {_S.web_results_limit}
-    ), web AS (
-      SELECT query_id, url, min(pos) AS pos FROM scored CROSS JOIN items WHERE s > {_S.insufficiency_threshold} AND url IS NOT NULL AND url <> '' GROUP BY 1, 2
-    ), both_legs AS (
+    "fallback_combine": f"""{_INSUFFICIENT}, {_WEB}, both_legs AS (
       SELECT query_id, rank AS pos, 0 AS leg, 'local' AS origin, url, round(score, 4) AS score FROM found WHERE url <> ''
       UNION ALL SELECT w.query_id, w.pos, 1, 'web', w.url, 0.0 FROM web w WHERE NOT EXISTS (SELECT 1 FROM found f WHERE f.query_id = w.query_id AND f.url = w.url)
     ) SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY leg, pos) AS position, origin, url, score FROM both_legs""",
+    "web_store": f"{_INSUFFICIENT}, {_WEB} SELECT doc_id, url FROM docs UNION SELECT 'web_' || left(sha256(url), 16), url FROM web",
     "web_short_ids": "SELECT 'web_' || left(sha256(link), 16) AS doc_id, link AS url, title, source FROM feed_items",
     "feed_results": "SELECT link AS url, title, source, 0.0::DOUBLE AS score, left(summary, 200) AS snippet FROM feed_items",
-    "key_terms": f"SELECT query_id, array_to_string(list_filter(string_split_regex(regexp_replace(lower(q), '{_TRIM}', '', 'g'), '{_BLANK}+'), lambda w: length(w) > 3 AND w NOT IN ({_in(KEY_TERM_STOP)})), '|') AS terms FROM search_queries",
+    "key_terms": f"SELECT query_id, array_to_string(list_filter(string_split_regex(regexp_replace(lower(q), '{TRIM}', '', 'g'), '{_BLANK}+'), lambda w: length(w) > 3 AND w NOT IN ({_in(KEY_TERM_STOP)})), '|') AS terms FROM search_queries",
     "query_variants": " UNION ALL ".join(f"SELECT query_id, {i}::BIGINT AS pos, q || ' {e}' AS variant FROM search_queries" for i, e in enumerate(VARIANT_ENDINGS)),
     "upsert_latest": f"WITH {DOCS} SELECT url, row_id, title, length(content) AS n, len(authors) AS n_authors FROM docs",
     "delete_by_id": f"WITH {DOCS} SELECT url, row_id FROM docs WHERE NOT EXISTS (SELECT 1 FROM feed_items f WHERE f.link = docs.url)",
@@ -164,16 +255,16 @@ ORACLES: dict[str, str] = {
     "keyset_page": f"WITH {DOCS} SELECT doc_id, title, content, source FROM docs ORDER BY doc_id",
     "snippets": f"WITH {DOCS} SELECT url, CASE WHEN length(content) > 200 THEN left(content, 200) || '...' ELSE content END AS snippet, left(content, 200) || '...' AS snippet_always FROM docs",
     "clean_text_rules": rf"""SELECT doc_id, coalesce(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '[\x{{00}}-\x{{08}}\x{{0b}}-\x{{1f}}\x{{7f}}-\x{{9f}}]', '', 'g'),
-      '[\t ]+', ' ', 'g'), ' *\n *', chr(10), 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), '{_TRIM}', '', 'g'), '') AS text FROM documents""",
-    "source_names": f"WITH {DOCS} SELECT url, replace({_NETLOC.format(u='url')}, 'www.', '') AS name FROM docs",
+      '[\t ]+', ' ', 'g'), ' *\n *', chr(10), 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), '{TRIM}', '', 'g'), '') AS text FROM documents""",
+    "source_names": f"WITH {DOCS} SELECT url, replace({NETLOC.format(u='url')}, 'www.', '') AS name FROM docs",
     "url_filter": f"""SELECT link, coalesce(lower(regexp_extract(link, '^([A-Za-z][A-Za-z0-9+.\\-]*):', 1)) IN ('http', 'https')
-      AND len(list_filter(['malvenda.example', 'torrubel.example', 'corval.example'], lambda d: contains({_NETLOC.format(u="link")}, d))) > 0
+      AND len(list_filter(['malvenda.example', 'torrubel.example', 'corval.example'], lambda d: contains({NETLOC.format(u="link")}, d))) > 0
       AND NOT regexp_matches(lower(regexp_extract(link, '^[A-Za-z][A-Za-z0-9+.\\-]*://[^/?#]*([^?#]*)', 1)), '\\.(pdf|jpg|jpeg|png|gif|zip|rar|mp4|mp3|css|js)$'), false) AS valid FROM (SELECT DISTINCT link FROM feed_items)""",
-    "scraper_dispatch": f"WITH {DOCS} SELECT CASE lower({_NETLOC.format(u='url')}) WHEN 'www.malvenda.example' THEN 'rt' WHEN 'www.torrubel.example' THEN 'bbc' ELSE 'base' END AS site, count(*) AS n FROM docs GROUP BY 1",
-    "article_min_length": f"WITH {DOCS} SELECT url FROM docs WHERE length(regexp_replace(content, '{_TRIM}', '', 'g')) >= {_S.min_article_chars}",
+    "scraper_dispatch": f"WITH {DOCS} SELECT CASE lower({NETLOC.format(u='url')}) WHEN 'www.malvenda.example' THEN 'rt' WHEN 'www.torrubel.example' THEN 'bbc' ELSE 'base' END AS site, count(*) AS n FROM docs GROUP BY 1",
+    "article_min_length": f"WITH {DOCS} SELECT url FROM docs WHERE length(regexp_replace(content, '{TRIM}', '', 'g')) >= {_S.min_article_chars}",
     "link_dedupe": f"WITH {DOCS} SELECT link, count(*) AS n FROM feed_items WHERE link IS NOT NULL AND NOT EXISTS (SELECT 1 FROM docs WHERE docs.url = feed_items.link) GROUP BY 1",
-    "frontier_step": f"WITH {DOCS} SELECT DISTINCT link AS url, 1::BIGINT AS depth FROM feed_items WHERE link IS NOT NULL AND NOT EXISTS (SELECT 1 FROM docs WHERE docs.url = feed_items.link) AND NOT EXISTS (SELECT 1 FROM feed_items f WHERE f.source = feed_items.link)",
-    "sentence_units": rf"""WITH {DOCS} SELECT url, len(list_filter(string_split_regex(regexp_replace(content, '([.!?…])[ \t\n\r\f]+', '\1' || chr(1), 'g'), '\x{{01}}'), lambda s: regexp_replace(s, '^[ \t\n\r\f]+|[ \t\n\r\f]+$', '', 'g') <> '')) AS n_sentences FROM docs""",
-    "api_standardized": "SELECT coalesce(nullif(CASE WHEN length(title) % 2 = 0 THEN title ELSE '' END, ''), link) AS id, title, link AS url, source, 0.0::DOUBLE AS score FROM feed_items",
-    "iso_dates": r"SELECT row_id, epoch_us(CASE WHEN regexp_matches(date, '(Z|[+-]\d\d:\d\d)$') THEN date::TIMESTAMPTZ ELSE (date || 'Z')::TIMESTAMPTZ END) AS us FROM search_documents WHERE regexp_matches(date, '^\d{4}-(0[1-9]|1[0-2])-(0[1-9]|1\d|2[0-8])T([01]\d|2[0-3]):[0-5]\d:[0-5]\d(Z|[+-]\d\d:\d\d)?$')",
+    "sentence_units": rf"""WITH {DOCS}, {_sentences("content")} SELECT url, count(s) AS n_sentences FROM docs LEFT JOIN sentences USING (url) GROUP BY 1""",
+    "api_standardized": "SELECT coalesce(nullif(CASE WHEN length(title) % 2 = 0 THEN title ELSE '' END, ''), link) AS id, 'Sin título' AS title, link AS url, source, '' AS date, 0.0::DOUBLE AS score, '' AS snippet FROM feed_items",
+    "iso_dates": r"""SELECT row_id, us FROM (SELECT row_id, epoch_us(TRY_CAST(CASE WHEN regexp_matches(date, '(Z|[+-]\d\d:\d\d)$') THEN date ELSE date || 'Z' END AS TIMESTAMPTZ)) AS us
+      FROM search_documents WHERE regexp_matches(date, '^\d{4}-\d\d-\d\d[T ]\d\d:\d\d:\d\d(\.\d{1,6})?(Z|[+-]\d\d:\d\d)?$')) WHERE us IS NOT NULL""",
 }

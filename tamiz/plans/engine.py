@@ -81,11 +81,14 @@ class Engine:
         self.add_chunks(chunker.chunk(docs, self.settings).observe(made, F.count("*").alias("n")), path)
         return made.get["n"]
 
-    def add_chunks(self, chunks: DataFrame, path: str | None = None) -> None:
-        """Embed chunks (id, content, metadata) and add those whose id is new."""
+    def embedded(self, chunks: DataFrame) -> DataFrame:
+        """Rows of a vector collection from chunks (id, content, metadata)."""
         meta = {c: F.col(f"metadata.{c}") for c in ("doc_id", "title", "source")}
-        rows = chunks.select("id", "content", *[v.alias(k) for k, v in meta.items()], F.col("metadata.publication_date").alias("date"), self.embed("content").alias("embedding"))
-        self._vector_store(path).add(rows)
+        return chunks.select("id", "content", *[v.alias(k) for k, v in meta.items()], F.col("metadata.publication_date").alias("date"), self.embed("content").alias("embedding"))
+
+    def add_chunks(self, chunks: DataFrame, path: str | None = None) -> None:
+        """Embed chunks and add those whose id is new."""
+        self._vector_store(path).add(self.embedded(chunks))
         self._vector_store(None)
 
     def delete_vectors(self, ids: DataFrame, path: str | None = None) -> None:

@@ -4,17 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import oracles
+from . import oracles, oracles_web, queries_web
 from .config import Settings
-from .functions import analysis, dates, scoring
+from .functions import analysis, dates
 from .functions import text as T
 from .operators import chunker, crawl, dense, fallback, hybrid, index, sparse
 from .operators.timestamps import InstantDictionary, site_zones
+from .plans import answers
+from .plans.engine import Engine
 from .session import cut, work_dir
-from .sources.pages import scraper_of
+from .sources.pages import long_enough, scraper_of
 
 SETTINGS = Settings()
 
@@ -45,18 +48,46 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
 # The indexed collection: the latest fetch of each url of search_documents, under its url.
 
 
-def _latest(spark: SparkSession, folder: str) -> DataFrame:
-    rows = table(spark, folder, "search_documents").where(F.col("url").isNotNull())
-    return index.latest(rows, "url", F.desc("fetched_at"), F.desc("row_id"))
+def _docs(spark: SparkSession, folder: str) -> DataFrame:
+    rows = index.last_arrived(table(spark, folder, "search_documents"), "url", ["fetched_at", "row_id"])
+    return index.index_document(rows).withColumn("doc_id", F.col("url"))
 
 
-def _docs(spark: SparkSession, folder: str) -> DataFrame:
-    return index.index_document(_latest(spark, folder)).withColumn("doc_id", F.col("url"))
+_built: dict[tuple, index.IndexStore] = {}
+_embedded: dict[tuple, dense.VectorStore] = {}
+
+
+def _version(spark: SparkSession, folder: str, name: str) -> tuple:
+    """What stands for one state of a table in this session."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}.parquet")
+    status = where.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(where)
+    return spark.sparkContext.applicationId, status.getPath().toString(), status.getModificationTime(), status.getLen()
+
+
+def _new_index(spark: SparkSession, folder: str) -> index.IndexStore:
+    store = index.IndexStore(spark, work_dir(spark, "index"), SETTINGS)
+    store.upsert(index.index_document(table(spark, folder, "search_documents")), "url", ["fetched_at", "row_id"])
+    return store
 
 
 def _index(spark: SparkSession, folder: str) -> index.InvertedIndex:
-    docs = _docs(spark, folder).select("doc_id", "url", "title", "content", "source")
-    return index.build_index(docs, SETTINGS).save(work_dir(spark, "index"))
+    """The index of all documents: built by the first query of a session that needs it, read by the others."""
+    version = _version(spark, folder, "search_documents")
+    if version not in _built:
+        _built[version] = _new_index(spark, folder)
+    return _built[version].index()
+
+
+def _engine(spark: SparkSession, folder: str) -> Engine:
+    """An engine over that index and over the chunks, embedded once a session like it."""
+    engine = Engine(spark, SETTINGS)
+    engine.index = _index(spark, folder)
+    version = _version(spark, folder, "chunks")
+    if version not in _embedded:
+        _embedded[version] = dense.VectorStore(spark, work_dir(spark, "vectors"))
+        _embedded[version].add(engine.embedded(table(spark, folder, "chunks")))
+    engine.vectors = _embedded[version].rows()
+    return engine
 
 
 def _asked(spark: SparkSession, folder: str) -> DataFrame:
@@ -68,7 +99,31 @@ def _r(column, places: int = 6):
 
 
 def token_counts(spark, folder):
-    return _index(spark, folder).postings.select("doc_id", "term", "tf")
+    """Postings of a new index: what building it costs."""
+    return _new_index(spark, folder).index().postings.select("doc_id", "term", "tf")
+
+
+def _deltas(spark, folder) -> index.IndexStore:
+    """An index of the even rows, then the odd ones by given ids, some of them urls, without the feed's urls."""
+    rows = index.index_document(table(spark, folder, "search_documents"))
+    store = index.IndexStore(spark, work_dir(spark, "index"), SETTINGS)
+    store.upsert(rows.where(F.col("row_id") % 2 == 0), "url", ["fetched_at", "row_id"])
+    own = F.when(F.col("row_id") % 3 == 0, F.col("url")).otherwise(F.concat(F.lit("d"), (F.col("row_id") % 100).cast("string")))
+    store.upsert(rows.where(F.col("row_id") % 2 == 1).withColumn("doc_id", own), "doc_id", "row_id")
+    store.delete(table(spark, folder, "feed_items").select(F.col("link").alias("doc_id")))
+    return store
+
+
+def index_deltas(spark, folder):
+    """Term statistics after two upserts and a delete."""
+    return _deltas(spark, folder).index().term_stats.select("term", "cf", "df", _r("p_wc", 12).alias("p_wc"))
+
+
+def index_compacted(spark, folder):
+    """Postings after the same and a merge of all generations."""
+    store = _deltas(spark, folder)
+    store.compact()
+    return store.index().postings
 
 
 def doc_lengths(spark, folder):
@@ -188,19 +243,56 @@ def knn_store(spark, folder):
 
 
 def dense_results(spark, folder):
+    """Neighbours with what they show."""
     vectors = _vectors(spark, folder)
     near = dense.knn(vectors, _vector_queries(vectors), 10, "l2")
-    return near.select("query_id", "id", _r(scoring.dense_score(F.col("distance"))).alias("score"))
+    name = F.col("id").cast("string")
+    payload = vectors.select("id", F.repeat(F.concat(F.lit("texto "), name), 30).alias("content"), F.concat(F.lit("u"), name).alias("doc_id"), F.concat(F.lit("Título "), name).alias("title"), F.col("label").cast("string").alias("source"))
+    got = dense.dense_results(near, payload)
+    return got.select("query_id", F.col("rank").cast("long").alias("rank"), "id", "url", "title", "source", _r("score").alias("score"), "snippet")
+
+
+def vector_lifecycle(spark, folder):
+    """A collection after two additions with common ids and a delete."""
+    store = dense.VectorStore(spark, work_dir(spark, "vectors"))
+    rows = table(spark, folder, "embeddings").select(F.col("vec_id"), F.col("vec_id").cast("string").alias("id"), "embedding")
+    store.add(rows.where(F.col("vec_id") % 2 == 0).withColumn("title", F.lit("first")))
+    store.add(rows.withColumn("title", F.lit("again")))
+    store.delete(rows.where(F.col("vec_id") % 7 == 0).select("id"))
+    return store.rows().select("id", "title", F.size("embedding").cast("long").alias("n"))
+
+
+def vector_dimensions(spark, folder):
+    return dense.dimensionality(table(spark, folder, "vector_store")).select(F.col("dimensions").cast("long").alias("dimensions"), "n")
+
+
+def dense_search(spark, folder):
+    """Nearest chunks of every query, text to answer."""
+    got = _engine(spark, folder).dense(_asked(spark, folder))
+    return got.select("query_id", F.col("rank").cast("long").alias("rank"), "id", "url", "title", "source", "date", _r("score").alias("score"), "snippet")
+
+
+def hybrid_search(spark, folder):
+    """Both searches of every query, fused."""
+    got = _engine(spark, folder).hybrid(_asked(spark, folder))
+    return got.select("query_id", F.col("rank").cast("long").alias("rank"), "id", "url", "title", "source", _r("score", 4).alias("score"), _r("rrf_score", 9).alias("rrf_score"), "snippet")
+
+
+def api_answers(spark, folder):
+    """Answers of the sparse search in the common form, item by item."""
+    asked = _asked(spark, folder)
+    got = answers.answers(asked, sparse.search(_index(spark, folder), asked, SETTINGS))
+    items = got.select("query_id", "query", F.posexplode_outer("results").alias("pos", "item"))
+    return items.select("query_id", "query", F.col("pos").cast("long").alias("pos"), "item.id", "item.title", "item.url", "item.source", "item.date", _r("item.score", 4).alias("score"), "item.snippet")
 
 
 def _legs(spark, folder):
-    """Two rankings of documents for each query: by the model, and by title length, for want of a model's vectors."""
-    left = cut(sparse.ranked(_index(spark, folder), _asked(spark, folder), SETTINGS).select("query_id", F.col("doc_id").alias("id"), "rank"), "leg")
-    docs = _docs(spark, folder).select("doc_id", F.length("title").alias("n"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("n"), "doc_id")
-    pool = left.select("query_id", F.col("id").alias("doc_id")).join(docs, "doc_id")
-    right = pool.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= 100)
-    return left, right.select("query_id", F.concat("doc_id", F.lit("_0")).alias("id"), "rank", "doc_id")
+    """The model's ranking of documents, and the nearest 200 chunks, of each query."""
+    engine, asked = _engine(spark, folder), _asked(spark, folder)
+    left = sparse.ranked(engine.index, asked, SETTINGS).select("query_id", F.col("doc_id").alias("id"), "rank")
+    near = engine._near(asked, SETTINGS.top_candidates)
+    right = near.join(engine.vectors.select(F.col("id").alias("v_id"), "doc_id"), F.col("id") == F.col("v_id")).drop("v_id")
+    return cut(left, "leg"), cut(right, "leg")
 
 
 def rrf_fusion(spark, folder):
@@ -220,17 +312,37 @@ def insufficiency_score(spark, folder):
     return got.select("query_id", "n_results", _r("avg_score", 4).alias("avg_score"), _r("insufficiency_score").alias("insufficiency_score"), "triggered")
 
 
+def _feed(spark, folder):
+    """What a feed search would answer: the items whose title has a word of the query, best match first, then the newest."""
+    items = table(spark, folder, "feed_items").distinct()
+    words = items.select("title", "link", "published", "summary", "source", F.explode(F.array_distinct(analysis.words(F.col("title")))).alias("word"))
+    asked = _asked(spark, folder).select("query_id", F.explode(F.array_distinct(analysis.words(F.col("q")))).alias("q_word")).where(F.length("q_word") > 3)
+    met = words.join(F.broadcast(asked), F.col("word") == F.col("q_word")).groupBy("query_id", "title", "link", "published", "summary", "source").agg(F.count("*").alias("n"))
+    fields = ["title", "link", "published", "summary", "source"]
+    by_date = [F.desc_nulls_last("published"), F.asc_nulls_last("link"), F.asc_nulls_last("title"), F.asc_nulls_last("summary"), F.asc_nulls_last("source")]
+    newest = items.orderBy(*by_date).limit(2 * SETTINGS.web_results_limit)
+    others = _asked(spark, folder).select("query_id").distinct().crossJoin(F.broadcast(newest)).withColumn("n", F.lit(0).cast("long"))
+    met = met.unionByName(others).groupBy("query_id", *fields).agg(F.max("n").alias("n"))
+    order = Window.partitionBy("query_id").orderBy(F.desc("n"), *by_date)
+    return met.withColumn("position", F.row_number().over(order)).where(F.col("position") <= 2 * SETTINGS.web_results_limit)
+
+
 def fallback_combine(spark, folder):
-    """Local results, and the newest feed items for queries without enough of them."""
+    """Local results, and the feed's items for queries without enough of them."""
     asked = _asked(spark, folder)
     local = sparse.search(_index(spark, folder), asked, SETTINGS)
-    order = Window.orderBy(F.desc_nulls_last("published"), "link", "title")
-    items = table(spark, folder, "feed_items").orderBy(F.desc_nulls_last("published"), "link", "title").limit(SETTINGS.web_results_limit)
-    feed = asked.select("query_id").crossJoin(F.broadcast(items.withColumn("position", F.row_number().over(order))))
-    got = fallback.search_with_fallback(asked, local, feed, SETTINGS)
+    got = fallback.search_with_fallback(asked, local, _feed(spark, folder), SETTINGS)
     return got.select("query_id", F.col("position").cast("long").alias("position"), "origin", "url", _r("score", 4).alias("score"))
 
 
+def web_store(spark, folder):
+    """The index after a search whose feed items were stored."""
+    engine = Engine(spark, SETTINGS)
+    engine.index_documents(table(spark, folder, "search_documents").drop("date"), work_dir(spark, "index"), ["fetched_at", "row_id"])
+    engine.search_with_fallback(_asked(spark, folder), _feed(spark, folder), store=True)
+    return engine.index.docs.select("doc_id", "url")
+
+
 def web_short_ids(spark, folder):
     return fallback.feed_documents(table(spark, folder, "feed_items")).select("doc_id", "url", "title", "source")
 
@@ -248,13 +360,16 @@ def query_variants(spark, folder):
 
 
 def upsert_latest(spark, folder):
-    return _docs(spark, folder).select("url", "row_id", "title", F.length("content").cast("long").alias("n"), F.size("authors").cast("long").alias("n_authors"))
+    """The documents of the index, of each url the last fetch."""
+    found = _index(spark, folder).docs
+    return found.select("url", "row_id", "title", F.length("content").cast("long").alias("n"), F.size("authors").cast("long").alias("n_authors"))
 
 
 def delete_by_id(spark, folder):
-    """The collection without the urls that the feed has."""
-    links = table(spark, folder, "feed_items").select(F.col("link").alias("url"))
-    return index.delete_by_key(_docs(spark, folder), links).select("url", "row_id")
+    """The index without the urls that the feed has."""
+    store = _new_index(spark, folder)
+    store.delete(table(spark, folder, "feed_items").select(F.col("link").alias("doc_id")))
+    return store.index().docs.select("url", "row_id")
 
 
 def prefix_limit(spark, folder):
@@ -264,7 +379,9 @@ def prefix_limit(spark, folder):
 
 def keyset_page(spark, folder):
     """The full scan in key order."""
-    return _docs(spark, folder).select("doc_id", "title", "content", "source").orderBy("doc_id")
+    engine = Engine(spark, SETTINGS)
+    engine.index = _index(spark, folder)
+    return engine.documents().select("doc_id", "title", "content", "source")
 
 
 def snippets(spark, folder):
@@ -295,29 +412,23 @@ def scraper_dispatch(spark, folder):
 
 
 def article_min_length(spark, folder):
-    return _docs(spark, folder).where(F.length(T.strip(F.col("content"))) >= SETTINGS.min_article_chars).select("url")
+    return _docs(spark, folder).where(long_enough(F.col("content"), SETTINGS.min_article_chars)).select("url")
 
 
 def link_dedupe(spark, folder):
     """Feed items whose link the collection lacks, once a link."""
-    items = table(spark, folder, "feed_items")
-    fresh = items.join(_docs(spark, folder).select(F.col("url").alias("have")), F.col("link") == F.col("have"), "left_anti")
-    return fresh.groupBy("link").agg(F.count("*").alias("n"))
+    items = table(spark, folder, "feed_items").where(F.col("link").isNotNull())
+    return index.delete_by_key(items, _docs(spark, folder).select(F.col("url").alias("link")), "link").groupBy("link").agg(F.count("*").alias("n"))
 
 
-def frontier_step(spark, folder):
-    """One step of the frontier over the graph of documents and the documents their feed summaries lead to."""
-    edges = table(spark, folder, "feed_items").select(F.col("source").alias("src"), F.col("link").alias("dst")).distinct()
-    frontier = edges.select(F.col("src").alias("url")).distinct().withColumn("depth", F.lit(0))
-    visited = _docs(spark, folder).select("url")
-    return crawl.expand_frontier(frontier, visited, edges).select("url", F.col("depth").cast("long").alias("depth"))
+def sentence_units(spark, folder):
+    """Sentences of every content."""
 
+    @F.pandas_udf("bigint")
+    def count(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: len(chunker.sentences(t)))
 
-def sentence_units(spark, folder):
-    """Sentences of every content, by the pattern alone."""
-    docs = _docs(spark, folder)
-    parts = F.filter(F.transform(F.split("content", r"(?<=[.!?…])[ \t\n\r\f]+"), lambda s: F.regexp_replace(s, r"^[ \t\n\r\f]+|[ \t\n\r\f]+$", "")), lambda s: s != "")
-    return docs.select("url", F.size(parts).cast("long").alias("n_sentences"))
+    return _docs(spark, folder).select("url", count("content").alias("n_sentences"))
 
 
 def chunks(spark, folder):
@@ -326,18 +437,33 @@ def chunks(spark, folder):
     return got.select("id", "content", F.col("metadata.chunk_number").alias("chunk_number"), F.col("metadata.estimated_tokens").alias("estimated_tokens"))
 
 
+def chunk_sizes(spark, folder):
+    """Chunks of all documents by number and tokens."""
+    got = chunker.chunk(_docs(spark, folder), SETTINGS)
+    return got.select("id", F.col("metadata.doc_id").alias("doc_id"), F.col("metadata.chunk_number").cast("long").alias("chunk_number"), F.col("metadata.estimated_tokens").cast("long").alias("estimated_tokens"))
+
+
+def chunk_count(spark, folder):
+    """How many chunks indexing all documents makes, and how many the collection then has."""
+    engine = Engine(spark, SETTINGS)
+    made = engine.index_vectors(_docs(spark, folder), work_dir(spark, "vectors"))
+    return engine.vectors.agg(F.count("*").alias("n_rows")).withColumn("n_made", F.lit(made).cast("long"))
+
+
 def api_standardized(spark, folder):
-    """Items of the answer: the id, else the url; texts as they are."""
+    """Feed items as items of an answer: an empty id becomes the url, missing fields their defaults."""
     rows = table(spark, folder, "feed_items")
     some_id = F.when(F.length("title") % 2 == 0, F.col("title")).otherwise(F.lit(""))
-    return rows.select(F.coalesce(F.nullif(some_id, F.lit("")), "link").alias("id"), "title", F.col("link").alias("url"), "source", F.lit(0.0).alias("score"))
+    given = rows.select(F.lit(1).alias("query_id"), F.lit(1).alias("rank"), some_id.alias("id"), F.col("link").alias("url"), "source")
+    return answers.standardized(given).drop("query_id", "rank")
 
 
 def iso_dates(spark, folder):
-    """Dates of the JSON-lines records that are ISO texts."""
+    """Dates of the JSON-lines records in the extended ISO form, to the second or finer, impossible ones left out."""
     rows = table(spark, folder, "search_documents")
-    iso = F.col("date").rlike(r"^\d{4}-(0[1-9]|1[0-2])-(0[1-9]|1\d|2[0-8])T([01]\d|2[0-3]):[0-5]\d:[0-5]\d(Z|[+-]\d\d:\d\d)?$")
-    return rows.where(iso).select("row_id", F.unix_micros(dates.parse_iso(F.col("date"))).alias("us"))
+    iso = F.col("date").rlike(r"^\d{4}-\d\d-\d\d[T ]\d\d:\d\d:\d\d(\.\d{1,6})?(Z|[+-]\d\d:\d\d)?$")
+    read = rows.where(iso).select("row_id", F.unix_micros(dates.parse_iso(F.col("date"))).alias("us"))
+    return read.where(F.col("us").isNotNull())
 
 
 def iso_dates_all(spark, folder):
@@ -347,15 +473,15 @@ def iso_dates_all(spark, folder):
 
 
 _NAMES = [
-    token_counts, doc_lengths, term_collection_stats, model_stats, term_stats, term_frequency_lookup, simple_tokens, stemmed_terms, stop_filtered_tokens,
+    token_counts, index_deltas, index_compacted, doc_lengths, term_collection_stats, model_stats, term_stats, term_frequency_lookup, simple_tokens, stemmed_terms, stop_filtered_tokens,
     candidates_or, bm25_top200, lmir_topk, lmir_scores, lmir_explain, lmir_oov_query, lmir_duplicate_terms, knn_l2, knn_cosine, knn_filtered, knn_store,
-    dense_results, rrf_fusion, rrf_fuse_doc, insufficiency_score, fallback_combine, web_short_ids, feed_results, key_terms, query_variants, upsert_latest,
-    delete_by_id, prefix_limit, keyset_page, snippets, clean_text, clean_text_rules, source_names, url_filter, scraper_dispatch,
-    article_min_length, link_dedupe, frontier_step, sentence_units, chunks, api_standardized, iso_dates, iso_dates_all,
+    dense_results, vector_lifecycle, vector_dimensions, dense_search, hybrid_search, api_answers, rrf_fusion, rrf_fuse_doc, insufficiency_score, fallback_combine, web_store,
+    web_short_ids, feed_results, key_terms, query_variants, upsert_latest, delete_by_id, prefix_limit, keyset_page, snippets, clean_text, clean_text_rules, source_names, url_filter,
+    scraper_dispatch, article_min_length, link_dedupe, sentence_units, chunks, chunk_sizes, chunk_count, api_standardized, iso_dates, iso_dates_all,
 ]
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found} | {f.__name__: f for f in _NAMES}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found} | {f.__name__: f for f in _NAMES} | queries_web.register(table, _docs)
 
-ORACLES: dict[str, str] = oracles.ORACLES
+ORACLES: dict[str, str] = oracles.ORACLES | oracles_web.oracles(oracles.DOCS, oracles.NETLOC, oracles.TRIM, SETTINGS.min_article_chars)
 
 FLAGSHIP = "lmir_topk"
