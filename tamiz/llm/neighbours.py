@@ -1,7 +1,7 @@
 """Most similar vectors by shifted Hilbert curves.
 
 Every usable vector is projected to DIMS random directions, shifted, and placed
-on CURVES Hilbert curves. The keys of a bounded sample cut each curve into
+on CURVES Hilbert curves. The keys of at most SAMPLE vectors cut each curve into
 ranges of about BLOCK vectors; a vector goes to its own range and, near an end,
 as an onlooker to the next one, so each vector meets at least WINDOW neighbours
 on either side in key order. Inside a range the windows are scored by cosine as
@@ -12,8 +12,8 @@ curves find shrinks with it. So the lists are then joined up: each vector's
 neighbours are compared with each other and with it, for as many rounds as more
 than REST of the entries change. This follows what the curves missed, not a size.
 
-Vectors and lists cross the network packed, many to a record, the vectors as
-16-bit fixed point (an error of about 1e-5 in a cosine).
+Vectors are packed once, as 16-bit fixed point (an error of about 1e-5 in a
+cosine), and cross the network with their lists many to a record.
 """
 
 from __future__ import annotations
@@ -33,7 +33,9 @@ DIMS, DEPTH = 8, 5  # directions of a curve, bits of each
 CURVES = 4
 WINDOW = 384
 BLOCK = 4096
-SAMPLE = 20_000  # vectors, at most, whose keys set the ranges
+SAMPLE = 100_000  # vectors, at most, whose keys set the ranges; the driver gets their keys only
+SAMPLED_A_RANGE = 16  # keys, at least, behind the borders of a range
+DIRECTION = 1e4  # steps of a component, the largest being 1, under which vectors count as copies
 SPREAD = 2.5  # standard deviations that a curve's grid covers on either side
 MERGE_GROUPS = 64
 REST = 0.1  # of the entries: a round that changes fewer is the last; the next changed a tenth as many where measured
@@ -102,9 +104,36 @@ def _units(column: pd.Series) -> np.ndarray:
     return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
 
 
-def _ranges(sample: pd.DataFrame, total: int, curves: Curves, block: int) -> list[np.ndarray]:
-    unit, ids = _units(sample["embedding"]), sample["vec_id"].to_numpy()
-    return [np.sort(curves.keys(c, unit, ids)) for c in range(len(curves.bases))]
+def packed(vectors: DataFrame) -> DataFrame:
+    """(vec_id, unit BINARY) of ``vectors`` (vec_id, embedding): unit length, 16 bits a component."""
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            unit = np.round(_units(batch["embedding"]) * 32767).astype("<i2") if len(batch) else []
+            yield pd.DataFrame({"vec_id": batch["vec_id"], "unit": [u.tobytes() for u in unit]})
+
+    return vectors.select("vec_id", "embedding").mapInPandas(pack, "vec_id BIGINT, unit BINARY")
+
+
+def _unpacked(column: pd.Series) -> np.ndarray:
+    """Unit vectors of packed ones."""
+    unit = np.frombuffer(b"".join(column), "<i2").reshape(len(column), -1).astype(np.float32)
+    return unit / np.linalg.norm(unit, axis=1, keepdims=True)
+
+
+def _sampled_keys(vectors: DataFrame, total: int, curve: Curves) -> list[np.ndarray]:
+    """Sorted keys of at most SAMPLE packed vectors on each curve: all that the driver ever sees of them."""
+
+    def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                unit, ids = _unpacked(batch["unit"]), batch["vec_id"].to_numpy()
+                yield pd.DataFrame({f"k{c}": curve.keys(c, unit, ids).view(np.int64) for c in range(len(curve.bases))})
+
+    share = min(1.0, 0.9 * SAMPLE / total)
+    chosen = vectors.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).limit(SAMPLE)
+    found = chosen.mapInPandas(keys, ", ".join(f"k{c} BIGINT" for c in range(len(curve.bases)))).toPandas()
+    return [np.sort(found[f"k{c}"].to_numpy(np.int64).view(np.uint64)) for c in range(len(curve.bases))]
 
 
 def _planes(ids: np.ndarray) -> bytes:
@@ -148,7 +177,7 @@ def merge_top(ids: np.ndarray, scores: np.ndarray, top: int = TOP) -> tuple[np.n
 
 
 def nearest(vectors: DataFrame, curves: int = CURVES, window: int = WINDOW, block: int = BLOCK, top: int = TOP) -> DataFrame:
-    """(vec_id, ids ARRAY<BIGINT>, scores ARRAY<FLOAT>) of ``vectors`` (vec_id, embedding), all usable and different.
+    """(vec_id, ids ARRAY<BIGINT>, scores ARRAY<FLOAT>) of ``vectors`` (vec_id, and embedding or unit), all usable and different.
 
     Fewer than ``top`` other vectors give shorter arrays; one vector alone gives empty ones.
     """
@@ -157,19 +186,21 @@ def nearest(vectors: DataFrame, curves: int = CURVES, window: int = WINDOW, bloc
     if not total:
         return spark.createDataFrame([], "vec_id BIGINT, ids ARRAY<BIGINT>, scores ARRAY<FLOAT>")
     curve = Curves(curves=curves)
-    share = min(1.0, 0.9 * SAMPLE / total)
-    sample = vectors.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).limit(SAMPLE).toPandas()
-    sorted_keys = _ranges(sample, total, curve, block) if len(sample) else [np.zeros(0, np.uint64)] * curves
-    parts = max(1, round(total / block))
-    edges = [k[np.linspace(0, len(k), parts + 1).astype(int)[1:-1]] if len(k) > parts else k for k in sorted_keys]
+    vectors = vectors if "unit" in vectors.columns else packed(vectors)
+    sorted_keys = _sampled_keys(vectors, total, curve)
+    known = min(len(k) for k in sorted_keys)
+    parts = max(1, min(round(total / block), max(known // SAMPLED_A_RANGE, min(known, SAMPLED_A_RANGE))))
+    edges = [k[np.linspace(0, len(k), parts + 1).astype(int)[1:-1]] for k in sorted_keys]
     reach = 1.5 * window / total  # of a curve, as the sample sees it
     shared = spark.sparkContext.broadcast((curve, sorted_keys, edges))  # at most SAMPLE numbers a curve
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         on, known, ends = shared.value
         for batch in batches:
-            ids, unit = batch["vec_id"].to_numpy(), _units(batch["embedding"])
-            packed = np.round(unit * 32767).astype("<i2")
+            if not len(batch):
+                continue
+            ids, unit = batch["vec_id"].to_numpy(), _unpacked(batch["unit"])
+            short = np.frombuffer(b"".join(batch["unit"]), "<i2").reshape(len(ids), -1)
             out = []
             for c in range(len(on.bases)):
                 key = on.keys(c, unit, ids)
@@ -186,7 +217,7 @@ def nearest(vectors: DataFrame, curves: int = CURVES, window: int = WINDOW, bloc
                 cuts = np.flatnonzero(np.diff(target[order])) + 1
                 for piece in np.split(order, cuts):
                     r = rows[piece]
-                    out.append((c, int(target[piece[0]]), _planes(ids[r]), key[r].astype("<u8").tobytes(), inside[piece].tobytes(), packed[r].tobytes()))
+                    out.append((c, int(target[piece[0]]), _planes(ids[r]), key[r].astype("<u8").tobytes(), inside[piece].tobytes(), short[r].tobytes()))
             yield pd.DataFrame(out, columns=["curve", "part", "ids", "keys", "inside", "unit"])
 
     def score(frame: pd.DataFrame) -> pd.DataFrame:
@@ -269,7 +300,7 @@ def local_pairs(unit: np.ndarray, ids: np.ndarray, table: np.ndarray, worst: np.
 
 
 def joined_up(vectors: DataFrame, lists: DataFrame, top: int = TOP, block: int = BLOCK) -> DataFrame:
-    """``lists`` (vec_id, ids, scores) of ``vectors`` after one round: neighbours of a common vector are compared.
+    """``lists`` (vec_id, ids, scores) of ``vectors`` (vec_id, unit) after one round: neighbours of a common vector are compared.
 
     Adds ``fresh``, the number of entries that are new. Lists with a common leader, the id of the least hash, meet
     in one group, to which each vector goes once.
@@ -277,16 +308,10 @@ def joined_up(vectors: DataFrame, lists: DataFrame, top: int = TOP, block: int =
     total = lists.count()
     parts, groups = max(1, total // block), max(MERGE_GROUPS, total // 200_000)
 
-    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            unit = np.round(_units(batch["embedding"]) * 32767).astype("<i2") if len(batch) else []
-            yield pd.DataFrame({"vec_id": batch["vec_id"], "unit": [u.tobytes() for u in unit]})
-
     def meet(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("vec_id", ignore_index=True)
         ids = frame["vec_id"].to_numpy()
-        unit = np.frombuffer(b"".join(frame["unit"]), "<i2").reshape(len(ids), -1).astype(np.float32)
-        unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+        unit = _unpacked(frame["unit"])
         own = np.flatnonzero((frame["home"] == frame["g"]).to_numpy())
         a, b, score = local_pairs(unit, ids, _padded(frame["ids"], top), frame["worst"].to_numpy(), own)
         return _flat(ids[a], ids[b], score, True, groups)
@@ -316,7 +341,7 @@ def joined_up(vectors: DataFrame, lists: DataFrame, top: int = TOP, block: int =
     homes = lists.select("vec_id", "ids", "scores", F.pmod(F.xxhash64(leader), F.lit(parts)).alias("home"))
     wanted = homes.select(F.col("home").alias("g"), F.explode(F.concat(F.array("vec_id"), "ids")).alias("vec_id")).distinct()
     worst = F.when(F.size("scores") < top, F.lit(-2.0)).otherwise(F.array_min("scores")).cast("float").alias("worst")
-    rows = homes.select("vec_id", "ids", worst, "home").join(vectors.mapInPandas(pack, "vec_id BIGINT, unit BINARY"), "vec_id")
+    rows = homes.select("vec_id", "ids", worst, "home").join(vectors, "vec_id")
     flat = "bucket BIGINT, own BINARY, ids BINARY, scores BINARY, new BOOLEAN"
     met = wanted.join(rows, "vec_id").groupBy("g").applyInPandas(meet, flat)
     entries = met.unionByName(lists.select("vec_id", "ids", "scores").mapInPandas(known, flat))
@@ -327,12 +352,14 @@ def neighbour_lists(store: DataFrame, top: int = TOP, window: int = WINDOW, bloc
     """(vec_id, other BIGINT, score, rank) of every usable row of ``store`` (vec_id, embedding): its ``top`` most
     similar other rows by cosine, ties to the smaller vec_id.
 
-    Equal vectors are folded into one before the curves, and unfolded in the lists: copies of the vector
+    Equal vectors, and vectors of one direction, are folded into one before the curves, and unfolded in the lists: copies of the vector
     itself first, then each neighbour with its copies; only the smallest ``top`` + 1 ids of a class can
     matter and only they are kept. Rows with a vector that cannot be used have no list and are in none.
     """
     rows = store.where(F.col("vec_id").isNotNull() & usable(F.col("embedding"))).select("vec_id", "embedding")
-    keyed = rows.select("vec_id", F.xxhash64("embedding").alias("h1"), F.xxhash64(F.lit(1), "embedding").alias("h2"))
+    most = F.array_max(F.transform("embedding", lambda x: F.abs(x.cast("double"))))
+    direction = F.transform("embedding", lambda x: F.rint(x.cast("double") / F.col("most") * DIRECTION).cast("int"))
+    keyed = rows.withColumn("most", most).select("vec_id", direction.alias("d")).select("vec_id", F.xxhash64("d").alias("h1"), F.xxhash64(F.lit(1), "d").alias("h2"))
     counts = keyed.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("vec_id").alias("rep")).where(F.col("n") > 1)
     crowds = cut(counts.select("h1", "h2", "rep"), "crowds")
     copies = keyed.join(crowds, ["h1", "h2"]).select("rep", "vec_id")
@@ -341,7 +368,7 @@ def neighbour_lists(store: DataFrame, top: int = TOP, window: int = WINDOW, bloc
     for by in (["rep", "salt"], ["rep"]):
         least = least.withColumn("r", F.row_number().over(Window.partitionBy(*by).orderBy("vec_id"))).where(F.col("r") <= top + 1)
     few = cut(least.groupBy("rep").agg(F.sort_array(F.collect_list("vec_id")).alias("members")), "members")
-    distinct = rows.join(copies.where(F.col("rep") != F.col("vec_id")).select("vec_id"), "vec_id", "left_anti")
+    distinct = cut(packed(rows.join(copies.where(F.col("rep") != F.col("vec_id")).select("vec_id"), "vec_id", "left_anti")), "vectors")
     lists = cut(nearest(distinct, window=window, block=block, top=top), "lists")
     while True:
         release(store.sparkSession)  # the shuffles behind the lists have served
