@@ -33,7 +33,7 @@ DIMS, DEPTH = 8, 5  # directions of a curve, bits of each
 CURVES = 4
 WINDOW = 384
 BLOCK = 4096
-SAMPLE = 100_000  # vectors, at most, whose keys set the ranges; the driver gets their keys only
+SAMPLE = 50_000  # vectors, at most, whose keys set the ranges; the driver gets their keys only
 SAMPLED_A_RANGE = 16  # keys, at least, behind the borders of a range
 DIRECTION = 1e4  # steps of a component, the largest being 1, under which vectors count as copies
 SPREAD = 2.5  # standard deviations that a curve's grid covers on either side
@@ -42,6 +42,7 @@ REST = 0.1  # of the entries: a round that changes fewer is the last; the next c
 
 _TIE_BITS = 23
 _SEED = 7041776
+_WEIGHTS = np.random.default_rng(_SEED).integers(-(2**62), 2**62, (2, SIZE)) * 2 + 1  # of a direction's steps in its hashes
 
 
 def usable(embedding: Column, size: int = SIZE) -> Column:
@@ -105,14 +106,20 @@ def _units(column: pd.Series) -> np.ndarray:
 
 
 def packed(vectors: DataFrame) -> DataFrame:
-    """(vec_id, unit BINARY) of ``vectors`` (vec_id, embedding): unit length, 16 bits a component."""
+    """(vec_id, unit BINARY, h1, h2) of ``vectors`` (vec_id, embedding): unit length, 16 bits a component, and two hashes
+    of the direction, which rescaled copies share."""
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            unit = np.round(_units(batch["embedding"]) * 32767).astype("<i2") if len(batch) else []
-            yield pd.DataFrame({"vec_id": batch["vec_id"], "unit": [u.tobytes() for u in unit]})
+            if len(batch):
+                unit = _units(batch["embedding"])
+                steps = np.rint(unit / np.abs(unit).max(1, keepdims=True) * DIRECTION).astype("<i2")
+                with np.errstate(over="ignore"):
+                    h1, h2 = ((steps.astype(np.int64) * w).sum(1) for w in _WEIGHTS)
+                short = np.round(unit * 32767).astype("<i2")
+                yield pd.DataFrame({"vec_id": batch["vec_id"], "unit": [u.tobytes() for u in short], "h1": h1, "h2": h2})
 
-    return vectors.select("vec_id", "embedding").mapInPandas(pack, "vec_id BIGINT, unit BINARY")
+    return vectors.select("vec_id", "embedding").mapInPandas(pack, "vec_id BIGINT, unit BINARY, h1 BIGINT, h2 BIGINT")
 
 
 def _unpacked(column: pd.Series) -> np.ndarray:
@@ -357,9 +364,8 @@ def neighbour_lists(store: DataFrame, top: int = TOP, window: int = WINDOW, bloc
     matter and only they are kept. Rows with a vector that cannot be used have no list and are in none.
     """
     rows = store.where(F.col("vec_id").isNotNull() & usable(F.col("embedding"))).select("vec_id", "embedding")
-    most = F.array_max(F.transform("embedding", lambda x: F.abs(x.cast("double"))))
-    direction = F.transform("embedding", lambda x: F.rint(x.cast("double") / F.col("most") * DIRECTION).cast("int"))
-    keyed = rows.withColumn("most", most).select("vec_id", direction.alias("d")).select("vec_id", F.xxhash64("d").alias("h1"), F.xxhash64(F.lit(1), "d").alias("h2"))
+    rows = cut(packed(rows), "vectors")
+    keyed = rows.select("vec_id", "h1", "h2")
     counts = keyed.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("vec_id").alias("rep")).where(F.col("n") > 1)
     crowds = cut(counts.select("h1", "h2", "rep"), "crowds")
     copies = keyed.join(crowds, ["h1", "h2"]).select("rep", "vec_id")
@@ -368,7 +374,7 @@ def neighbour_lists(store: DataFrame, top: int = TOP, window: int = WINDOW, bloc
     for by in (["rep", "salt"], ["rep"]):
         least = least.withColumn("r", F.row_number().over(Window.partitionBy(*by).orderBy("vec_id"))).where(F.col("r") <= top + 1)
     few = cut(least.groupBy("rep").agg(F.sort_array(F.collect_list("vec_id")).alias("members")), "members")
-    distinct = cut(packed(rows.join(copies.where(F.col("rep") != F.col("vec_id")).select("vec_id"), "vec_id", "left_anti")), "vectors")
+    distinct = rows.select("vec_id", "unit").join(copies.where(F.col("rep") != F.col("vec_id")).select("vec_id"), "vec_id", "left_anti")
     lists = cut(nearest(distinct, window=window, block=block, top=top), "lists")
     while True:
         release(store.sparkSession)  # the shuffles behind the lists have served
