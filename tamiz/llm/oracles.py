@@ -12,7 +12,16 @@ _LINES = rf"""lines AS (
   SELECT source, w FROM worded WHERE w <> '' GROUP BY 1, 2 HAVING count(DISTINCT url) >= 8
 )"""
 
+_CONTENT = """SELECT d.row_id, CASE WHEN d.content IS NULL THEN NULL ELSE coalesce(k.content, '') END AS content FROM search_documents d LEFT JOIN (
+      SELECT row_id, string_agg(line, chr(10) ORDER BY line_no) AS content FROM lines ANTI JOIN flagged USING (row_id, line_no) GROUP BY 1) k USING (row_id)"""
+
+_EVEN = "SELECT source, w FROM worded WHERE w <> '' AND row_id % 2 = 0 GROUP BY 1, 2 HAVING count(DISTINCT url) >= 8"
+
 ORACLES: dict[str, str] = {
+    "p3_cleaned": f"WITH {_LINES}, flagged AS (SELECT row_id, line_no FROM worded JOIN repeated USING (source, w)) {_CONTENT}",
+    "p3_rebuilt": f"""WITH {_LINES}, flagged AS (SELECT row_id, line_no FROM worded JOIN repeated USING (source, w)), crossed AS (SELECT * FROM repeated EXCEPT {_EVEN}
+      ), stale AS (SELECT row_id FROM worded JOIN repeated USING (source, w) WHERE row_id % 2 = 1 UNION SELECT row_id FROM worded JOIN crossed USING (source, w) WHERE row_id % 2 = 0)
+      SELECT row_id, content FROM ({_CONTENT}) SEMI JOIN stale USING (row_id)""",
     "p3_found": f"WITH {_LINES} SELECT row_id, line_no FROM worded JOIN repeated USING (source, w)",
     "p4_found": r"""WITH texts AS (
       SELECT row_id, regexp_extract_all(lower(coalesce(title, '') || chr(10) || content), '[\p{L}\p{N}]+') AS ws FROM search_documents WHERE content <> ''

@@ -30,7 +30,7 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "search_documents")
     counts = lines.LineCounts(spark, work_dir(spark, "lines"))
     counts.update(docs)
-    return lines.flag_lines(docs, counts.repeated())
+    return counts.flagged()
 
 
 def p3_cleaned(spark: SparkSession, folder: str) -> DataFrame:
@@ -39,6 +39,15 @@ def p3_cleaned(spark: SparkSession, folder: str) -> DataFrame:
     return lines.drop_lines(docs, p3_found(spark, folder))
 
 
+def p3_rebuilt(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents that a second delta, the rows of odd numbers, changes, without their repeated lines."""
+    docs = _table(spark, folder, "search_documents")
+    counts = lines.LineCounts(spark, work_dir(spark, "lines"))
+    counts.update(docs.where(F.col("row_id") % 2 == 0))
+    crossed = counts.update(docs.where(F.col("row_id") % 2 == 1))
+    return counts.rebuild(docs, crossed)
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     """Every pair of rows whose similarity is at least 0.6."""
     return near_dup.pairs_of_rows(_table(spark, folder, "search_documents"))
@@ -116,6 +125,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_entities": p2_entities,
     "p3_found": p3_found,
     "p3_cleaned": p3_cleaned,
+    "p3_rebuilt": p3_rebuilt,
     "p4_found": p4_found,
     "p4_groups": p4_groups,
     "p5_found": p5_found,

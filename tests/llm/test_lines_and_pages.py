@@ -41,10 +41,29 @@ def test_repeated_lines_in_one_and_many_deltas(spark, tmp_path):
     new = [steps.update(docs.where(c)).count() for c in ("row_id < 5", "row_id >= 5 and row_id < 8", "row_id >= 4")]
     assert new == [0, 1, 0]
     assert sorted(map(tuple, steps.repeated().collect())) == sorted(map(tuple, whole.repeated().collect()))
+    assert sorted(map(tuple, whole.flagged().collect())) == sorted(want) == sorted(map(tuple, steps.flagged().collect()))
     kept = {r["row_id"]: r["content"] for r in lines.drop_lines(docs, lines.flag_lines(docs, whole.repeated())).collect()}
     assert kept[0] == ROWS[0][3].split("\n", 1)[1] and kept[11] == ROWS[11][3] and kept[12] is None and kept[13] == "" and kept[10] == "" and len(kept) == len(ROWS)
 
 
+def test_a_delta_rebuilds_only_what_it_changes(spark, tmp_path):
+    first = [(i, "s", f"u{i}", f"pie\npropio {chr(97 + i) * 3}") for i in range(7)] + [(50, "s", "v", "otro texto"), (51, "t", "w", "pie"), (52, "s", None, "pie")]
+    second = [(20, "s", "u20", "PIE\nuno"), (21, "s", "u21", "nada")]
+    counts = lines.LineCounts(spark, str(tmp_path / "d"))
+    assert counts.update(table(spark, first)).count() == 0 and counts.flagged().count() == 0
+    # another process goes on
+    counts = lines.LineCounts(spark, str(tmp_path / "d"))
+    crossed = counts.update(table(spark, second))
+    assert crossed.count() == 1
+    assert {r["row_id"] for r in counts.to_rebuild(crossed).collect()} == {*range(7), 52, 20}
+    got = {r["row_id"]: r["content"] for r in counts.rebuild(table(spark, first + second), crossed).collect()}
+    assert got.keys() == {*range(7), 52, 20} and got[20] == "uno" and got[3] == "propio ddd" and got[52] == ""
+    # counts that did not change are not written again
+    assert counts._read("counts", counts.COUNTS, counts.kept.live()[-1:]).count() == 3
+    third = counts.update(table(spark, [(30, "s", "u30", "pie"), (31, "s", "u3", "pie")]))
+    assert third.count() == 0 and {r["row_id"] for r in counts.to_rebuild(third).collect()} == {30, 31}
+
+
 def test_no_documents(spark, tmp_path):
     counts = lines.LineCounts(spark, str(tmp_path / "c"))
     docs = spark.createDataFrame([], DOC)
