@@ -1,15 +1,15 @@
 """Main content of pages by tag-path ratios, for texts whose tags are gone.
 
-The lines of a page stand for the leaves of its tree. Each line gets a path from
-the root to the leaf, built from what the text still shows: the kind of node
-(menu, label, list item, spoken line, numbered link, plain text), its label or
-opening words, whether it closes like a sentence, and its wording with site
-names, hosts and digits masked. Over the whole collection the text length and
-the punctuation are added up for each path; the two ratios (per node) are fused,
-smoothed along each page, and cut at a threshold. On few pages a ratio says
-little, so the kind of a line counts as EVIDENCE pages more, running text as
-article, anything else as a head. A path whose one wording
-stands on many pages is a template and has no ratio to speak of.
+The lines of a page stand for the leaves of its tree. Each line gets a path from the root to the leaf, built from what
+the text still shows: the kind of node (menu, account, list item, spoken line, numbered link, hash tags, text that
+closes or runs long, other text), its label or opening words, and its whole wording with site names, hosts and digits
+masked. Over the whole collection, text length and punctuation are added up for each path at each level; wording that
+comes again counts once, so a template's text is spread over all pages that show it. The two ratios, per node and beside
+those of running text, are fused as their product.
+
+A line takes the ratio of its kind, smoothed along the page; each deeper level of its path then has its own say, the
+more the more pages stand behind it (EVIDENCE pages weigh as much as all that is above). What comes out under THRESHOLD
+is not main content. No list of words takes part.
 """
 
 from __future__ import annotations
@@ -19,137 +19,147 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
-from .lines import collapse, key128
 
-TEMPLATE_URLS = 8  # a wording on so many pages is a template
-LABEL_URLS = 8  # a label on so many pages is a node kind of its own
-THRESHOLD = 0.4  # of the ratio of plain sentences, after smoothing
+THRESHOLD = 0.35  # of the ratio of running text
 WEIGHTS = (0.25, 0.5, 0.25)
-EVIDENCE = 32  # pages' worth of what the kind of a line says, beside the ratio of its path
-HEAD = 0.3  # at most, of a head's own ratio before the pages of its path count
+EVIDENCE = 16  # pages behind a level of a path that weigh as much as all above it
 LONG_LINE = 140  # a line of so many characters is running text even without its full stop
-
-# Opening words of page furniture on Spanish-language news pages.
-OPENINGS = [
-    "aviso legal", "condiciones de uso", "política de privacidad", "política de cookies", "quiénes somos", "mapa del sitio",
-    "compartir", "comparte", "compártelo", "síganos", "síguenos", "seguir este tema", "suscríbase", "suscríbete",
-    "apúntese", "apúntate", "reciba cada", "recibe cada", "descargue la aplicación", "descarga la aplicación", "hágase socio", "hazte socio",
-    "iniciar sesión", "registrarse", "¿ya es suscriptor", "¿ya eres suscriptor", "imprimir", "guardar", "escuchar artículo",
-    "volver arriba", "tamaño del texto", "tiempo de lectura", "lectura de 0", "última actualización", "actualizado el", "actualizado a las",
-    "publicado el", "edición digital", "registro de publicación", "issn", "depósito legal", "contacto:", "©", "(c)", "copyright",
-    "deje su comentario", "deja tu comentario", "comentarios", "0 comentarios", "ver los 0 comentarios", "0 veces compartido",
-    "lea también", "lee también", "vea también", "ver también", "relacionado", "le recomendamos", "te recomendamos", "más información:",
-    "le puede interesar", "te puede interesar", "lo más leído", "lo más visto", "más noticias", "además en", "etiquetas:", "temas:",
-    "en este artículo:", "foto:", "fotos:", "fotografía:", "imagen:", "imágenes:", "gráfico:", "infografía:", "vídeo:", "texto:", "por:",
-    "por la redacción", "redacción", "de nuestra redacción", "con información de", "con material de", "con datos de la agencia",
-    "las opiniones expresadas", "los comentarios", "este sitio emplea", "este sitio utiliza", "este sitio usa", "usamos cookies", "utilizamos cookies",
-    "su privacidad nos", "tu privacidad nos", "¿vio un error", "¿vio algún error", "esta nota forma parte", "este artículo forma parte",
-    "el periodismo de «s»", "«s» se reserva", "«s» utiliza", "«s» /", "especial «", "inicio >", "inicio »", "inicio /", "portada >",
-]
-
-_ARTICLES = ("el", "la", "los", "las", "un", "una", "unos", "unas", "lo")
-
-
-def masked(line: Column, source: Column, site_name: Column) -> Column:
-    """``collapse``, then the host ``«h»``, the site's name ``«s»`` and each run of digits ``0``."""
-    text = collapse(line)
-    text = F.when(F.length(source) > 3, F.replace(text, F.lower(source), F.lit("«h»"))).otherwise(text)
-    text = F.when(F.length(site_name) > 3, F.replace(text, collapse(site_name), F.lit("«s»"))).otherwise(text)
-    return F.regexp_replace(text, r"(?U)\d+", "0")
+LABEL_WORDS, OPENING_WORDS = 3, 4
+MOST_CHARS, MOST_PUNCT = 1000, 25  # of one line in the sums, so that no single line makes a path's ratio
+MASKED = 3  # a host or site name is masked if it is longer
+
+KINDS = "LQ#AMOPT"
+L, Q, HASH, ACCOUNT, MENU, NUMBERED, RUNNING, TEXT = range(len(KINDS))
+CARRIED = (L, Q)  # hang on the text around them
+OWN_TAG = (HASH, ACCOUNT, MENU, NUMBERED)  # their form alone is a tag of its own
+
+# Spanish articles, with which a label does not start.
+ARTICLES = frozenset("el la los las un una unos unas lo".split())
+
+NODE = "row_id BIGINT, line_no BIGINT, url_key BIGINT, source_key BIGINT, k1 BIGINT, k2 BIGINT, kind INT, lead BIGINT, is_label BOOLEAN, n_chars INT, n_punct INT"
+
+_DIGITS = re.compile(r"\d+")
+_CLOSES = re.compile(r"[.?!…][”\"»')\]]*$")
+_ACCOUNT = re.compile(r"@?\w*_\w*[ :]")
+_LABEL = re.compile(r"\(?([^:.?!”]{1,28}):")
+_SEPARATORS = re.compile(r"[|·/»>]")
+_NUMBER = re.compile(r"0[.)] ")
+_PUNCTUATION = re.compile(r"[.,;:?!¿¡“”()—–-]")
+
+
+def masked(line: str, host: str, name: str) -> str:
+    """Small letters, single blanks, the host as ``«h»``, the site's name as ``«s»``, each run of digits as ``0``."""
+    text = " ".join(line.lower().split())
+    if len(host) > MASKED:
+        text = text.replace(host, "«h»")
+    if len(name) > MASKED:
+        text = text.replace(name, "«s»")
+    return _DIGITS.sub("0", text)
+
+
+def path_of(m: str) -> tuple[int, str, bool]:
+    """(kind, label or opening words, whether it is a label) of a masked line: the levels of its path above the wording."""
+    closes = bool(_CLOSES.search(m))
+    marks = len(_SEPARATORS.findall(m)) if not closes and len(m) < 160 else 0
+    if m[0] in "-•*" and m[1:2] == " ":
+        kind = L
+    elif m[0] in "—–":
+        kind = Q
+    elif m[0] == "#":
+        kind = HASH
+    elif _ACCOUNT.match(m):
+        kind = ACCOUNT
+    elif marks and len(m) < 16 * (marks + 1):
+        kind = MENU
+    elif not closes and _NUMBER.match(m):
+        kind = NUMBERED
+    else:
+        kind = RUNNING if closes or len(m) >= LONG_LINE else TEXT
+    label = _LABEL.match(m)
+    if label:
+        words = label[1].split()
+        if 0 < len(words) <= LABEL_WORDS and words[0] not in ARTICLES:
+            return kind, words[0], True
+    return kind, " ".join(m.split(" ", OPENING_WORDS)[:OPENING_WORDS]) if closes else "", False
 
 
 def line_nodes(docs: DataFrame, sites: DataFrame) -> DataFrame:
-    """One row per non-blank line: (row_id, line_no, url_key, text key k1 k2, path, kind, n_chars, n_punct).
-
-    ``kind``: L list item, Q spoken line, O numbered or linked, B furniture by its form or opening words,
-    P closes like a sentence or is long, H anything else (a head).
-    """
-    docs = docs.where(F.col("row_id").isNotNull()).select("row_id", "url", "source", "content")
+    """One row per non-blank line (see NODE): its place, hashes of its wording, its path, its text length and punctuation.
+    ``lead`` is a hash of kind and label or opening, NULL where a line has neither."""
     names = sites.groupBy(F.col("source").alias("s_source")).agg(F.min("site_name").alias("site_name"))
-    docs = docs.join(names, F.col("source") == F.col("s_source"), "left").drop("s_source")
-    host, name = F.coalesce("source", F.lit("")), F.coalesce("site_name", F.lit(""))
-    # masked inside the generator: its result is then a plain column to all that follows
-    nodes = F.posexplode(F.transform(F.split("content", "\n", -1), lambda line: masked(line, host, name)))
-    docs = docs.where(F.col("content").isNotNull())
-    lines = docs.select("row_id", "url", F.size(F.split("content", "\n", -1)).alias("n_lines"), nodes.alias("pos", "m"))
-    lines = lines.where(F.col("m") != "").withColumn("line_no", (F.col("pos") + 1).cast("long"))
-    m = F.col("m")
-    closes = m.rlike("[.?!…][”\"»')]*$")
-    opening = m.rlike("^(?:" + "|".join(re.escape(word) for word in OPENINGS) + ")")
-    before = F.trim(F.regexp_extract(m, r"^\(?([^:.?!”]{1,28}):", 1))
-    words = F.size(F.split(before, " "))
-    first = F.regexp_extract(m, r"^\(?([^ :]+)", 1)
-    label = F.when((before != "") & (words <= 3) & ~first.isin(*_ARTICLES), first)
-    account = m.rlike(r"(?U)^@?\w*_\w*[ :]")
-    marks = F.length(m) - F.length(F.regexp_replace(m, "[|·/»>]", ""))
-    menu = ~closes & (marks >= 1) & (F.length(m) < 160) & (F.length(m) < 16 * (marks + 1))
-    byline = ~closes & m.rlike(r"^(por|texto|por:|texto:) ") & (F.size(F.split(m, " ")) <= 7)
-    kind = (
-        F.when(m.rlike("^[-•*] "), "L")
-        .when(m.rlike("^[—–]"), "Q")
-        .when(m.rlike("^#"), "B")
-        .when(account | opening | menu | byline, "B")
-        .when(~closes & m.rlike("^0[.)] "), "O")
-        .when(closes | (F.length(m) >= LONG_LINE), "P")
-        .otherwise("H")
-    )
-    lead = F.when(label.isNotNull(), F.concat(F.lit("label:"), label)).when(closes, F.concat(F.lit("open:"), F.substring_index(m, " ", 4))).otherwise(F.lit("text"))
-    return lines.select(
-        "row_id",
-        "line_no",
-        F.xxhash64("url").alias("url_key"),
-        *key128(m),
-        kind.alias("kind"),
-        F.concat(kind, F.lit("/"), F.when(closes, F.lit("closed")).otherwise(F.lit("open")), F.lit("/"), lead).alias("path"),
-        F.length(m).alias("n_chars"),
-        F.length(F.regexp_replace(m, r"[^.,;:?!¿¡“”()—–-]", "")).alias("n_punct"),
-        (F.col("line_no") == F.col("n_lines")).alias("is_last"),
-    )
-
-
-def templates(nodes: DataFrame) -> DataFrame:
-    """(k1, k2) of the masked wordings that stand on at least TEMPLATE_URLS pages."""
-    pages = nodes.select("k1", "k2", "url_key").distinct().groupBy("k1", "k2").agg(F.count("*").alias("n"))
-    return pages.where(F.col("n") >= TEMPLATE_URLS).select("k1", "k2")
-
-
-def path_ratios(nodes: DataFrame) -> DataFrame:
-    """Per path: pages, fused ratio sqrt(text per node * punctuation per node), share of nodes that close a page."""
-    stats = nodes.groupBy("path").agg(
-        F.approx_count_distinct("url_key", 0.02).alias("pages"),
-        F.count("*").alias("n"),
-        F.sum("n_chars").alias("chars"),
-        F.sum("n_punct").alias("punct"),
-        F.avg(F.col("is_last").cast("int")).alias("last_share"),
-    )
-    ratio = F.sqrt((F.col("chars") / F.col("n")) * ((F.col("punct") + 0.1) / F.col("n")))
-    return stats.select("path", "pages", ratio.alias("ratio"), "last_share")
-
-
-def _pages(rows: pd.DataFrame) -> list[int]:
-    """Line numbers outside the main content, of one page's nodes in order."""
-    kind, score, no = rows["kind"].to_numpy(), rows["score"].to_numpy(), rows["line_no"].to_numpy()
-    aside = rows["aside"].to_numpy()
-    solid = np.flatnonzero(~aside)  # in-text labels (credits, links) do not part a text
-    content = np.zeros(len(no), bool)
-    value = np.where(kind[solid] == "B", 0.0, score[solid])
-    runs = np.isin(kind[solid], ("L", "Q"))
-    padded = np.concatenate(([0.0], value, [0.0]))
-    # a list or a dialogue takes the value of the text it hangs on
-    for order in (range(len(solid)), range(len(solid) - 1, -1, -1)):
-        carried = 0.0
-        for i in order:
-            if runs[i]:
-                padded[i + 1] = max(padded[i + 1], carried)
-            else:
-                carried = value[i]
-    smooth = WEIGHTS[0] * padded[:-2] + WEIGHTS[1] * padded[1:-1] + WEIGHTS[2] * padded[2:]
-    content[solid] = (smooth >= THRESHOLD) & (kind[solid] != "B") & (kind[solid] != "O")
-    return [int(x) for x in no[~content]]
+    docs = docs.where(F.col("row_id").isNotNull() & F.col("content").isNotNull()).select("row_id", "url", "source", "content")
+    docs = docs.join(names, F.col("source") == F.col("s_source"), "left")
+    url_key = F.when(F.col("url").isNotNull(), F.xxhash64("url")).otherwise(F.col("row_id"))
+    docs = docs.select("row_id", url_key.alias("url_key"), F.xxhash64("source").alias("source_key"), F.coalesce("source", F.lit("")).alias("host"), F.coalesce("site_name", F.lit("")).alias("name"), "content")
+    digest = lambda text, seed: xxhash.xxh64_intdigest(text, seed) - (1 << 63)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for d in batch.itertuples(index=False):
+                host, name = d.host.lower(), " ".join(d.name.lower().split())
+                for n, line in enumerate(d.content.split("\n"), 1):
+                    m = masked(line, host, name)
+                    if m:
+                        kind, lead, is_label = path_of(m)
+                        key = digest(f"{kind}{lead}", 2) if lead else None
+                        out.append((d.row_id, n, d.url_key, d.source_key, digest(m, 0), digest(m, 1), kind, key, is_label, min(MOST_CHARS, len(m)), min(MOST_PUNCT, len(_PUNCTUATION.findall(m)))))
+            frame = pd.DataFrame(out, columns=[c.split()[0] for c in NODE.split(", ")])
+            yield frame.astype({"lead": "Int64"})
+
+    return docs.mapInPandas(run, NODE)
+
+
+def wordings(nodes: DataFrame) -> DataFrame:
+    """(k1, k2, kind, lead, n_chars, n_punct, pages, again): every wording once, the pages that show it, and how many of
+    those are not the first of their source: an article that many sites took over once each is no template."""
+    same = [F.first(c).alias(c) for c in ("kind", "lead", "n_chars", "n_punct")]
+    pages = nodes.groupBy("k1", "k2", "source_key", "url_key").agg(*same)
+    by_source = pages.groupBy("k1", "k2", "source_key").agg(*same, F.count("*").alias("pages"))
+    return by_source.groupBy("k1", "k2").agg(*same, F.sum("pages").alias("pages"), F.sum(F.col("pages") - 1).alias("again"))
+
+
+def ratio(chars, punct, pages):
+    """Text length and punctuation per page, fused."""
+    return (chars / pages) * ((punct + 0.1) / pages)
+
+
+def _judged(u0: np.ndarray, own: np.ndarray, kind: np.ndarray, page: np.ndarray, label: np.ndarray, r2, c2, r3, c3) -> np.ndarray:
+    """Scores of lines in order: ``u0`` and ``own`` are the ratio of the kind and its weight, r2 c2 of label or opening,
+    r3 c3 of the wording, ``page`` the number of the line's page."""
+
+    def deepen(v: np.ndarray) -> np.ndarray:
+        for r, c in ((u0, own), (r2, c2), (r3, c3)):
+            v = c * r + (1 - c) * v
+        return v
+
+    value = deepen(u0)
+    # a label within a text (a credit, a link) does not part it
+    solid = np.flatnonzero(~(label & (c2 * (1 - r2) >= 0.5) & (c3 < 0.5)))
+    v, p = value[solid], page[solid]
+    hangs = np.isin(kind[solid], CARRIED)
+    if hangs.any():
+        # a list or a dialogue takes the value of the text it hangs on
+        given = v.copy()
+        for order in (range(len(v)), range(len(v) - 1, -1, -1)):
+            carried, at = 0.0, -1
+            for i in order:
+                if p[i] != at:
+                    carried, at = 0.0, p[i]
+                if hangs[i]:
+                    v[i] = max(v[i], carried)
+                else:
+                    carried = given[i]
+    above = np.where(np.r_[False, p[1:] == p[:-1]], np.r_[0.0, v[:-1]], 0.0)
+    below = np.where(np.r_[p[1:] == p[:-1], False], np.r_[v[1:], 0.0], 0.0)
+    smooth = np.zeros(len(u0))
+    smooth[solid] = WEIGHTS[0] * above + WEIGHTS[1] * v + WEIGHTS[2] * below
+    return np.where(np.isin(kind, CARRIED), smooth, deepen(smooth))
 
 
 def outside_main(docs: DataFrame, sites: DataFrame) -> DataFrame:
@@ -157,34 +167,37 @@ def outside_main(docs: DataFrame, sites: DataFrame) -> DataFrame:
 
     NULL, empty and blank contents and rows without a row_id give no rows; a page without any running text comes out whole.
     Path statistics are aggregated on the map side; a page is put together again from its line
-    numbers and scores, not its text.
+    numbers and ratios, not its text.
     """
     nodes = cut(line_nodes(docs, sites), "nodes")
-    marks = templates(nodes).withColumn("template", F.lit(True))
-    ratios = path_ratios(nodes)
-    plain = F.broadcast(ratios.where(F.col("path").startswith("P/closed/")).agg(F.sum(F.col("ratio") * F.col("pages")).alias("a"), F.sum("pages").alias("b")))
-    ratios = ratios.crossJoin(plain).select("path", "pages", F.least(F.lit(1.0), F.col("ratio") / F.coalesce(F.try_divide("a", "b"), F.lit(1.0))).alias("relative"), "last_share")
-    joined = nodes.join(marks, ["k1", "k2"], "left").join(ratios, "path", "left")
-    label = F.col("path").contains("/label:") & (F.col("pages") >= LABEL_URLS) & (F.col("relative") < 0.75)
-    closing = F.col("path").contains("/open:") & (F.col("pages") >= LABEL_URLS) & (F.col("last_share") >= 0.9)
-    furniture = F.coalesce(F.col("template"), F.lit(False)) | ((label | closing) & ~F.col("kind").isin("L", "Q")) | (F.col("kind") == "B")
-    prior = F.when(F.col("kind") == "P", F.lit(1.0)).otherwise(F.least("relative", F.lit(HEAD)))
-    score = (EVIDENCE * prior + F.col("pages") * F.col("relative")) / (EVIDENCE + F.col("pages"))
-    node = F.struct(
-        "line_no",
-        F.when(furniture, "B").otherwise(F.col("kind")).alias("kind"),
-        F.when(furniture, 0.0).otherwise(score).alias("score"),
-        (furniture & F.col("path").contains("/label:") & ~F.coalesce(F.col("template"), F.lit(False))).alias("aside"),
-    )
-    pages = joined.groupBy("row_id").agg(F.sort_array(F.collect_list(node)).alias("nodes"))
+    texts = cut(wordings(nodes), "wordings")
+    sums = [F.sum("pages").alias("pages"), F.sum("n_chars").alias("chars"), F.sum("n_punct").alias("punct")]
+    kinds = {r["kind"]: (r["pages"], ratio(r["chars"], r["punct"], r["pages"])) for r in texts.groupBy("kind").agg(*sums).collect()}  # at most len(KINDS) rows
+    running = kinds.get(RUNNING, (0, 1.0))[1]
+    of_kind = np.array([min(1.0, kinds.get(k, (0, 0.0))[1] / running) for k in range(len(KINDS))])
+    weight = np.array([kinds.get(k, (0, 0.0))[0] / (kinds.get(k, (0, 0.0))[0] + EVIDENCE) if k in OWN_TAG else 0.0 for k in range(len(KINDS))])
+    relative = lambda r: F.least(F.lit(1.0), r / F.lit(running)).cast("float")
+    behind = lambda n: (n / (n + F.lit(EVIDENCE))).cast("float")
+    leads = texts.where(F.col("lead").isNotNull()).groupBy("lead").agg(*sums).where(F.col("pages") > 1)
+    leads = leads.select(F.col("lead").alias("l_lead"), relative(ratio(F.col("chars"), F.col("punct"), F.col("pages"))).alias("r2"), behind(F.col("pages") - 1).alias("c2"))
+    shown = F.col("again") + 1
+    again = texts.where(F.col("again") > 0).select(F.col("k1").alias("w_k1"), F.col("k2").alias("w_k2"), relative(ratio(F.col("n_chars"), F.col("n_punct"), shown)).alias("r3"), behind(F.col("again")).alias("c3"))
+    lines = nodes.select("row_id", "line_no", "k1", "k2", "kind", "lead", "is_label")
+    lines = lines.join(again, (F.col("k1") == F.col("w_k1")) & (F.col("k2") == F.col("w_k2")), "left").join(leads, F.col("lead") == F.col("l_lead"), "left")
+    zero = lambda c: F.coalesce(c, F.lit(0.0).cast("float")).alias(c)
+    fields = ["line_no", "kind", "is_label", "r2", "c2", "r3", "c3"]
+    node = F.struct("line_no", F.col("kind").cast("byte").alias("kind"), "is_label", *[zero(c) for c in fields[3:]])
+    pages = lines.groupBy("row_id").agg(F.sort_array(F.collect_list(node)).alias("n")).select("row_id", *[F.col(f"n.{c}").alias(c) for c in fields])
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found_row, found_line = [], []
-            for row_id, page in zip(batch["row_id"], batch["nodes"], strict=True):
-                out = _pages(pd.DataFrame.from_records(list(page), columns=["line_no", "kind", "score", "aside"]))
-                found_row += [row_id] * len(out)
-                found_line += out
-            yield pd.DataFrame({"row_id": pd.Series(found_row, dtype="int64"), "line_no": pd.Series(found_line, dtype="int64")})
+            if not len(batch):
+                continue
+            sizes = batch["line_no"].map(len).to_numpy()
+            flat = {c: np.concatenate(batch[c].to_list()) for c in fields}
+            kind = flat["kind"].astype(int)
+            score = _judged(of_kind[kind], weight[kind], kind, np.repeat(np.arange(len(batch)), sizes), flat["is_label"].astype(bool), *(flat[c].astype(float) for c in fields[3:]))
+            out = score < THRESHOLD
+            yield pd.DataFrame({"row_id": np.repeat(batch["row_id"].to_numpy(), sizes)[out], "line_no": flat["line_no"][out]})
 
     return pages.mapInPandas(judge, "row_id BIGINT, line_no BIGINT")

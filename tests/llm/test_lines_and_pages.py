@@ -1,6 +1,8 @@
 from collections import defaultdict
 
 
+import numpy as np
+
 from tamiz.llm import boilerplate, lines
 
 DOC = "row_id bigint, source string, url string, content string, k1 int, line string, site_name string"
@@ -102,3 +104,21 @@ def test_the_ratio_rejects_sentences_of_furniture(spark):
     sites = spark.createDataFrame([("d.example", "Diario", "a")], "source string, site_name string, row_id string")
     got = {tuple(r) for r in boilerplate.outside_main(table(spark, rows), sites).collect()}
     assert got == {(i, n) for i in range(300) for n in (7, 8)}
+
+
+def test_an_article_taken_over_by_other_sites_is_no_template(spark):
+    rows = []
+    for i in range(40):
+        word = "".join("abcdefghij"[int(d)] for d in f"{i:02d}")
+        rows.append((i, f"s{i}.example", f"u{i}", "\n".join([*(f"El {x} sigue. " + PARAGRAPH for x in "mnp"), f"Otra cosa {word}. " + PARAGRAPH])))
+        rows += [(100 + 40 * n + i, f"s{i}.example", f"v{n}{i}", "\n".join([*(f"La {x}{word}{n} sigue. " + PARAGRAPH for x in "mnp"), "Reciba el boletín de la mañana."])) for n in range(5)]
+    sites = spark.createDataFrame([], "source string, site_name string")
+    got = {tuple(r) for r in boilerplate.outside_main(table(spark, rows), sites).collect()}
+    assert got == {(r[0], 4) for r in rows if r[0] >= 100}
+
+
+def test_without_the_ratios_nothing_is_told_apart():
+    kind, page = np.array([boilerplate.RUNNING, boilerplate.TEXT, boilerplate.RUNNING]), np.zeros(3, int)
+    ones, none = np.ones(3), np.zeros(3)
+    assert (boilerplate._judged(ones, none, kind, page, none.astype(bool), none, none, none, none) >= boilerplate.THRESHOLD).all()
+    assert (boilerplate._judged(none, none, kind, page, none.astype(bool), none, none, none, none) < boilerplate.THRESHOLD).all()
