@@ -4,7 +4,7 @@ The lines of a page stand for the leaves of its tree. Each line gets a path from
 the text still shows: the kind of node (menu, account, list item, spoken line, numbered link, hash tags, text that
 closes or runs long, other text), its label or opening words, and its whole wording with site names, hosts and digits
 masked. Over the whole collection, text length and punctuation are added up for each path at each level; wording that
-comes again counts once, so a template's text is spread over all pages that show it. The two ratios, per node and beside
+comes again in its source counts once, so a template's text is spread over all pages that show it. The two ratios, per node and beside
 those of running text, are fused as their product.
 
 A line takes the ratio of its kind, smoothed along the page; each deeper level of its path then has its own say, the
@@ -171,7 +171,8 @@ def outside_main(docs: DataFrame, sites: DataFrame) -> DataFrame:
     """
     nodes = cut(line_nodes(docs, sites), "nodes")
     texts = cut(wordings(nodes), "wordings")
-    sums = [F.sum("pages").alias("pages"), F.sum("n_chars").alias("chars"), F.sum("n_punct").alias("punct")]
+    fresh = F.col("pages") - F.col("again")
+    sums = [F.sum("pages").alias("pages"), F.sum(F.col("n_chars") * fresh).alias("chars"), F.sum(F.col("n_punct") * fresh).alias("punct")]
     kinds = {r["kind"]: (r["pages"], ratio(r["chars"], r["punct"], r["pages"])) for r in texts.groupBy("kind").agg(*sums).collect()}  # at most len(KINDS) rows
     running = kinds.get(RUNNING, (0, 1.0))[1]
     of_kind = np.array([min(1.0, kinds.get(k, (0, 0.0))[1] / running) for k in range(len(KINDS))])
