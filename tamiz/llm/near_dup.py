@@ -1,7 +1,7 @@
 """Near-duplicate documents: banded MinHash candidates, odd-sketch estimates, exact check.
 
-Equal texts are folded into one class first. Each class gets K MinHash values
-over its distinct word triples; bands of R of them propose candidate pairs, an
+Equal texts are folded into one first, and then texts with the same set of word
+triples into one class. Each class gets K MinHash values over its triples; bands of R of them propose candidate pairs, an
 odd sketch (parity bitmap of all K values) estimates each pair's similarity from
 the population count of the XOR, and pairs near or over the threshold are
 checked exactly on the triples of those few documents.
@@ -55,22 +55,24 @@ def shingles(text: str, words: int = WORDS) -> np.ndarray:
 
 def _coefficients() -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(20240517)
-    return rng.integers(0, 2**63, HASHES, dtype=_U) * _U(2) + _U(1), rng.integers(0, 2**63, HASHES, dtype=_U)
+    return rng.integers(0, 2**31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1), rng.integers(0, 2**32, HASHES, dtype=np.uint32)
 
 
-def minhash(sh: np.ndarray, a: np.ndarray, b: np.ndarray, block: int = 4096) -> np.ndarray:
-    """K minima; the triples go through in blocks, so a very long text needs no more memory."""
-    low = np.full(len(a), np.iinfo(_U).max, _U)
-    with np.errstate(over="ignore"):
-        for i in range(0, len(sh), block):
-            low = np.minimum(low, (sh[i : i + block, None] * a + b).min(0))
+def minhash(sh: np.ndarray, a: np.ndarray, b: np.ndarray, block: int = 256) -> np.ndarray:
+    """K minima of 32-bit hashes; the triples go through in blocks, so a very long text needs no more memory."""
+    low = np.full(len(a), np.iinfo(np.uint32).max, np.uint32)
+    x = (sh >> _U(32)).astype(np.uint32)
+    for i in range(0, len(x), block):
+        hashed = np.multiply(x[i : i + block, None], a)
+        hashed += b
+        np.minimum(low, hashed.min(0), out=low)
     return low
 
 
 def odd_sketch(low: np.ndarray, bits: int = BITS) -> np.ndarray:
     """Parity bitmap of the (position, value) pairs, as signed 64-bit words."""
     with np.errstate(over="ignore"):
-        at = _mix(low + _U(0x9E3779B97F4A7C15) * np.arange(1, len(low) + 1, dtype=_U)) % _U(bits)
+        at = _mix(low.astype(_U) + _U(0x9E3779B97F4A7C15) * np.arange(1, len(low) + 1, dtype=_U)) % _U(bits)
     parity = np.bincount(at.astype(np.int64), minlength=bits) & 1
     return np.packbits(parity.astype(np.uint8)).view(np.int64)
 
@@ -79,7 +81,7 @@ def band_keys(low: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
         keys = np.arange(1, BANDS + 1, dtype=_U) * _U(0xD6E8FEB86659FD93)
         for part in low.reshape(BANDS, ROWS).T:
-            keys = _mix(keys + part)
+            keys = _mix(keys + part.astype(_U))
     return keys.view(np.int64)
 
 
@@ -94,16 +96,17 @@ def _full_text() -> Column:
     return F.concat(F.coalesce("title", F.lit("")), F.lit("\n"), F.col("content"))
 
 
-def classes(docs: DataFrame) -> DataFrame:
-    """(row_id, rep): each row with non-empty content, and the smallest row_id of the same title and content."""
+def texts_of_rows(docs: DataFrame) -> DataFrame:
+    """(row_id, text_id): each row with non-empty content, and the smallest row_id of the same title and content."""
     rows = docs.where(F.col("row_id").isNotNull() & F.col("content").isNotNull() & (F.col("content") != ""))
     rows = rows.select("row_id", F.xxhash64(_full_text()).alias("k1"), F.xxhash64(F.lit("b"), _full_text()).alias("k2"))
-    least = rows.groupBy("k1", "k2").agg(F.min("row_id").alias("rep"))
-    return rows.join(least, ["k1", "k2"]).select("row_id", "rep")
+    least = rows.groupBy("k1", "k2").agg(F.min("row_id").alias("text_id"))
+    return rows.join(least, ["k1", "k2"]).select("row_id", "text_id")
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """(rep, keys, sketch) of every row of ``docs`` (row_id, text) with at least one triple."""
+    """(text_id, s1, s2, keys, sketch) of every row of ``docs`` (row_id, text) with at least one triple; s1 and s2 are
+    hashes of the set of triples."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         a, b = _coefficients()
@@ -113,22 +116,29 @@ def signatures(docs: DataFrame) -> DataFrame:
                 sh = shingles(text or "")
                 if len(sh):
                     low = minhash(sh, a, b)
-                    out.append((row_id, band_keys(low), odd_sketch(low)))
-            yield pd.DataFrame(out, columns=["rep", "keys", "sketch"])
+                    whole = sh.tobytes()
+                    out.append((row_id, xxhash.xxh64_intdigest(whole) - 2**63, xxhash.xxh64_intdigest(whole, 1) - 2**63, band_keys(low), odd_sketch(low)))
+            yield pd.DataFrame(out, columns=["text_id", "s1", "s2", "keys", "sketch"])
+
+    return docs.mapInPandas(run, "text_id BIGINT, s1 BIGINT, s2 BIGINT, keys ARRAY<BIGINT>, sketch ARRAY<BIGINT>")
+
 
-    return docs.mapInPandas(run, "rep BIGINT, keys ARRAY<BIGINT>, sketch ARRAY<BIGINT>")
+def signed_texts(docs: DataFrame, texts: DataFrame) -> DataFrame:
+    """``signatures`` of the different texts of ``docs``, and ``rep``, the smallest text_id of the same set of triples."""
+    own = texts.where(F.col("row_id") == F.col("text_id")).select(F.col("row_id").alias("m_row"))
+    chosen = docs.select("row_id", _full_text().alias("text")).join(own, F.col("row_id") == F.col("m_row"), "left_semi")
+    signed = cut(signatures(chosen), "signatures")
+    least = signed.groupBy("s1", "s2").agg(F.min("text_id").alias("rep"))
+    return signed.join(least, ["s1", "s2"]).select("text_id", "rep", "keys", "sketch")
 
 
-def similar_classes(docs: DataFrame, members: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(rep_a, rep_b, similarity) of the pairs of different texts at or over ``threshold``.
+def similar_classes(docs: DataFrame, signed: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(rep_a, rep_b, similarity) of the pairs of different sets of triples at or over ``threshold``.
 
-    ``members`` is ``classes(docs)``. All band collisions become candidates, without a cap; a crowded
+    ``signed`` is ``signed_texts``. All band collisions become candidates, without a cap; a crowded
     band key is split by the adaptive skew join.
     """
-    reps = members.where(F.col("row_id") == F.col("rep")).select(F.col("row_id").alias("m_row"))
-    texts = docs.select("row_id", _full_text().alias("text"))
-    texts = texts.join(reps, F.col("row_id") == F.col("m_row"), "left_semi")
-    signed = cut(signatures(texts), "signatures")
+    signed = signed.where(F.col("text_id") == F.col("rep"))
     bands = signed.select("rep", F.explode("keys").alias("key"))
     left, right = bands.select("key", F.col("rep").alias("rep_a")), bands.select("key", F.col("rep").alias("rep_b"))
     pairs = left.join(right, "key").where(F.col("rep_a") < F.col("rep_b")).select("rep_a", "rep_b").distinct()
@@ -164,12 +174,12 @@ def pairs_of_rows(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(row_a, row_b), the smaller first, of all rows with non-empty content whose similarity reaches
     ``threshold``; rows of fewer than three words have no triples and no pair, rows without a row_id take
     no part. Extra columns are ignored."""
-    members = cut(classes(docs), "members")
-    links = similar_classes(docs, members, threshold).select("rep_a", "rep_b")
-    alone = members.groupBy("rep").agg(F.count("*").alias("n")).where(F.col("n") > 1)
-    full = docs.select("row_id", _full_text().alias("text")).join(alone, F.col("row_id") == F.col("rep"), "left_semi")
-    copies = full.where(F.regexp_count("text", F.lit(r"[\p{L}\p{N}]+")) >= WORDS).select(F.col("row_id").alias("rep_a"), F.col("row_id").alias("rep_b"))
-    links = links.unionByName(copies)
+    texts = cut(texts_of_rows(docs), "texts")
+    signed = cut(signed_texts(docs, texts), "signed")
+    links = similar_classes(docs, signed, threshold).select("rep_a", "rep_b")
+    members = cut(texts.join(signed.select("text_id", "rep"), "text_id").select("row_id", "rep"), "members")
+    crowds = members.groupBy("rep").agg(F.count("*").alias("n")).where(F.col("n") > 1)
+    links = links.unionByName(crowds.select(F.col("rep").alias("rep_a"), F.col("rep").alias("rep_b")))
     a = members.select(F.col("rep").alias("rep_a"), F.col("row_id").alias("x"))
     b = members.select(F.col("rep").alias("rep_b"), F.col("row_id").alias("y"))
     rows = links.join(a, "rep_a").join(b, "rep_b").where((F.col("rep_a") != F.col("rep_b")) | (F.col("x") < F.col("y")))
@@ -178,14 +188,23 @@ def pairs_of_rows(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 def groups_of_rows(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(row_id, group_id, n_links) of every row with non-empty content: the smallest row_id that links lead to,
-    and the number of different texts it is similar to. A row without links is a group of its own."""
-    members = cut(classes(docs), "members")
-    links = cut(similar_classes(docs, members, threshold).select("rep_a", "rep_b"), "links")
+    and the number of different texts it is similar to. A row without links is a group of its own.
+
+    Links are found and counted between sets of triples; neither copies nor texts of one set are paired.
+    """
+    texts = cut(texts_of_rows(docs), "texts")
+    signed = cut(signed_texts(docs, texts), "signed")
+    links = cut(similar_classes(docs, signed, threshold).select("rep_a", "rep_b"), "links")
     found = components(links, "rep_a", "rep_b")
-    ends = links.select(F.col("rep_a").alias("rep")).unionByName(links.select(F.col("rep_b").alias("rep")))
-    degree = ends.groupBy("rep").agg(F.count("*").alias("n_links"))
-    rows = members.join(found.withColumnRenamed("node", "rep"), "rep", "left").join(degree, "rep", "left")
-    return rows.select("row_id", F.coalesce("component", "rep").alias("group_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+    sizes = cut(signed.groupBy("rep").agg(F.count("*").alias("n_texts"), F.min("text_id").alias("least")), "sizes")
+    ends = links.select(F.col("rep_a").alias("rep"), F.col("rep_b").alias("other")).unionByName(links.select(F.col("rep_b").alias("rep"), F.col("rep_a").alias("other")))
+    degree = ends.join(sizes.select(F.col("rep").alias("other"), "n_texts"), "other").groupBy("rep").agg(F.sum("n_texts").alias("n_other"))
+    per_class = sizes.join(found.withColumnRenamed("node", "rep"), "rep", "left").join(degree, "rep", "left")
+    links_of = F.coalesce("n_other", F.lit(0).cast("long")) + F.col("n_texts") - 1
+    per_class = per_class.select("rep", F.coalesce("component", "rep").alias("group_id"), links_of.alias("n_links"))
+    per_text = signed.select("text_id", "rep").join(per_class, "rep").select("text_id", "group_id", "n_links")
+    rows = texts.join(per_text, "text_id", "left")
+    return rows.select("row_id", F.coalesce("group_id", "text_id").alias("group_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
 
 
 def expected_recall(similarity: float) -> float:
