@@ -24,9 +24,10 @@ from .components import components
 
 THRESHOLD = 0.6
 WORDS = 3
-ROWS, BANDS = 5, 80  # a pair at 0.6 is proposed with probability 1 - (1 - 0.6**5)**80 = 0.998
+ROWS, BANDS = 5, 100  # a pair at 0.6 is proposed with probability 1 - (1 - 0.6**5)**100 = 0.9997
 HASHES = ROWS * BANDS
 BITS = 1024  # of an odd sketch
+WORDS_KEPT = 200_000
 SLACK = 0.12  # below the threshold, about four standard errors of the estimate
 
 _WORD = re.compile(r"[^\W_]+")
@@ -39,12 +40,25 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
+class _Hashes(dict):
+    """Hashes of the words met so far, at most WORDS_KEPT of them."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= WORDS_KEPT:
+            self.clear()
+        found = self[word] = xxhash.xxh64_intdigest(word)
+        return found
+
+
+_hashes = _Hashes()
+
+
 def shingles(text: str, words: int = WORDS) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the runs of ``words`` consecutive words; empty below that many."""
     found = _WORD.findall(text.lower())
     if len(found) < words:
         return np.zeros(0, _U)
-    hashed = np.array([xxhash.xxh64_intdigest(w) for w in found], dtype=_U)
+    hashed = np.fromiter(map(_hashes.__getitem__, found), _U, len(found))
     n = len(found) - words + 1
     total = np.zeros(n, _U)
     with np.errstate(over="ignore"):

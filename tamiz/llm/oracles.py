@@ -23,7 +23,7 @@ _SIMILAR = r"""texts AS (
       SELECT DISTINCT row_id, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS t FROM (SELECT row_id, ws, unnest(generate_series(1, len(ws) - 2)) AS i FROM texts WHERE len(ws) > 2)
     ), sizes AS (SELECT row_id, count(*) AS n FROM triples GROUP BY 1
     ), common AS (SELECT a.row_id AS row_a, b.row_id AS row_b, count(*) AS c FROM triples a JOIN triples b USING (t) WHERE a.row_id < b.row_id GROUP BY 1, 2
-    ), similar AS (SELECT row_a, row_b FROM common JOIN sizes x ON x.row_id = row_a JOIN sizes y ON y.row_id = row_b WHERE c / (x.n + y.n - c) >= 0.6)"""
+    ), alike AS (SELECT row_a, row_b FROM common JOIN sizes x ON x.row_id = row_a JOIN sizes y ON y.row_id = row_b WHERE c / (x.n + y.n - c) >= 0.6)"""
 
 ORACLES: dict[str, str] = {
     "p3_cleaned": f"WITH {_LINES}, flagged AS (SELECT row_id, line_no FROM worded JOIN repeated USING (source, w)) {_CONTENT}",
@@ -31,8 +31,8 @@ ORACLES: dict[str, str] = {
       ), stale AS (SELECT row_id FROM worded JOIN repeated USING (source, w) WHERE row_id % 2 = 1 UNION SELECT row_id FROM worded JOIN crossed USING (source, w) WHERE row_id % 2 = 0)
       SELECT row_id, content FROM ({_CONTENT}) SEMI JOIN stale USING (row_id)""",
     "p3_found": f"WITH {_LINES} SELECT row_id, line_no FROM worded JOIN repeated USING (source, w)",
-    "p4_found": f"WITH {_SIMILAR} SELECT row_a, row_b FROM similar",
-    "p4_groups": f"""WITH RECURSIVE {_SIMILAR}, ends AS (SELECT row_a AS a, row_b AS b FROM similar UNION ALL SELECT row_b, row_a FROM similar
+    "p4_found": f"WITH {_SIMILAR} SELECT row_a, row_b FROM alike",
+    "p4_groups": f"""WITH RECURSIVE {_SIMILAR}, ends AS (SELECT row_a AS a, row_b AS b FROM alike UNION ALL SELECT row_b, row_a FROM alike
     ), same AS (SELECT row_id, min(row_id) OVER (PARTITION BY coalesce(title, '') || chr(10) || content) AS text_id FROM search_documents WHERE content <> ''
     ), hops AS (SELECT row_id AS a, text_id AS b FROM same UNION SELECT text_id, row_id FROM same UNION SELECT a, b FROM ends
     ), reach AS (SELECT a, b FROM hops UNION SELECT r.a, h.b FROM reach r JOIN hops h ON h.a = r.b
