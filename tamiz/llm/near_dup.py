@@ -63,8 +63,8 @@ def shingles(text: str, words: int = WORDS) -> np.ndarray:
     total = np.zeros(n, _U)
     with np.errstate(over="ignore"):
         for i in range(words):
-            total = _mix(total + hashed[i : i + n] + _U(0x9E3779B97F4A7C15))
-    return np.unique(total)
+            total = total * _U(0x9E3779B97F4A7C15) + hashed[i : i + n]
+        return np.unique(_mix(total))
 
 
 def _coefficients() -> tuple[np.ndarray, np.ndarray]:
@@ -93,10 +93,10 @@ def odd_sketch(low: np.ndarray, bits: int = BITS) -> np.ndarray:
 
 def band_keys(low: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
-        keys = np.arange(1, BANDS + 1, dtype=_U) * _U(0xD6E8FEB86659FD93)
+        keys = np.arange(1, BANDS + 1, dtype=_U)
         for part in low.reshape(BANDS, ROWS).T:
-            keys = _mix(keys + part.astype(_U))
-    return keys.view(np.int64)
+            keys = keys * _U(0xD6E8FEB86659FD93) + part
+        return _mix(keys).view(np.int64)
 
 
 def estimate(a: Column, b: Column, hashes: int = HASHES, bits: int = BITS) -> Column:
