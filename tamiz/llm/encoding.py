@@ -38,7 +38,6 @@ INNER_CAPITAL = np.log(0.002)  # a capital after a small letter
 LOST = "�"
 
 _BLANKS = re.compile(r"[ \t\r\n\f\v]+")
-_HIGH = re.compile(r"[^\x00-\x7f]")
 _LETTER = re.compile(r"[A-Za-z]")
 
 
@@ -138,6 +137,18 @@ def _codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
+CHARS_AT_ONCE = 1 << 20
+
+
+def _pair_counts(texts: list[str], table: np.ndarray, n: int) -> np.ndarray:
+    """Counts of symbol pairs of ``texts``, each between two blanks."""
+    s = table[_codes("".join(f" {t} " for t in texts))].astype(np.int64)
+    counts = np.bincount(s[:-1] * n + s[1:], minlength=n * n)
+    blank = int(table[ord(" ")])
+    counts[blank * n + blank] -= len(texts) - 1  # between two texts
+    return counts
+
+
 def bigram_counts(texts: DataFrame) -> np.ndarray:
     """Counts of symbol pairs over all of ``texts`` (text). The driver gets at most as many numbers as
     there are pairs of symbols, some 700 squared; each task sends its own sums, added up by a group-by."""
@@ -146,11 +157,16 @@ def bigram_counts(texts: DataFrame) -> np.ndarray:
         table, n = _symbols()
         total = np.zeros(n * n, np.int64)
         for batch in batches:
+            held, size = [], 0
             for text in batch["text"]:
                 if text:
-                    s = table[_codes(f" {text} ")].astype(np.int64)
-                    at, times = np.unique(s[:-1] * n + s[1:], return_counts=True)
-                    total[at] += times
+                    held.append(text)
+                    size += len(text)
+                if size >= CHARS_AT_ONCE:
+                    total += _pair_counts(held, table, n)
+                    held, size = [], 0
+            if held:
+                total += _pair_counts(held, table, n)
         at = np.flatnonzero(total)
         yield pd.DataFrame({"pair": at, "times": total[at]})
 
@@ -204,7 +220,7 @@ class Model:
         out = np.zeros(len(chains()), np.float32)
         for i, (_, steps) in enumerate(chains()):
             if not steps:
-                if re.search(rf"\w{LOST}|{LOST}\w", word):
+                if LOST in word:
                     out[i] = MOST
                 continue
             if not single if steps[0][0] == "single" else _leads(steps[0][1]).isdisjoint(word):
@@ -220,7 +236,7 @@ class Model:
 
 def high_words(text: str) -> list[str]:
     """Words between ASCII blanks that have a character beyond ASCII."""
-    return [w for w in _BLANKS.split(text) if _HIGH.search(w)]
+    return [w for w in _BLANKS.split(text) if not w.isascii()]
 
 
 def evidence(docs: DataFrame, model: Model) -> DataFrame:
@@ -307,9 +323,9 @@ def chain_weights(found: DataFrame, steps: int = STEPS) -> DataFrame:
 def posteriors(docs: DataFrame, rounds: int = 2) -> tuple[DataFrame, Model]:
     """(doc_id, clean, log_posterior) of the records with evidence, and the bigram model of the last round."""
     texts = docs.select("doc_id", "source", "text").where(F.col("doc_id").isNotNull() & F.col("text").isNotNull() & (F.col("text") != ""))
-    training = texts
+    counts = whole = bigram_counts(texts)
     for turn in range(rounds):
-        model = Model(bigram_counts(training))
+        model = Model(counts)
         found = cut(evidence(texts, model), "evidence")
         weights = chain_weights(found)
         joined = found.where(F.col("scores").isNotNull()).join(weights, F.col("source").eqNullSafe(F.col("w_source")))
@@ -322,7 +338,9 @@ def posteriors(docs: DataFrame, rounds: int = 2) -> tuple[DataFrame, Model]:
 
         judged = cut(joined.select("doc_id", "scores", "weights").mapInPandas(judge, "doc_id BIGINT, clean DOUBLE, log_posterior ARRAY<FLOAT>"), "judged")
         if turn + 1 < rounds:
-            training = texts.join(judged.where(F.col("clean") < 0.5).select(F.col("doc_id").alias("bad")), F.col("doc_id") == F.col("bad"), "left_anti")
+            # what the garbled records have is taken off the sums of all
+            bad = judged.where(F.col("clean") < 0.5).select(F.col("doc_id").alias("bad")).distinct()
+            counts = whole - bigram_counts(texts.join(bad, F.col("doc_id") == F.col("bad"), "left_semi"))
     return judged, model
 
 
@@ -356,7 +374,7 @@ def restored(docs: DataFrame) -> DataFrame:
                 def fix(match: re.Match, weight=weight, used=used) -> str:
                     word = match[0]
                     for _ in range(3):  # what one chain leaves garbled, another may undo
-                        v = own.verdict(word) if _HIGH.search(word) else None
+                        v = None if word.isascii() else own.verdict(word)
                         if v is None:
                             break
                         gain = np.where(v > 0, v + weight, -np.inf)
