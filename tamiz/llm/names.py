@@ -3,10 +3,11 @@
 A string is first read as a byline: credits, titles and outlets go, and what is
 left becomes given name, first and second surname (each may be an initial or
 missing), or the words of an organisation. The vocabulary of all name words is
-joined with itself under a true edit metric (unrestricted Damerau-Levenshtein,
-radius 1) by metric-space partitioning: every word goes to its nearest pivot's
-cell, and as an onlooker to each cell that the triangle inequality cannot rule
-out; inside a cell words that share a one-deletion form are compared. With the
+joined with itself under a true edit metric (unrestricted Damerau-Levenshtein)
+by metric-space partitioning: a word's home is the ring of its nearest pivot at
+its distance from it; as an onlooker it goes to each ring of each pivot that the
+triangle inequality cannot rule out. Inside a cell, the distances to all pivots
+rule out nearly all pairs, and the metric itself decides on the rest. With the
 misspelt words resolved that way, shortened names join the one full name of
 their surname that they fit; a name that fits several stays on its own.
 """
@@ -24,11 +25,13 @@ from pyspark.sql import functions as F
 
 from ..session import cut
 
-PIVOTS = 24
+FEWEST_PIVOTS, MOST_PIVOTS = 4, 48  # between them, half the root of the vocabulary
 PIVOT_SAMPLE = 2000  # words, at most, among which the pivots are chosen
 RADIUS = 1
-LONGEST_WORD = 64  # characters; a longer word is no name's, and is linked as it stands only
-RARE_STRINGS = 2  # a surname that no more strings have may be a misspelling of a neighbour
+LONG_WORD = 48  # characters; longer words have the empty word as their pivot, whose rings are the lengths
+CELL = 4096  # words, at most, whose home is one task's part of a cell
+RARE_STRINGS = 2  # a surname that no more strings have may be a misspelling of a commoner neighbour
+COMMONER = 12  # and so may one whose neighbour has so many times as many strings
 
 # Spanish given names, each followed by its familiar forms.
 GIVEN = """
@@ -113,6 +116,36 @@ def damerau(a: str, b: str) -> int:
     return table[len(a) + 1][len(b) + 1]
 
 
+def within(a: str, b: str, radius: int) -> bool:
+    """``damerau(a, b) <= radius``, in time proportional to the length: cells off the diagonal by more are over it."""
+    if abs(len(a) - len(b)) > radius:
+        return False
+    if max(len(a), len(b)) <= LONG_WORD:
+        return damerau(a, b) <= radius
+    far = radius + 1
+    last: dict[str, int] = {}
+    rows: dict[int, dict[int, int]] = {0: {j: j for j in range(min(len(b), radius) + 1)}}
+    for i, x in enumerate(a, 1):
+        row: dict[int, int] = {0: i} if i <= radius else {}
+        seen = b.rfind(x, 0, max(0, i - radius - 1)) + 1
+        for j in range(max(1, i - radius), min(len(b), i + radius) + 1):
+            k, m = last.get(b[j - 1], 0), seen
+            if x == b[j - 1]:
+                cost, seen = 0, j
+            else:
+                cost = 1
+            best = min(rows[i - 1].get(j - 1, far) + cost, rows[i - 1].get(j, far) + 1, row.get(j - 1, far) + 1)
+            if k and m and k - 1 in rows:
+                best = min(best, rows[k - 1].get(m - 1, far) + (i - k - 1) + 1 + (j - m - 1))
+            row[j] = min(best, far)
+        last[x] = i
+        rows[i] = row
+        rows.pop(i - 2 * radius - 3, None)  # a swap over so many letters costs more than the radius
+        if min(row.values(), default=far) > radius:
+            return False
+    return rows[len(a)].get(len(b), far) <= radius
+
+
 def pivot_distances(words: list[str], pivots: list[str]) -> np.ndarray:
     """``damerau`` of every word to every pivot, all words of a block at once."""
     width = max((len(w) for w in words), default=0)
@@ -147,7 +180,7 @@ def pivot_distances(words: list[str], pivots: list[str]) -> np.ndarray:
     return out
 
 
-def choose_pivots(words: list[str], count: int = PIVOTS) -> list[str]:
+def choose_pivots(words: list[str], count: int = MOST_PIVOTS) -> list[str]:
     """Far-apart words of a bounded sample: each next one is farthest from those chosen."""
     words = sorted(set(words))
     if len(words) <= count:
@@ -160,45 +193,80 @@ def choose_pivots(words: list[str], count: int = PIVOTS) -> list[str]:
     return chosen
 
 
-def close_words(vocabulary: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(word, other): all ordered pairs of different words of ``vocabulary`` (word) within edit distance 1, of words
-    of up to LONGEST_WORD characters.
-
-    A word x lives in the cell of its nearest pivot p. If d(x, y) <= r then d(y, p) <= d(x, p) + r
-    <= d(y, q) + 2r for y's own pivot q, so y need only look on in cells with d(y, p) <= d(y, q) + 2r,
-    and x and y meet where x lives. Inside a cell, words within one edit have a deletion form in common.
+def _rings(words: list[str], pivots: list[str], radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(word's place, pivot, ring, whether it is the word's home, distances to all pivots) of every cell that each of
+    ``words`` goes to; the empty word is the pivot of number -1."""
+    d = np.zeros((len(words), len(pivots)), np.int16)
+    lengths = np.array([len(w) for w in words])
+    short = np.flatnonzero(lengths <= LONG_WORD)
+    d[short] = pivot_distances([words[i] for i in short], pivots)
+    at, pivot, ring, home = [], [], [], []
+
+    def go(i, p, r, own):
+        at.append(i), pivot.append(p), ring.append(r), home.append(own)
+
+    nearest = d.argmin(1)
+    for shift in range(-radius, radius + 1):
+        # x lives in ring d(x, p) of its nearest p; if d(x, y) <= r, then d(y, p) is within r of that, and
+        # d(y, p) <= d(x, p) + r <= d(x, q) + r <= d(y, q) + 2r for y's own pivot q
+        i, p = np.nonzero(d[short] <= d[short].min(1, keepdims=True) + 2 * radius)
+        i = short[i]
+        go(i, p, d[i, p] + shift, (p == nearest[i]) & (shift == 0))
+        i = np.flatnonzero(lengths > LONG_WORD - radius)
+        go(i, np.full(len(i), -1), lengths[i] + shift, (lengths[i] > LONG_WORD) & (shift == 0))
+    at, pivot, ring, home = (np.concatenate(x) for x in (at, pivot, ring, home))
+    return at, pivot, ring, home, d[at]
+
+
+def close_words(vocabulary: DataFrame, radius: int = RADIUS, most: int = CELL) -> DataFrame:
+    """(word, other): all ordered pairs of different words of ``vocabulary`` (word) within edit distance ``radius``.
+
+    Every pair meets where one of the two has its home. A cell of more than ``most`` home words is cut into parts by a
+    hash, each of which its onlookers visit; the cells' sizes, some hundreds of numbers, are all the driver gets.
     """
-    if radius != 1:
-        raise ValueError("the deletion forms cover a radius of 1")
-    words = vocabulary.where(F.length("word").between(1, LONGEST_WORD)).select("word").distinct()
-    sample = [r["word"] for r in words.orderBy(F.xxhash64("word")).limit(PIVOT_SAMPLE).collect()]
-    pivots = choose_pivots(sample)
+    spark = vocabulary.sparkSession
+    words = cut(vocabulary.where(F.length("word") > 0).select("word").distinct(), "words")
+    count = words.count()
+    sample = [r["word"] for r in words.where(F.length("word") <= LONG_WORD).orderBy(F.xxhash64("word")).limit(PIVOT_SAMPLE).collect()]
+    pivots = choose_pivots(sample, max(FEWEST_PIVOTS, min(MOST_PIVOTS, int(count**0.5 / 2)))) or ["a"]
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             listed = list(batch["word"])
             for i in range(0, len(listed), 5000):
                 block = listed[i : i + 5000]
-                d = pivot_distances(block, pivots)
-                home = d.argmin(1)
-                at, cell = np.nonzero(d <= d.min(1, keepdims=True) + 2 * radius)
-                yield pd.DataFrame({"word": [block[a] for a in at], "cell": cell, "home": cell == home[at]})
-
-    def forms(word: Column) -> Column:
-        cuts = F.transform(F.sequence(F.lit(1), F.length(word)), lambda i: F.concat(F.substr(word, F.lit(1), i - 1), F.substr(word, i + 1)))
-        return F.array_distinct(F.concat(F.array(word), cuts))
-
-    @F.pandas_udf("boolean")
-    def within(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([damerau(x, y) <= radius for x, y in zip(a, b, strict=True)], dtype=bool)
-
-    if not pivots:
-        return vocabulary.sparkSession.createDataFrame([], "word STRING, other STRING")
-    placed = cut(words.mapInPandas(place, "word STRING, cell INT, home BOOLEAN"), "cells")
-    spread = placed.withColumn("form", F.explode(forms(F.col("word"))))
-    own = spread.where("home").select("cell", "form", "word")
-    met = own.join(spread.select("cell", "form", F.col("word").alias("other")), ["cell", "form"]).where(F.col("word") != F.col("other"))
-    return met.select("word", "other").distinct().where(within("word", "other"))
+                at, pivot, ring, home, d = _rings(block, pivots, radius)
+                yield pd.DataFrame({"word": [block[a] for a in at], "pivot": pivot, "ring": ring, "home": home, "far": [x.astype("<i2").tobytes() for x in d]})
+
+    def meet(frame: pd.DataFrame) -> pd.DataFrame:
+        found = set()
+        listed, home = frame["word"].to_numpy(), np.flatnonzero(frame["home"].to_numpy())
+        far = np.frombuffer(b"".join(frame["far"]), "<i2").reshape(len(frame), -1)
+        lengths = np.array([len(w) for w in listed])
+        for i in range(0, len(home), 64):
+            own = home[i : i + 64]
+            near = np.abs(lengths[own][:, None] - lengths) <= radius
+            for p in range(far.shape[1] if frame["pivot"].iloc[0] >= 0 else 0):  # long words have none
+                near &= np.abs(far[own, p][:, None] - far[:, p]) <= radius
+            for a, b in zip(*np.nonzero(near), strict=True):
+                x, y = listed[own[a]], listed[b]
+                if x != y and (x, y) not in found and within(x, y, radius):
+                    found |= {(x, y), (y, x)}
+        return pd.DataFrame(sorted(found), columns=["word", "other"])
+
+    placed = cut(words.mapInPandas(place, "word STRING, pivot INT, ring INT, home BOOLEAN, far BINARY"), "cells")
+    sizes = placed.where("home").groupBy("pivot", "ring").agg(F.count("*").alias("n")).collect()
+    if not sizes:
+        return spark.createDataFrame([], "word STRING, other STRING")
+    parts = spark.createDataFrame([(r["pivot"], r["ring"], -(-r["n"] // most)) for r in sizes], "c_pivot INT, c_ring INT, parts INT")
+    placed = placed.join(F.broadcast(parts), (F.col("pivot") == F.col("c_pivot")) & (F.col("ring") == F.col("c_ring")))
+    own = F.pmod(F.xxhash64("word"), F.col("parts")).cast("int")
+    placed = placed.withColumn("part", F.explode(F.when(F.col("home"), F.array(own)).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))))
+    # home words look on in the other parts of their cell
+    guests = placed.where("home").withColumn("guest", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).where(F.col("guest") != F.col("part"))
+    guests = guests.select("word", "pivot", "ring", F.lit(False).alias("home"), "far", F.col("guest").alias("part"))
+    placed = placed.select("word", "pivot", "ring", "home", "far", "part").unionByName(guests)
+    return placed.groupBy("pivot", "ring", "part").applyInPandas(meet, "word STRING, other STRING").distinct()
 
 
 _ACCENT = re.compile(r"(?<!\w)[ÁÉÍÓÚáéíóú](?!\w)")
@@ -319,6 +387,17 @@ def _fits(a: Column, b: Column) -> Column:
     return (a == b) | (a == "") | (b == "") | short(a, b) | short(b, a)
 
 
+def _offered(part: Column) -> Column:
+    """Keys under which a part of a name is found: itself, its initial with a mark, and any."""
+    return F.when(part == "", F.array(part, F.lit("*"))).otherwise(F.array(part, F.concat(F.substring(part, 1, 1), F.lit("*")), F.lit("*")))
+
+
+def _sought(part: Column) -> Column:
+    """Keys by which ``part`` finds all parts that it fits, each by one of them: an equi-join in place of ``_fits``."""
+    initial = F.array(F.lit(""), F.concat(part, F.lit("*")))
+    return F.when(part == "", F.array(F.lit("*"))).when(F.length(part) == 1, initial).otherwise(F.array(part, F.substring(part, 1, 1), F.lit("")))
+
+
 def _resolve_surnames(people: DataFrame, near: DataFrame) -> DataFrame:
     """Put the usual spelling for a misspelt first or second surname.
 
@@ -326,12 +405,17 @@ def _resolve_surnames(people: DataFrame, near: DataFrame) -> DataFrame:
     second surname. ``s2``: as common a neighbour stands beside the same given name and first surname.
     """
     counts = cut(people.groupBy("s1").agg(F.count("*").alias("n")), "surnames")
-    rare = people.join(counts.where(F.col("n") <= RARE_STRINGS), "s1").select("name", "s1", "g", "s2", "n")
-    steps = rare.join(near, F.col("s1") == F.col("word")).select("name", F.col("s1").alias("old"), F.col("other").alias("s1"), F.col("g").alias("r_g"), F.col("s2").alias("r_s2"), F.col("n").alias("r_n"))
-    steps = steps.join(counts.withColumnRenamed("n", "o_n"), "s1").where((F.col("o_n") > F.col("r_n")) | ((F.col("o_n") == F.col("r_n")) & (F.col("s1") < F.col("old"))))
-    host = people.select("s1", F.col("g").alias("h_g"), F.col("s2").alias("h_s2"))
-    full = (F.length("r_g") > 1) & (F.length("h_g") > 1)
-    fit = steps.join(host, "s1").where(_fits(F.col("r_g"), F.col("h_g")) & (F.col("r_g") != "") & _fits(F.col("r_s2"), F.col("h_s2")))
+    own = counts.withColumnRenamed("n", "r_n")
+    pairs = own.join(near, F.col("s1") == F.col("word")).select(F.col("s1").alias("old"), "r_n", F.col("other").alias("s1")).join(counts.withColumnRenamed("n", "o_n"), "s1")
+    fewer = (F.col("o_n") > F.col("r_n")) | ((F.col("o_n") == F.col("r_n")) & (F.col("s1") < F.col("old")))
+    pairs = pairs.where(((F.col("r_n") <= RARE_STRINGS) & fewer) | (F.col("o_n") >= COMMONER * F.col("r_n")))
+    steps = people.select("name", F.col("s1").alias("old"), F.col("g").alias("r_g"), F.col("s2").alias("r_s2")).where(F.col("r_g") != "").join(pairs, "old")
+    # a people's keys stand once each, however many have the surname
+    host = people.select("s1", (F.length("g") > 1).alias("h_full"), F.explode(_offered(F.col("g"))).alias("g_key"), "s2").distinct()
+    host = host.select("s1", "g_key", "h_full", F.explode(_offered(F.col("s2"))).alias("s2_key")).groupBy("s1", "g_key", "s2_key").agg(F.max("h_full").alias("h_full"))
+    steps = steps.withColumn("g_key", F.explode(_sought(F.col("r_g")))).withColumn("s2_key", F.explode(_sought(F.col("r_s2"))))
+    fit = steps.join(host, ["s1", "g_key", "s2_key"])
+    full = (F.length("r_g") > 1) & F.col("h_full")
     best = fit.groupBy("name").agg(F.max(F.struct(full.cast("int").alias("full"), "o_n", "s1")).alias("best")).select(F.col("name").alias("b_name"), F.col("best.s1").alias("new"))
     people = people.join(best, F.col("name") == F.col("b_name"), "left").withColumn("s1", F.coalesce("new", "s1")).drop("b_name", "new")
     people = cut(people, "people")
@@ -376,14 +460,21 @@ def _settle(keys: DataFrame) -> DataFrame:
     settled = cut(full.withColumn("entity", name).unionByName(short), "settled")
     # initials: entities of the surname whose given name starts so
     accents = F.create_map(*[F.lit(x) for pair in ACCENTED.items() for x in pair])
-    have = settled.select("s1", F.substring("g", 1, 1).alias("i"), F.try_element_at(accents, F.col("g")).alias("i_accent"), "entity").distinct()
+    accent = F.try_element_at(accents, F.col("g"))
+    have = settled.select("s1", F.substring("g", 1, 1).alias("i"), accent.alias("i_accent"), "entity").distinct()
     have = have.withColumn("e_s2", F.element_at(F.split("entity", r"\|"), 3))
+    starts = F.array_distinct(F.array_compact(F.array(F.lit(""), "i", "i_accent")))
+    have = have.select("s1", "entity", "e_s2", F.col("i_accent").isNull().alias("plain"), F.explode(starts).alias("g"))
+    # of several, an initial without an accent is first of all that of a name without one; entities are counted by key
+    # before initials meet them
+    plain = F.when(F.col("plain"), F.col("entity"))
+    keyed = have.withColumn("s2_key", F.explode(_offered(F.col("e_s2")))).groupBy("s1", "g", "s2_key")
+    keyed = keyed.agg(F.countDistinct("entity").alias("n"), F.min("entity").alias("only"), F.count(plain).alias("n_p"), F.min(plain).alias("only_p"))
     initial = keys.where(F.length("g") <= 1)
-    fit = initial.join(have, "s1").where(((F.col("g") == "") | (F.col("g") == F.col("i")) | (F.col("g") == F.col("i_accent"))) & _fits(F.col("s2"), F.col("e_s2")))
-    exact = F.when((F.length("s2") > 1) & (F.col("s2") == F.col("e_s2")), F.col("entity"))
-    # of several, an initial without an accent is first of all that of a name without one
-    plain = F.when(F.col("i_accent").isNull(), F.col("entity"))
-    fit = fit.groupBy("g", "s1", "s2").agg(F.count("*").alias("n"), F.min("entity").alias("only"), F.count(exact).alias("n_x"), F.min(exact).alias("only_x"), F.count(plain).alias("n_p"), F.min(plain).alias("only_p"))
+    asked = initial.select("g", "s1", "s2", F.explode(_sought(F.col("s2"))).alias("s2_key"))
+    exact = (F.length("s2") > 1) & (F.col("s2_key") == F.col("s2"))
+    fit = asked.join(keyed, ["s1", "g", "s2_key"]).groupBy("g", "s1", "s2")
+    fit = fit.agg(F.sum("n").alias("n"), F.min("only").alias("only"), F.coalesce(F.sum(F.when(exact, F.col("n"))), F.lit(0)).alias("n_x"), F.min(F.when(exact, F.col("only"))).alias("only_x"), F.sum("n_p").alias("n_p"), F.min("only_p").alias("only_p"))
     pick = F.when(F.col("n") == 1, F.col("only")).when(F.col("n_x") == 1, F.col("only_x")).when((F.col("g") != "") & (F.col("n_p") == 1), F.col("only_p"))
     rest = initial.join(fit, ["g", "s1", "s2"], "left").select("g", "s1", "s2", F.when(F.col("s1") != "", pick).alias("entity"))
     linked = rest.where(F.col("entity").isNotNull())

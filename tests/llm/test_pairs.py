@@ -161,3 +161,25 @@ def test_metric_cells_miss_no_pair(spark):
     want = {(a, b) for a in words for b in words if a != b and names.damerau(a, b) <= 1}
     got = {tuple(r) for r in names.close_words(spark.createDataFrame([(w,) for w in words], "word string")).collect()}
     assert got == want
+
+
+def test_metric_cells_at_two_edits_and_in_parts(spark):
+    rng = random.Random(8)
+    words = {"".join(rng.choice("abcde") for _ in range(rng.randint(3, 9))) for _ in range(250)}
+    words |= {("ab" * 40)[:n] for n in range(45, 53)} | {"q" * 3000, "q" * 2999 + "r", "q" * 1500 + "zq" + "q" * 1497}
+    words = sorted(words)
+    short = [w for w in words if len(w) < 100]
+    want = {(a, b) for a in short for b in short if a != b and names.damerau(a, b) <= 2}
+    want |= {(a, b) for a in words for b in words if a != b and len(a) > 100 and len(b) > 100 and a[0] == b[0] == "q" and sum(x != y for x, y in zip(a, b, strict=False)) <= 2 and abs(len(a) - len(b)) < 2}
+    df = spark.createDataFrame([(w,) for w in words + ["", None]], "word string")
+    assert {tuple(r) for r in names.close_words(df, 2, 20).collect()} == want
+    assert names.close_words(df.limit(0)).count() == 0
+
+
+def test_banded_distance_agrees_with_the_metric(monkeypatch):
+    rng = random.Random(9)
+    monkeypatch.setattr(names, "LONG_WORD", 0)
+    for _ in range(3000):
+        a, b = ("".join(rng.choice("abc") for _ in range(rng.randint(0, 7))) for _ in range(2))
+        for radius in (0, 1, 2, 3):
+            assert names.within(a, b, radius) == (names.damerau(a, b) <= radius), (a, b, radius)
