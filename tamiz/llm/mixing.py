@@ -9,6 +9,8 @@ slot of a source takes the source's r-th block.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,7 +18,7 @@ from ..session import cut
 from .prefix import running_sum
 from .tokens import DEFAULT_VOCABULARY, token_size
 
-BLOCK_TOKENS = 4096
+BLOCK_TOKENS = 256
 BUCKET_ROWS = 50_000  # uses in one window of a running sum, on average
 SLOTS_A_BUCKET = 16384
 PHI = 0.6180339887498949  # the golden ratio less one
@@ -69,15 +71,19 @@ def schedule(spark: SparkSession, shares: list[tuple[str, float]], slots: int) -
     return running_sum(points, "source", "bucket", ["slot"], "one", "turn").select("slot", "source", "turn")
 
 
-def blocks(spark: SparkSession, sized: DataFrame, sources: list[tuple], block_tokens: int) -> DataFrame:
-    """(source, block, pass, doc_id, n_tokens): every use of every text that the caps allow, in its block.
+def blocks(spark: SparkSession, sized: DataFrame, sources: list[tuple], block_tokens: int, slots: int) -> DataFrame:
+    """(source, block, pass, doc_id, n_tokens): every use of every text that the schedule can reach, in its block.
+
+    A source is laid out for as many passes as its share of ``slots`` takes (and two slots more, by which a
+    low-discrepancy schedule may be off), at most its cap.
 
     A pass is shuffled by a hash; its top bits, more of them for a larger source, are the buckets of the
     running sum.
     """
     most = sized.groupBy("source").count().agg(F.max("count")).first()[0] or 1
     bits = max(4, min(24, (most // BUCKET_ROWS).bit_length()))
-    caps = spark.createDataFrame([(s[0], s[2]) for s in sources], "c_source STRING, cap INT")
+    passes = lambda share, cap, tokens: max(1, min(cap, math.ceil((share * slots + 2) * block_tokens / tokens)))
+    caps = spark.createDataFrame([(source, passes(share, cap, tokens)) for source, share, cap, tokens in sources], "c_source STRING, cap INT")
     uses = sized.join(F.broadcast(caps), F.col("source") == F.col("c_source")).select("doc_id", "source", "n_tokens", F.explode(F.sequence(F.lit(0), F.col("cap") - 1)).alias("pass"))
     uses = uses.withColumn("at", F.xxhash64("doc_id", "pass"))
     uses = uses.withColumn("bucket", F.col("pass").cast("long") * (1 << bits) + F.shiftrightunsigned("at", 64 - bits))
@@ -89,18 +95,16 @@ def blocks(spark: SparkSession, sized: DataFrame, sources: list[tuple], block_to
 def mix(docs: DataFrame, targets: DataFrame, vocabulary: str = DEFAULT_VOCABULARY, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """(slot, source, pass, doc_id, n_tokens) of the mix: which text stands in which slot, and for which time.
 
-    Nothing usable gives no rows. The block shrinks for a small mix, to about 2,000 slots, so that a
-    source's share misses its target by little more than one text.
+    Nothing usable gives no rows. A source's share misses its target by little more than one text and one block.
     """
     spark = docs.sparkSession
     sized = cut(sized_texts(docs, targets, vocabulary), "sized")
     found = plan(sized, targets)
     if not found["total"]:
         return spark.createDataFrame([], "slot BIGINT, source STRING, pass INT, doc_id BIGINT, n_tokens BIGINT")
-    size = max(32, min(block_tokens, found["total"] // 2000))
-    slots = max(1, found["total"] // size)
+    slots = max(1, found["total"] // block_tokens)
     timetable = schedule(spark, [(s[0], s[1]) for s in found["sources"]], slots)
-    laid = blocks(spark, sized, found["sources"], size)
+    laid = blocks(spark, sized, found["sources"], block_tokens, slots)
     turn = timetable.select("slot", F.col("source").alias("s_source"), F.col("turn").alias("s_turn"))
     joined = laid.join(turn, (F.col("source") == F.col("s_source")) & (F.col("block") == F.col("s_turn")))
     return joined.select("slot", "source", "pass", "doc_id", "n_tokens")

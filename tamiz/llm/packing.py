@@ -22,8 +22,8 @@ from ..session import cut
 from .tokens import DEFAULT_VOCABULARY
 from .tokens import count as tokens_of
 
-PARTITION_ITEMS = 8192  # of one packing task, on average
-ROUNDS = 3
+PARTITION_ITEMS = 2048  # of one packing task, on average
+FULL = 0.99  # of the capacity: a bin without a gap worth an exchange
 ITEM = "doc_id BIGINT, piece_no INT, n_pieces INT, n_tokens BIGINT"
 
 
@@ -107,31 +107,31 @@ def _packer(capacity: int):
     return run
 
 
-def pack(items: DataFrame, capacity: int, partition_items: int = PARTITION_ITEMS, rounds: int = ROUNDS) -> DataFrame:
+def pack(items: DataFrame, capacity: int, partition_items: int = PARTITION_ITEMS, full: float = FULL) -> DataFrame:
     """(container_id, doc_id, piece_no, n_pieces, n_tokens, container_tokens, certified) of every item.
 
     ``certified``: the container's partition has as few containers as any packing of it could have.
     An item is never split here; ``items`` must hold none over ``capacity``. Items of equal size are
     taken in the order of their ids, so the same input gives the same containers. No items, no rows.
+    A partition that is not certified keeps its bins over ``full`` and gives up the others.
     """
     items = cut(items, "items")
     count = items.count()
     schema = f"{ITEM}, part BIGINT, bin BIGINT, used BIGINT, certified BOOLEAN"
-    todo, done = items, []
-    for turn in range(rounds):
+    todo, done, turn = items, [], 0
+    while True:
         parts = max(1, round(count / partition_items))
         spread = todo.select("doc_id", "piece_no", "n_pieces", "n_tokens", F.pmod(F.xxhash64("doc_id", "piece_no", F.lit(turn)), F.lit(parts)).alias("part"))
         packed = cut(spread.groupBy("part").applyInPandas(_packer(capacity), schema), f"packed{turn}").withColumn("turn", F.lit(turn))
-        # a bin that is full to the last hundredth has no gap worth an exchange
-        settled = F.col("certified") | (F.col("used") * 100 >= capacity * 99)
-        if turn == rounds - 1 or parts == 1:
-            done.append(packed)
+        settled = F.col("certified") | (F.col("used") >= capacity * full)
+        bins = packed.select("part", "bin", settled.alias("settled")).distinct().agg(F.count("*").alias("all"), F.count_if(~F.col("settled")).alias("open")).first()
+        # an exchange that fills as many bins as it was given has saved none; one that fills more is not taken
+        if parts == 1 or not bins["open"] or (turn and bins["all"] >= opened):
+            done.append(todo if turn and bins["all"] > opened else packed)
             break
         done.append(packed.where(settled))
-        todo = packed.where(~settled)
+        todo, opened, turn = packed.where(~settled), bins["open"], turn + 1
         count = todo.count()
-        if not count:
-            break
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
