@@ -113,7 +113,7 @@ def pack(items: DataFrame, capacity: int, partition_items: int = PARTITION_ITEMS
     ``certified``: the container's partition has as few containers as any packing of it could have.
     An item is never split here; ``items`` must hold none over ``capacity``. Items of equal size are
     taken in the order of their ids, so the same input gives the same containers. No items, no rows.
-    A partition that is not certified keeps its bins over ``full`` and gives up the others.
+    A partition keeps its bins over ``full`` and gives up the others.
     """
     items = cut(items, "items")
     count = items.count()
@@ -123,7 +123,7 @@ def pack(items: DataFrame, capacity: int, partition_items: int = PARTITION_ITEMS
         parts = max(1, round(count / partition_items))
         spread = todo.select("doc_id", "piece_no", "n_pieces", "n_tokens", F.pmod(F.xxhash64("doc_id", "piece_no", F.lit(turn)), F.lit(parts)).alias("part"))
         packed = cut(spread.groupBy("part").applyInPandas(_packer(capacity), schema), f"packed{turn}").withColumn("turn", F.lit(turn))
-        settled = F.col("certified") | (F.col("used") >= capacity * full)
+        settled = F.col("used") >= capacity * full  # of a certified partition, too, one bin may have a gap
         bins = packed.select("part", "bin", settled.alias("settled")).distinct().agg(F.count("*").alias("all"), F.count_if(~F.col("settled")).alias("open")).first()
         # an exchange that fills as many bins as it was given has saved none; one that fills more is not taken
         if parts == 1 or not bins["open"] or (turn and bins["all"] >= opened):
