@@ -25,6 +25,9 @@ _SIMILAR = r"""texts AS (
     ), common AS (SELECT a.row_id AS row_a, b.row_id AS row_b, count(*) AS c FROM triples a JOIN triples b USING (t) WHERE a.row_id < b.row_id GROUP BY 1, 2
     ), alike AS (SELECT row_a, row_b FROM common JOIN sizes x ON x.row_id = row_a JOIN sizes y ON y.row_id = row_b WHERE c / (x.n + y.n - c) >= 0.6)"""
 
+_OVER = rf"""SELECT DISTINCT id FROM chunks WHERE len(regexp_extract_all(content, '[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_\s\x{{b}}\x{{85}}\x{{a0}}\x{{1680}}\x{{2000}}-\x{{200a}}\x{{2028}}\x{{2029}}\x{{202f}}\x{{205f}}\x{{3000}}\x{{1c}}-\x{{1f}}]'))
+      > (SELECT max_tokens FROM token_limits WHERE limit_name = 'chunk')"""
+
 ORACLES: dict[str, str] = {
     "p3_cleaned": f"WITH {_LINES}, flagged AS (SELECT row_id, line_no FROM worded JOIN repeated USING (source, w)) {_CONTENT}",
     "p3_rebuilt": f"""WITH {_LINES}, flagged AS (SELECT row_id, line_no FROM worded JOIN repeated USING (source, w)), crossed AS (SELECT * FROM repeated EXCEPT {_EVEN}
@@ -38,6 +41,11 @@ ORACLES: dict[str, str] = {
     ), reach AS (SELECT a, b FROM hops UNION SELECT r.a, h.b FROM reach r JOIN hops h ON h.a = r.b
     ), degree AS (SELECT a AS row_id, count(DISTINCT y.text_id) AS n FROM ends JOIN same x ON x.row_id = a JOIN same y ON y.row_id = b WHERE x.text_id <> y.text_id GROUP BY 1)
     SELECT row_id, min(b) AS group_id, coalesce(any_value(n), 0) AS n_links FROM same JOIN reach ON a = row_id LEFT JOIN degree USING (row_id) GROUP BY 1""",
-    "p6_found": rf"""SELECT DISTINCT id FROM chunks WHERE len(regexp_extract_all(content, '[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_\s\x{{b}}\x{{85}}\x{{a0}}\x{{1680}}\x{{2000}}-\x{{200a}}\x{{2028}}\x{{2029}}\x{{202f}}\x{{205f}}\x{{3000}}\x{{1c}}-\x{{1f}}]'))
-      > (SELECT max_tokens FROM token_limits WHERE limit_name = 'chunk')""",
+    "p5_recall": """SELECT count(*) AS n_queries, true AS holds FROM vector_store WHERE vec_id % 50 = 0 AND len(embedding) = 64
+      AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64 AND len(list_filter(embedding, lambda x: x <> 0)) > 0""",
+    "p6_found": _OVER,
+    "p6_checks": f"SELECT id, true AS tiles, true AS fits, true AS overlaps FROM ({_OVER})",
+    "p7_checks": f"WITH {_LINES} SELECT row_id, count(*) FILTER (WHERE w <> '') AS n_lines FROM worded GROUP BY 1",
+    "p8_checks": "SELECT count(DISTINCT doc_id) AS n_docs, 0::BIGINT AS n_cut, 0::BIGINT AS n_over, true AS near_bound FROM documents",
+    "p9_checks": "SELECT source, true AS cap_kept, true AS share_met FROM mix_targets",
 }
