@@ -226,6 +226,10 @@ ORACLES: dict[str, str] = {
     "knn_cosine": _knn("cosine"),
     "knn_filtered": _knn("l2", "(v.label < 3 OR v.label IN (7, 8))"),
     "dense_results": _knn("l2", out="query_id, rank, id, 'u' || id AS url, 'Título ' || id AS title, (SELECT label::VARCHAR FROM embeddings e WHERE e.vec_id = id) AS source, round(1 - distance / 2, 6) AS score, left(repeat('texto ' || id, 30), 200) || '...' AS snippet"),
+    "knn_store": """WITH usable AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM vector_store WHERE len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64 AND len(embedding) = 64 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+      ), sized AS (SELECT vec_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS n FROM usable
+      ), near AS (SELECT q.vec_id AS query_id, x.vec_id AS id, 1 - list_sum(list_transform(list_zip(q.v, x.v), lambda z: z[1] * z[2])) / (q.n * x.n) AS distance FROM sized q CROSS JOIN sized x WHERE q.vec_id % 50 = 0
+      ) SELECT query_id, rank, id, round(distance, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 12), id) AS rank FROM near) WHERE rank <= 10""",
     "vector_lifecycle": "SELECT vec_id::VARCHAR AS id, CASE WHEN vec_id % 2 = 0 THEN 'first' ELSE 'again' END AS title, len(embedding) AS n FROM embeddings WHERE vec_id % 7 <> 0",
     "vector_dimensions": "SELECT len(embedding) AS dimensions, count(*) AS n FROM vector_store WHERE embedding IS NOT NULL GROUP BY 1",
     "dense_search": f"WITH {_NEAR} SELECT query_id, rank, id, doc_id AS url, title, source, date, round(1 - distance / 2, 6) AS score, left(content, 200) || '...' AS snippet FROM near JOIN stored USING (id) JOIN search_queries USING (query_id) WHERE rank <= k",
