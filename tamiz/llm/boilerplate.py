@@ -184,7 +184,10 @@ def outside_main(docs: DataFrame, sites: DataFrame) -> DataFrame:
     shown = F.col("again") + 1
     again = texts.where(F.col("again") > 0).select(F.col("k1").alias("w_k1"), F.col("k2").alias("w_k2"), relative(ratio(F.col("n_chars"), F.col("n_punct"), shown)).alias("r3"), behind(F.col("again")).alias("c3"))
     lines = nodes.select("row_id", "line_no", "k1", "k2", "kind", "lead", "is_label")
-    lines = lines.join(again, (F.col("k1") == F.col("w_k1")) & (F.col("k2") == F.col("w_k2")), "left").join(leads, F.col("lead") == F.col("l_lead"), "left")
+    lines = lines.join(again, (F.col("k1") == F.col("w_k1")) & (F.col("k2") == F.col("w_k2")), "left")
+    # lines without a label or opening, a third and more of all, take no part in the join
+    led = lines.where(F.col("lead").isNotNull()).join(leads, F.col("lead") == F.col("l_lead"), "left")
+    lines = led.unionByName(lines.where(F.col("lead").isNull()), allowMissingColumns=True)
     zero = lambda c: F.coalesce(c, F.lit(0.0).cast("float")).alias(c)
     fields = ["line_no", "kind", "is_label", "r2", "c2", "r3", "c3"]
     node = F.struct("line_no", F.col("kind").cast("byte").alias("kind"), "is_label", *[zero(c) for c in fields[3:]])

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut
 from .prefix import running_sum
-from .tokens import DEFAULT_VOCABULARY, token_size
+from .tokens import DEFAULT_VOCABULARY, share, token_size
 
 BLOCK_TOKENS = 256
 BUCKET_ROWS = 50_000  # uses in one window of a running sum, on average
@@ -33,6 +33,7 @@ def sized_texts(docs: DataFrame, targets: DataFrame, vocabulary: str = DEFAULT_V
     first = rows.groupBy(F.xxhash64("text").alias("k1"), F.xxhash64(F.lit("b"), "text").alias("k2")).agg(F.min("doc_id").alias("first"))
     first = cut(first.select("first"), "texts")
     rows = rows.join(first, F.col("doc_id") == F.col("first"), "left_semi")
+    share(docs.sparkSession, vocabulary)
     sized = rows.select("doc_id", "source", token_size(F.col("text"), vocabulary).alias("n_tokens"))
     return sized.where(F.col("n_tokens") > 0)
 

@@ -31,6 +31,7 @@ RADIUS = 1
 LONG_WORD = 48  # characters; longer words have the empty word as their pivot, whose rings are the lengths
 CELL = 4096  # words, at most, whose home is one task's part of a cell
 RARE_STRINGS = 2  # a surname that no more strings have may be a misspelling of a commoner neighbour
+FAMILIES, TOGETHER = 4, 0.8  # pairs of surnames, at least, and share of them, that a given name has in common with its full form
 COMMONER = 12  # and so may one whose neighbour has so many times as many strings
 
 # Spanish given names, each followed by its familiar forms.
@@ -356,6 +357,22 @@ def _lexicon(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(w, f) for w, fulls in NAMES.items() for f in fulls], "lex STRING, full STRING")
 
 
+def _learned(people: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """(lex, full): given names that no list knows, and the one known name beside whose strings they stand.
+
+    A familiar form shows with the same two surnames as its full form, again and again; relatives share theirs once. A
+    family's strings count once a given name; only known full names are joined, so a family gives few rows a name.
+    """
+    families = people.where((F.length("given") > 1) & (F.length("s2") > 1)).select("given", "s1", "s2").distinct()
+    odd = families.join(F.broadcast(lexicon.select("lex").distinct()), F.col("given") == F.col("lex"), "left_anti")
+    full = families.join(F.broadcast(lexicon.where(F.col("lex") == F.col("full"))), F.col("given") == F.col("lex")).select("s1", "s2", "full")
+    met = odd.join(full, ["s1", "s2"]).groupBy("given", "full").agg(F.count("*").alias("n"))
+    total = odd.groupBy(F.col("given").alias("t_given")).agg(F.count("*").alias("total"))
+    close = met.join(total, F.col("given") == F.col("t_given")).where((F.col("n") >= FAMILIES) & (F.col("n") >= TOGETHER * F.col("total")))
+    best = close.groupBy("given").agg(F.max(F.struct("n", "full")).alias("best"))
+    return best.select(F.col("given").alias("lex"), F.col("best.full").alias("full"))
+
+
 def _resolve_given(people: DataFrame, near: DataFrame, lexicon: DataFrame) -> DataFrame:
     """Add ``g``: the given name in full; an initial, an unknown name and '' stay as they are.
 
@@ -554,6 +571,7 @@ def entities(names: DataFrame) -> DataFrame:
     vocabulary = vocabulary.unionByName(spark.createDataFrame([(w,) for w in ORG_WORDS], "word STRING"))
     near = cut(close_words(vocabulary), "near")
     people = parsed.where(F.col("kind") == "person").select("name", "given", "s1", "s2")
+    lexicon = lexicon.unionByName(cut(_learned(people, lexicon), "learned"))
     people = cut(_resolve_given(people, near, lexicon), "people")
     people = _resolve_surnames(people, near)
     people = cut(_near_given(people, near, lexicon), "people")

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
-from .tokens import DEFAULT_VOCABULARY
+from .tokens import DEFAULT_VOCABULARY, share
 from .tokens import count as tokens_of
 
 PARTITION_ITEMS = 2048  # of one packing task, on average
@@ -91,6 +91,7 @@ def measured_pieces(docs: DataFrame, capacity: int, vocabulary: str = DEFAULT_VO
                 out += [(doc_id, p, pieces, min(capacity, n - p * capacity)) for p in range(pieces)]
             yield pd.DataFrame(out, columns=["doc_id", "piece_no", "n_pieces", "n_tokens"])
 
+    share(docs.sparkSession, vocabulary)
     return docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text").mapInPandas(run, ITEM)
 
 

@@ -6,26 +6,53 @@ import base64
 import functools
 import os
 import re
+import tempfile
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark import SparkFiles
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 DEFAULT_VOCABULARY = os.environ.get("TAMIZ_VOCABULARY", "/opt/tokenizers/byte_bpe_multi_50k.tiktoken")
 
+PATTERN_FILE = "token_pattern.txt"
 _RUN = re.compile(r"\S{4097}|\s{4097}")
 _PARTS = re.compile(r"(?:(?:\s{1,4096}(?!\s))?\S{1,4096}|\s{1,4096})")
 
 
+def share(spark: SparkSession, vocabulary: str = DEFAULT_VOCABULARY) -> None:
+    """Send the vocabulary and its pattern to executors that may not have them on their own disks, once an application."""
+    import public_tokenizers
+
+    one = (spark.sparkContext.applicationId, vocabulary)
+    if spark.sparkContext.master.startswith("local") or one in _shared:
+        return
+    pattern = os.path.join(tempfile.mkdtemp(prefix="tamiz-ship-"), PATTERN_FILE)
+    with open(pattern, "w", encoding="utf-8") as out:
+        out.write(public_tokenizers.PATTERN)
+    spark.sparkContext.addFile(vocabulary)
+    spark.sparkContext.addFile(pattern)
+    _shared.add(one)
+
+
+_shared: set[tuple[str, str]] = set()
+
+
 @functools.lru_cache(maxsize=4)
 def encoder(vocabulary: str):
-    """The byte-level BPE whose ranks are in ``vocabulary``."""
-    import public_tokenizers
+    """The byte-level BPE whose ranks are in ``vocabulary``, a path here or the name of a file that was sent."""
+    if not os.path.exists(vocabulary):
+        vocabulary = SparkFiles.get(os.path.basename(vocabulary))
     import tiktoken
 
+    try:
+        from public_tokenizers import PATTERN as pattern
+    except ImportError:
+        with open(SparkFiles.get(PATTERN_FILE), encoding="utf-8") as sent:
+            pattern = sent.read()
     with open(vocabulary, "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
 def encode(text: str, vocabulary: str = DEFAULT_VOCABULARY) -> list[int]:

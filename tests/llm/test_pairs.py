@@ -145,6 +145,13 @@ def test_names(spark):
     assert names.variant_pairs(spark.createDataFrame([], "name string")).count() == 0
 
 
+def test_a_familiar_form_that_no_list_has_is_learned(spark):
+    families = ["Olmedo Zarqui", "Tarnés Ubrique", "Corval Brumal", "Lindes Arvel", "Cantúa Hontín"]
+    listed = [f"{g} {f}" for f in families for g in ("Graciela", "Xalita")] + ["Yarelo Olmedo Zarqui", "Xandrina Tarnés Ubrique"]
+    got = linked(spark, listed)
+    assert got == {(f"Graciela {f}", f"Xalita {f}") for f in families}
+
+
 def test_edit_metric():
     rng = random.Random(5)
     words = ["".join(rng.choice("abc") for _ in range(rng.randint(0, 6))) for _ in range(50)]
