@@ -63,6 +63,7 @@ def oracles(docs: str, netloc: str, trim: str, least: int) -> dict[str, str]:
         "jsonl_documents": "SELECT url, source, coalesce(title, '') AS title, length(content) AS n, array_to_string(list_transform(coalesce(authors, []), lambda a: coalesce(a, '?')), '|') AS authors, epoch_us(date_trunc('second', fetched_at)) AS us FROM search_documents WHERE url IS NOT NULL AND content IS NOT NULL",
         "feed_xml": rf"""SELECT title, link, epoch_us(date_trunc('second', published)) AS us, coalesce(trim(regexp_replace(regexp_replace(summary, '{KEPT.replace(chr(39), chr(39) * 2)}', ' ', 'g'), ' +', ' ', 'g')), '') AS summary, 'RSS' AS source FROM feed_items""",
         "seed_urls": "SELECT trim(link) AS url FROM feed_items WHERE link IS NOT NULL AND coalesce(length(title) % 3 <> 0, true) AND trim(link) <> ''",
+        "stream_arrivals": "SELECT epoch_us(date_trunc('hour', fetched_at)) AS hour_us, source, count(*) AS n_docs FROM search_documents WHERE url IS NOT NULL AND content IS NOT NULL AND fetched_at IS NOT NULL GROUP BY 1, 2",
         "stream_documents": """WITH parts AS (SELECT url, row_id % 2 AS part, max_by(content, row_id) AS content FROM search_documents WHERE url IS NOT NULL AND content IS NOT NULL GROUP BY 1, 2)
           SELECT url, length(max_by(content, part)) AS n FROM parts GROUP BY 1""",
     }

@@ -150,5 +150,16 @@ def register(table, latest) -> dict:
             ingest.upsert_stream(ingest.document_stream(spark, f"{path}/in"), f"{path}/table", f"{path}/checkpoint").awaitTermination()
         return ingest.current(spark, f"{path}/table").select("url", F.length("content").cast("long").alias("n"))
 
-    found = [site_articles, feed_links, crawl_fifo, crawl_whole, robots_rules, frontier_step, jsonl_documents, feed_xml, seed_urls, stream_documents]
+    def stream_arrivals(spark, folder):
+        """Documents an hour and source, counted by a stream with a watermark."""
+        path = work_dir(spark, "arrivals")
+        rows = table(spark, folder, "search_documents").where(F.col("url").isNotNull() & F.col("content").isNotNull() & F.col("fetched_at").isNotNull())
+        files.write_jsonl(rows.select("source", "url", "title", "content", "authors", F.col("fetched_at").alias("date")), f"{path}/in")
+        counted = ingest.arrivals(ingest.document_stream(spark, f"{path}/in"))
+        counts = counted.select(F.unix_micros("window.start").alias("hour_us"), "source", "n_docs")
+        write = lambda batch, number: batch.write.mode("overwrite").parquet(f"{path}/out")
+        counts.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+        return spark.read.parquet(f"{path}/out")
+
+    found = [site_articles, feed_links, crawl_fifo, crawl_whole, robots_rules, frontier_step, jsonl_documents, feed_xml, seed_urls, stream_documents, stream_arrivals]
     return {f.__name__: f for f in found}

@@ -3,11 +3,11 @@
 import pytest
 
 import __spark_entry__ as entry
+from tamiz import queries as core
 
 from .parity import compare, duck
 
 FOLDER = "/root/testdata/sf0.001"
-CHEAP = ["bm25_top200", "lmir_topk", "fallback_combine", "rrf_fusion", "clean_text_rules", "stemmed_terms", "knn_l2", "url_filter", "sentence_units", "iso_dates"]
 
 
 @pytest.fixture(scope="module")
@@ -20,7 +20,7 @@ def con():
     return duck(FOLDER)
 
 
-@pytest.mark.parametrize("name", CHEAP)
+@pytest.mark.parametrize("name", sorted(core.ORACLES))
 def test_twin(spark, con, name):
     ok, what = compare(spark, FOLDER, name, entry.queries()[name], entry.oracle_sql()[name], con)
     assert ok, what
