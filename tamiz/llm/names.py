@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, release
 
 FEWEST_PIVOTS, MOST_PIVOTS = 4, 48  # between them, half the root of the vocabulary
 PIVOT_SAMPLE = 2000  # words, at most, among which the pivots are chosen
@@ -570,6 +570,7 @@ def entities(names: DataFrame) -> DataFrame:
     vocabulary = parsed.select(F.explode(parts).alias("word")).unionByName(lexicon.select(F.col("lex").alias("word"))).distinct()
     vocabulary = vocabulary.unionByName(spark.createDataFrame([(w,) for w in ORG_WORDS], "word STRING"))
     near = cut(close_words(vocabulary), "near")
+    release(spark)  # the driver holds the plans and broadcasts of all these small steps
     people = parsed.where(F.col("kind") == "person").select("name", "given", "s1", "s2")
     lexicon = lexicon.unionByName(cut(_learned(people, lexicon), "learned"))
     people = cut(_resolve_given(people, near, lexicon), "people")
@@ -577,6 +578,7 @@ def entities(names: DataFrame) -> DataFrame:
     people = cut(_near_given(people, near, lexicon), "people")
     # a misspelt surname may have hidden the name that decides between two readings of a given name
     people = cut(_resolve_given(people.select("name", F.col("g").alias("given"), "s1", "s2"), near, lexicon), "people")
+    release(spark)
     settled = cut(_settle(people.select("g", "s1", "s2").distinct()), "entities")
     linked = people.join(settled, ["g", "s1", "s2"]).select("name", "entity")
     organisations = cut(_organisations(parsed, near), "organisations")
