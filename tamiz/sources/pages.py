@@ -47,7 +47,7 @@ _HIDDEN = frozenset(("script", "style", "noscript", "template"))
 
 PARSED = (
     "url STRING, has_og_type BOOLEAN, metas MAP<STRING, STRING>, own_date STRING, own_authors ARRAY<STRING>, any_date STRING, any_authors ARRAY<STRING>, "
-    "page_title STRING, heading STRING, blocks ARRAY<STRUCT<tag: STRING, path: STRING, has_link: BOOLEAN, text: STRING>>, bylines ARRAY<STRING>"
+    "page_title STRING, heading STRING, picked ARRAY<STRING>, plain ARRAY<STRING>, signed STRING, bylines ARRAY<STRING>"
 )
 
 
@@ -85,7 +85,7 @@ class _Reader(HTMLParser):
         if tag == "script" and a.get("type", "").lower() == "application/ld+json":
             self.script, self.script_id = [], a.get("id", "")
         if tag in ("p", "h1", "h2", "h3", "li", "blockquote"):
-            block = {"tag": tag, "path": " / ".join(x for _, x in self.stack).strip(), "has_link": False, "parts": []}
+            block = {"tag": tag, "path": [x for _, x in self.stack], "has_link": False, "parts": []}
             self.blocks.append(block)
             self.open.append(block)
         if tag == "a":
@@ -149,6 +149,22 @@ def _unique(names: list[str]) -> list[str]:
     return list(dict.fromkeys(n.strip() for n in names if n.strip()))
 
 
+def _takes(site: str, block: dict) -> bool:
+    """Whether the site's rule takes a text block."""
+    container, wanted, dropped = RULES[site]
+    own, above = block["path"][-1], block["path"][-2] if len(block["path"]) > 1 else ""
+    if container and not any(container in x for x in block["path"]) or dropped and any(dropped in x for x in block["path"]):
+        return False
+    if site == "bbc" and (block["tag"] == "p" and block["has_link"] or block["text"] == BBC_NOTICE):
+        return False
+    for spec in wanted.split():
+        parent, _, rest = spec.rpartition(">")
+        tag, _, name = rest.partition(".")
+        if block["tag"] == tag and name in own and all(part in above for part in parent.split("+")):
+            return True
+    return False
+
+
 def site_metadata(site: str, scripts: list[tuple[str, str]]) -> tuple[str | None, list[str] | None]:
     """(date text, authors) that the site's own rule takes from its JSON-LD scripts (id, text); None where it has none.
 
@@ -192,7 +208,8 @@ def any_metadata(scripts: list[tuple[str, str]]) -> tuple[str | None, list[str]]
 
 
 def parse_pages(pages: DataFrame, sites: dict[str, str] = SITES) -> DataFrame:
-    """One row a page of ``pages`` (url, html): its metas, what its JSON-LD says, title and text blocks in document order.
+    """One row a page of ``pages`` (url, html): its metas, what its JSON-LD says, its title, and its text blocks in document order, those
+    that the site's rule takes and all paragraphs and subheads.
     A page that cannot be read, or NULL, gives a row without content."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -206,12 +223,18 @@ def parse_pages(pages: DataFrame, sites: dict[str, str] = SITES) -> DataFrame:
                 except Exception:
                     reader = _Reader()
                 text = lambda parts: " ".join(" ".join(parts).split())
-                blocks = [{"tag": b["tag"], "path": b["path"], "has_link": b["has_link"], "text": text(b["parts"])} for b in reader.blocks]
+                blocks = [b | {"text": text(b["parts"])} for b in reader.blocks]
                 heading = next((b["text"] for b in blocks if b["tag"] == "h1"), None)
+                blocks = [b for b in blocks if b["text"]]
                 host = re.match(r"[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)", url or "")
-                own = site_metadata(sites.get(host[1].lower() if host else "", "base"), reader.jsonld)
-                rows.append((url, reader.has_og_type, reader.metas, *own, *any_metadata(reader.jsonld), "".join(reader.title).strip() or None, heading, [b for b in blocks if b["text"]], reader.bylines))
-            yield pd.DataFrame(rows, columns=["url", "has_og_type", "metas", "own_date", "own_authors", "any_date", "any_authors", "page_title", "heading", "blocks", "bylines"])
+                site = sites.get(host[1].lower() if host else "", "base")
+                rule = site if site in RULES else "base"
+                picked = [b["text"] for b in blocks if _takes(rule, b)]
+                plain = [b["text"] for b in blocks if b["tag"] in ("p", "h2", "h3")]
+                signed = next((b["text"] for b in blocks if b["tag"] == "p" and AUTHOR_CLASS in b["path"][-1] and b["text"].startswith("Autor:")), None)
+                title = "".join(reader.title).strip() or None
+                rows.append((url, reader.has_og_type, reader.metas, *site_metadata(site, reader.jsonld), *any_metadata(reader.jsonld), title, heading, picked, plain, signed, reader.bylines))
+            yield pd.DataFrame(rows, columns=["url", "has_og_type", "metas", "own_date", "own_authors", "any_date", "any_authors", "page_title", "heading", "picked", "plain", "signed", "bylines"])
 
     return pages.select("url", "html").mapInPandas(run, PARSED)
 
@@ -240,34 +263,6 @@ def scraper_of(url, sites: dict[str, str] = SITES):
     return F.coalesce(F.try_element_at(F.create_map(*pairs), F.lower(T.netloc(url))), F.lit("base"))
 
 
-def _blocks_of(site: str):
-    """The texts of ``blocks`` that the site's rule takes."""
-    container, wanted, dropped = RULES[site]
-
-    def is_block(b, spec):
-        parent, _, rest = spec.rpartition(">")
-        tag, _, own = rest.partition(".")
-        test = b["tag"] == tag
-        if own:
-            test = test & F.contains(F.substring_index(b["path"], " / ", -1), F.lit(own))
-        for name in parent.split("+") if parent else ():
-            above = F.when(F.contains(b["path"], F.lit(" / ")), F.substring_index(F.substring_index(b["path"], " / ", -2), " / ", 1)).otherwise("")
-            test = test & F.contains(above, F.lit(name))
-        return test
-
-    def keep(b):
-        test = F.lit(False)
-        for spec in wanted.split():
-            test = test | is_block(b, spec)
-        if container:
-            test = test & F.contains(b["path"], F.lit(container))
-        if dropped:
-            test = test & ~F.contains(b["path"], F.lit(dropped))
-        return test & ~(b["has_link"] & (b["tag"] == "p")) if site == "bbc" else test
-
-    return F.transform(F.filter("blocks", keep), lambda b: b["text"])
-
-
 def long_enough(content, least: int):
     """An article has so many characters between its outer blanks; NULL has none."""
     return F.coalesce(F.length(T.strip(content)) >= least, F.lit(False))
@@ -290,9 +285,6 @@ def extract_articles(pages: DataFrame, settings: Settings = Settings(), sites: d
             found = F.when(site == name, value) if found is None else found.when(site == name, value)
         return found.otherwise(other)
 
-    picked = by_site({name: _blocks_of(name) for name in RULES if name != "base"}, _blocks_of("base"))
-    plain = F.transform(F.filter("blocks", lambda b: b["tag"].isin("p", "h2", "h3")), lambda b: b["text"])
-    parsed = parsed.withColumn("plain", plain).withColumn("picked", F.when(site == "bbc", T.drop_paragraph(picked, BBC_NOTICE)).otherwise(picked))
     parsed = parsed.withColumn("paragraphs", F.when((F.size("picked") > 0) | site.isin(*OWN_BLOCKS_ONLY), F.col("picked")).otherwise(F.col("plain")))
     paragraphs = F.col("paragraphs")
     body = T.join_paragraphs(F.when(site == "rt", T.drop_last_pointer(paragraphs)).otherwise(paragraphs))
@@ -303,10 +295,9 @@ def extract_articles(pages: DataFrame, settings: Settings = Settings(), sites: d
     one_meta = F.when(meta("article:author").isNotNull(), F.array(meta("article:author"))).otherwise(none)
     general = F.coalesce(listed(F.col("any_authors")), F.when(meta("author").isNotNull(), F.array(meta("author"))), none)
     own = F.col("own_authors")
-    named = F.filter("blocks", lambda b: (b["tag"] == "p") & F.contains(F.substring_index(b["path"], " / ", -1), F.lit(AUTHOR_CLASS)) & b["text"].startswith("Autor:"))
     authors = by_site(
         {
-            "bbc": own, "rt": F.coalesce(own, one_meta), "lanacion": F.coalesce(listed(own), general), "telesur": F.coalesce(listed(own), T.autor_paragraph(F.try_element_at(named, F.lit(1))["text"]), none),
+            "bbc": own, "rt": F.coalesce(own, one_meta), "lanacion": F.coalesce(listed(own), general), "telesur": F.coalesce(listed(own), T.autor_paragraph(F.col("signed")), none),
             "telemundo": T.byline_authors(T.join_paragraphs(F.col("plain")), general), "presidencia": F.when(meta("article:author").isNotNull(), T.slash_authors(meta("article:author"))).otherwise(none),
             "cubadebate": F.coalesce(listed(general), listed(F.col("bylines")), none),
         },
