@@ -56,10 +56,17 @@ def _table(codec: str) -> tuple[list[str], dict[str, int]]:
 
 
 @functools.cache
-def _leads(codec: str) -> frozenset[str]:
-    """Characters that a first byte of a UTF-8 sequence looks like in ``codec``."""
+def _undoes(codec: str) -> re.Pattern:
+    """What a word must hold for ``undo_utf8`` to change it: a first byte of a UTF-8 sequence and its followers, or one
+    of two-byte letters whose follower is gone, as they look in ``codec``."""
     _, back = _table(codec)
-    return frozenset(c for c, b in back.items() if 0xC2 <= b <= 0xF4)
+
+    def chars(low: int, high: int) -> str:
+        return "[" + "".join(re.escape(c) for c, b in back.items() if low <= b <= high) + "]"
+
+    follow = chars(0x80, 0xBF)
+    whole = f"{chars(0xC2, 0xDF)}{follow}|{chars(0xE0, 0xEF)}{follow}{{2}}|{chars(0xF0, 0xF4)}{follow}{{3}}"
+    return re.compile(f"{whole}|{chars(0xC3, 0xC3)}(?:[A-Za-z]|\\Z)")
 
 
 def _length(lead: int) -> int:
@@ -223,7 +230,7 @@ class Model:
                 if LOST in word:
                     out[i] = MOST
                 continue
-            if not single if steps[0][0] == "single" else _leads(steps[0][1]).isdisjoint(word):
+            if not single if steps[0][0] == "single" else not _undoes(steps[0][1]).search(word):
                 continue
             fixed = undo(word, steps)
             if fixed != word:

@@ -144,3 +144,12 @@ def test_encoding_repair(spark):
     right = sum(fixed[i]["text"] == t for i, t in broken.items())
     assert right >= 0.9 * len(broken) and fixed[2000]["text"] == GOOD[0] and not fixed[2001]["complete"]
     assert encoding.garbled(docs.limit(0)).count() == 0
+
+
+def test_words_that_no_undoing_changes_are_told_by_form():
+    rng = random.Random(4)
+    for codec in encoding.READ_AS:
+        chars, _ = encoding._table(codec)
+        for _ in range(400):
+            word = "".join(rng.choice(chars[0x80:] + ["a", "b", "Z", "-"]) for _ in range(rng.randint(1, 5)))
+            assert encoding._undoes(codec).search(word) or encoding.undo_utf8(word, codec) == word
