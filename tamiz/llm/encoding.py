@@ -225,6 +225,7 @@ class Model:
         # a mark that stands alone is no evidence for another alphabet
         single = (least < np.log(RARE) or "\xa0" in word) and bool(_LETTER.search(word))
         out = np.zeros(len(chains()), np.float32)
+        gains = {word: 0.0}
         for i, (_, steps) in enumerate(chains()):
             if not steps:
                 if LOST in word:
@@ -233,8 +234,9 @@ class Model:
             if not single if steps[0][0] == "single" else not _undoes(steps[0][1]).search(word):
                 continue
             fixed = undo(word, steps)
-            if fixed != word:
-                out[i] = min(MOST, self.score(fixed)[0] - total)
+            if fixed not in gains:  # many chains give the same
+                gains[fixed] = min(MOST, self.score(fixed)[0] - total)
+            out[i] = gains[fixed]
         if out.max() <= 0:
             out = None
         cache[word] = out
