@@ -154,8 +154,14 @@ def similar_classes(docs: DataFrame, signed: DataFrame, threshold: float = THRES
     """
     signed = signed.where(F.col("text_id") == F.col("rep"))
     bands = signed.select("rep", F.explode("keys").alias("key"))
-    left, right = bands.select("key", F.col("rep").alias("rep_a")), bands.select("key", F.col("rep").alias("rep_b"))
-    pairs = left.join(right, "key").where(F.col("rep_a") < F.col("rep_b")).select("rep_a", "rep_b").distinct()
+    # nearly all keys are one text's alone, nearly all others two texts'; only what more texts share is joined
+    shared = bands.groupBy("key").agg(F.min("rep").alias("rep_a"), F.max("rep").alias("rep_b"), F.count("*").alias("n")).where(F.col("rep_a") < F.col("rep_b"))
+    shared = cut(shared, "shared")
+    crowds = shared.where(F.col("n") > 2).select(F.col("key").alias("c_key"))
+    crowded = cut(bands.join(crowds, F.col("key") == F.col("c_key"), "left_semi"), "crowded")
+    left, right = crowded.select("key", F.col("rep").alias("rep_a")), crowded.select("key", F.col("rep").alias("rep_b"))
+    many = left.join(right, "key").where(F.col("rep_a") < F.col("rep_b")).select("rep_a", "rep_b")
+    pairs = shared.where(F.col("n") == 2).select("rep_a", "rep_b").unionByName(many).distinct()
     for side in ("a", "b"):
         sketch = signed.select(F.col("rep").alias(f"rep_{side}"), F.col("sketch").alias(f"sketch_{side}"))
         pairs = pairs.join(sketch, f"rep_{side}")
